@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from searchspark.llm import mixing, ogg, packing, token_files
+from searchspark.llm import merkle, mixing, ogg, packing, pii, token_files
 from searchspark.plans.staging import table
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an Ogg file and read back."""
     return ogg.media_table(table(spark, sf_dir, "documents"))
@@ -33,14 +38,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: fixed kinds and bootstrapped contexts."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         f.__name__: f
-        for f in (op3_ogg_media, op4_cost_packing, op6_source_mixing, op9_token_files)
+        for f in (
+            op1_merkle_fingerprints, op3_ogg_media, op4_cost_packing, op6_source_mixing, op9_token_files,
+            op10_personal_data,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {}
+    return {"op1_merkle_fingerprints": merkle.ORACLE_SQL}
