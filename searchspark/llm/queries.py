@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from searchspark.llm import merkle, mixing, ogg, packing, pii, token_files
+from searchspark.llm import merkle, mixing, ogg, packing, pii, quality, token_files, toxicity
 from searchspark.plans.staging import table
 
 
@@ -16,6 +16,11 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its own evidence and that of its sites."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an Ogg file and read back."""
     return ogg.media_table(table(spark, sf_dir, "documents"))
@@ -31,6 +36,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from positive and unlabelled texts."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
     return token_files.token_files(
@@ -48,8 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_merkle_fingerprints, op3_ogg_media, op4_cost_packing, op6_source_mixing, op9_token_files,
-            op10_personal_data,
+            op1_merkle_fingerprints, op2_site_quality, op3_ogg_media, op4_cost_packing, op6_source_mixing,
+            op8_pu_toxicity, op9_token_files, op10_personal_data,
         )
     }
 
