@@ -81,7 +81,8 @@ def pack(
                     short = np.frombuffer(rest, dtype="<u4").astype("<u2").tobytes()
                     rows.append((shard, key, whole * capacity, len(rest) // 4, total, None, short))
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
-            yield frame.astype({"doc_id": "Int64", "ids_crc32": "Int64"})
+            frame["doc_id"] = pd.array([r[1] for r in rows], dtype="Int64")
+            yield frame.astype({"ids_crc32": "Int64"})
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0]) << 32

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from searchspark.llm import merkle, mixing, ogg, packing, pii, quality, token_files, toxicity
+from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, token_files, toxicity
 from searchspark.plans.staging import table
 
 
@@ -36,6 +36,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike to 85 %."""
+    rule = jaccard.Rule(n=4, num=85, den=100)
+    return jaccard.cluster(table(spark, sf_dir, "documents"), rule).drop("_component")
+
+
 def op8_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from positive and unlabelled texts."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_merkle_fingerprints, op2_site_quality, op3_ogg_media, op4_cost_packing, op6_source_mixing,
-            op8_pu_toxicity, op9_token_files, op10_personal_data,
+            op7_ngram_jaccard, op8_pu_toxicity, op9_token_files, op10_personal_data,
         )
     }
 

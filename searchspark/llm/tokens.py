@@ -14,11 +14,13 @@ import re
 import numpy as np
 
 #: Entries kept for reuse in one worker, and the longest piece worth keeping.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 CACHE_PIECE = 48
 #: Texts with white space other than space and line feed, or with separators that the libraries
 #: class differently.
 _ODD_SPACE = re.compile(r"[^\S \n]")
+#: Runs of white space, for which the simple cut at each space would not do.
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: After a letter these always begin a new pre-token.
 _MARKS = ".,;:!?"
@@ -39,6 +41,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -50,29 +53,36 @@ class PieceEncoder:
             return b""
         if _ODD_SPACE.search(text):
             return self._library([text])[0]
-        pieces = text.replace("\n", " ").split(" ") if self.drops_space else _PIECES.findall(text)
-        found = list(map(self.known.get, pieces))
+        if self.drops_space:
+            return self._joined(text.replace("\n", " ").split(" "), self.known, "")
+        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+            return self._joined(_PIECES.findall(text), self.known, "")
+        lines = text.replace("\n", " \n").split(" ")
+        return self._joined(lines[:1], self.known, "") + self._joined(lines[1:], self.spaced, " ")
+
+    def _joined(self, pieces: list[str], known: dict[str, bytes], before: str) -> bytes:
+        """Ids of pieces that each follow a space (before), unless they begin with a line feed."""
+        found = list(map(known.get, pieces))
         if None in found:
-            extra = self._new({p for p, b in zip(pieces, found, strict=True) if b is None})
+            extra = self._new({p for p, b in zip(pieces, found, strict=True) if b is None}, known, before)
             found = [extra[p] if b is None else b for p, b in zip(pieces, found, strict=True)]
         return b"".join(found)
 
-    def _new(self, pieces: set[str]) -> dict[str, bytes]:
+    def _new(self, pieces: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
         """Ids of pieces not yet known; a word with closing marks is put together from its parts."""
         out, whole = {}, []
         for p in pieces:
             word = p.rstrip(_MARKS)
-            if len(word) < len(p) and word[-1:].isalpha() and word in self.known:
-                marks = p[len(word) :]
-                if marks not in self.known:
-                    self.known[marks] = self._library([marks])[0]
-                out[p] = self.known[word] + self.known[marks]
+            if len(word) < len(p) and word[-1:].isalpha() and word in known:
+                out[p] = known[word] + self._joined([p[len(word) :]], self.known, "")
             else:
                 whole.append(p)
         for i in range(0, len(whole), 1024):
-            out.update(zip(whole[i : i + 1024], self._library(whole[i : i + 1024]), strict=True))
-        if len(self.known) < CACHE_ENTRIES:
-            self.known.update((p, b) for p, b in out.items() if len(p) <= CACHE_PIECE)
+            part = whole[i : i + 1024]
+            texts = [p if p[:1] == "\n" else before + p for p in part] if before else part
+            out.update(zip(part, self._library(texts), strict=True))
+        if len(known) < CACHE_ENTRIES:
+            known.update((p, b) for p, b in out.items() if len(p) <= CACHE_PIECE)
         return out
 
 
