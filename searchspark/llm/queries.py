@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, token_files, toxicity
+from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, substrings, token_files, toxicity
 from searchspark.plans.staging import table
 
 
@@ -31,6 +31,11 @@ def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op5_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that they repeat."""
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix by source weights takes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -64,8 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_merkle_fingerprints, op2_site_quality, op3_ogg_media, op4_cost_packing, op6_source_mixing,
-            op7_ngram_jaccard, op8_pu_toxicity, op9_token_files, op10_personal_data,
+            op1_merkle_fingerprints, op2_site_quality, op3_ogg_media, op4_cost_packing,
+            op5_bucket_pointer_dedup, op6_source_mixing, op7_ngram_jaccard, op8_pu_toxicity, op9_token_files, op10_personal_data,
         )
     }
 
