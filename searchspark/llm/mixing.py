@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchspark.llm.keys import keyed
 from searchspark.plans.staging import stage
 
 #: What counts as a word: a run without space, tab, line feed and their like.
@@ -133,3 +134,20 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     ]
     taken = sum(passes[1:], passes[0])
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as it is taken, the last
+    time with its first words only where the quota ends within it; n_chars follows the text."""
+    rows = keyed(docs)
+    chosen = mix(rows.select(F.col("_k").alias("doc_id"), "text", F.col("_all.source").alias("source")), seed)
+    chosen = chosen.filter("taken > 0").select(F.col("doc_id").alias("_k"), "size", "taken")
+    parts = [F.least(F.col("size"), F.greatest(F.lit(0), F.col("taken") - k * F.col("size"))) for k in range(CAP)]
+    copies = rows.select("_k", "_all").join(chosen, "_k").withColumn("_w", F.explode(F.filter(F.array(*parts), lambda w: w > 0)))
+    beginning = F.array_join(F.slice(F.regexp_extract_all("_all.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_w").cast("int")), " ")
+    text = F.when(F.col("_w") < F.col("size"), beginning).otherwise(F.col("_all.text"))
+    out = copies.select(F.col("_all").withField("text", text).alias("_all"))
+    if "n_chars" in docs.columns:
+        n = F.length("_all.text").cast(docs.schema["n_chars"].dataType)
+        out = out.select(F.col("_all").withField("n_chars", n).alias("_all"))
+    return out.select("_all.*")

@@ -179,22 +179,26 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together by the kind of the first. Null texts stay null.
     """
-    columns = docs.columns
-    found = find(docs, columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    found = find(docs.select(row, "text"), ["_all"])
+    text = F.col("_all.text")
+    kinds = (*PATTERNS, NEW_KIND)
     tagged = lambda k: F.transform(f"_{k}", lambda s: F.struct(s["start"], s["end"], F.lit(k).alias("kind")))
-    spans = F.array_sort(F.concat(*(tagged(k) for k in (*PATTERNS, NEW_KIND))))
+    spans = F.array_sort(F.concat(*(tagged(k) for k in kinds)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(
             s["start"] >= acc["at"],
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")),
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")),
         ).otherwise(acc["out"]).alias("out"),
     )
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    any_span = reduce(lambda a, b: a | b, (F.size(f"_{k}") > 0 for k in (*PATTERNS, NEW_KIND)))
-    new_text = F.when(any_span, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", new_text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    any_span = reduce(lambda a, b: a | b, (F.size(f"_{k}") > 0 for k in kinds))
+    out = found.select(
+        F.col("_all").withField("text", F.when(any_span, F.aggregate(spans, start, step, rest)).otherwise(text)).alias("_all")
+    )
+    if "n_chars" in docs.columns:
+        n = F.length("_all.text").cast(docs.schema["n_chars"].dataType)
+        out = out.select(F.col("_all").withField("n_chars", n).alias("_all"))
+    return out.select("_all.*")

@@ -153,3 +153,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text", HOST, PATH), labels).select(
         "doc_id", "evidence", "path_rate", "quality", "keep"
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+    return score(docs.select(row, "doc_id", "text", HOST, PATH), labels).filter("keep").select("_all.*")

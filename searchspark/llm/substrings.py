@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchspark.llm.hashing import STRETCH, mix, prefix_sums, substring_hashes
+from searchspark.llm.keys import keyed
 from searchspark.plans.staging import stage
 
 LENGTH, Q = 100, 24
@@ -35,7 +36,6 @@ EXTRA_BITS = 10
 MOST_RUNS = 20_000
 #: Bytes of runs refined together, and rows handled together when they are written.
 BUCKET_BYTES = 1_500_000
-_LAST = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -178,22 +178,6 @@ def refine(group: pd.DataFrame) -> pd.DataFrame:
     return _spans(k[owner], start[owner] + found - np.concatenate([[0], ends[:-1]])[owner]).astype("int64")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """_k, doc_id, text with _k in the order of documents and different for each row.
-
-    That is doc_id itself where it is unique (null last). Otherwise rows are put in the order of id
-    and text, numbered, and staged.
-    """
-    key = F.coalesce("doc_id", F.lit(_LAST))
-    rows = docs.select(key.alias("_k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if not rows.groupBy("_k").count().filter("count > 1").limit(1).count():
-        return rows
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "_k").sortWithinPartitions("_k", "text")
-    numbered = stage(ordered.withColumn("_n", F.monotonically_increasing_id()), "substrings-rows")
-    return numbered.select(F.coalesce("_n", F.lit(_LAST)).alias("_k"), "doc_id", "text")
-
-
 def judged(rows: DataFrame) -> DataFrame:
     """Staged: runs that are gone, and first runs to be refined: h, k, at, gone, hot."""
     bucket, equal = Window.partitionBy("h"), Window.partitionBy("h", "s").orderBy("k", "at")
@@ -276,7 +260,7 @@ def report(docs: DataFrame) -> DataFrame:
     with equal ids count as documents in the order of their texts, so of repeated rows the first
     keeps its bytes. An empty table gives no rows; other columns are ignored.
     """
-    rows = keyed(docs)
+    rows = keyed(docs.select("doc_id", "text")).drop("_all")
     spans = removed_spans(rows, judged(rows)).groupBy("k").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = rows.join(spans, F.col("_k") == F.col("k"), "left").select("_k", "doc_id", "text", "spans")
     return joined.mapInPandas(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
