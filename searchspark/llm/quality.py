@@ -22,7 +22,7 @@ HOST, PATH = "source", "lang"
 #: How far site rates move a document: a third of the difference in log odds.
 SITE_WEIGHT = 1 / 3
 #: Documents whose probability of being good is below this are rejected.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.3
 #: Bounds of the pull of a level on the one below it, in documents.
 PULL = (10.0, 10_000.0)
 _EDGE = 1e-4
@@ -31,7 +31,8 @@ _EDGE = 1e-4
 def features(text: Column) -> dict[str, Column]:
     """Shares of kinds of characters and words; 0 for empty texts."""
     n = F.greatest(F.length(text), F.lit(1))
-    words = F.greatest(F.regexp_count(text, F.lit(r"\S+")), F.lit(1))
+    split = F.split(F.translate(text, "\n\t", "  "), " ")
+    words = F.size(split)
     lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
     return {
@@ -41,14 +42,14 @@ def features(text: Column) -> dict[str, Column]:
         "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / n,
         "digits": share("0123456789"),
         "stops": share(".,;:?"),
-        "repeats": F.regexp_count(text, F.lit(r"(\S{3,})\s+\1\b")) / words,
+        "different": F.size(F.array_distinct(split)) / words,
         "word_length": F.length(text) / words / 10,
         "line_words": F.log1p(words / lines) / 5,
         "log_words": F.log1p(words) / 10,
     }
 
 
-NAMES = tuple(["symbols", "bars", "shouts", "capitals", "digits", "stops", "repeats", "word_length", "line_words", "log_words"])
+NAMES = tuple(["symbols", "bars", "shouts", "capitals", "digits", "stops", "different", "word_length", "line_words", "log_words"])
 
 
 def design(x: np.ndarray) -> np.ndarray:
@@ -129,15 +130,19 @@ def site_rates(scored: DataFrame) -> DataFrame:
     return below.select(HOST, PATH, "n", "overall", "host_rate", rate.alias("path_rate"))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, light: bool = False) -> DataFrame:
     """docs with evidence, path_rate, quality (the final probability) and keep.
 
+    light leaves out the texts, so that the evidence can be staged and is worked out once.
+
     The table of sites is joined by host and path, null being a site of its own. Null and empty
     texts have the evidence of an empty text. Repeated rows count each; an empty table stays empty;
     columns of docs named like those added are replaced.
     """
     docs = docs.drop("evidence", "path_rate", "quality", "keep")
     scored = evidence(docs, fit(docs, labels))
+    if light:
+        scored = stage(scored.drop("text"), "quality-evidence")
     rates = stage(site_rates(scored.select(HOST, PATH, "evidence")), "quality-sites")
     rates = rates.select(F.col(HOST).alias("_h"), F.col(PATH).alias("_p"), "overall", "path_rate")
     same = F.col(HOST).eqNullSafe(F.col("_h")) & F.col(PATH).eqNullSafe(F.col("_p"))
@@ -150,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, path_rate, quality and keep for every document."""
-    return score(docs.select("doc_id", "text", HOST, PATH), labels).select(
+    return score(docs.select("doc_id", "text", HOST, PATH), labels, light=True).select(
         "doc_id", "evidence", "path_rate", "quality", "keep"
     )
 
