@@ -1 +1 @@
-
+"""Column functions: text, envelopes, paging, scoring."""

@@ -1 +1 @@
-
+"""Operators on DataFrames: intake, gate, index, vectors, search."""

@@ -1 +1 @@
-
+"""Inputs of the engine."""

@@ -1 +1 @@
-
+"""The engine over micro-batches."""
