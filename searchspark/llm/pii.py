@@ -82,7 +82,7 @@ def luhn(value: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """Valid matches by kind."""
     n = lambda v: F.length(_digits(v))
-    part = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     valid = {
         "email": lambda v: F.lit(True),
         "ip": lambda v: v.rlike(rf"^(?:{part}\.){{3}}{part}$") ,
