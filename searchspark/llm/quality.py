@@ -57,7 +57,7 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), x, np.sqrt(np.maximum(x, 0))])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, steps: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton steps. With one class only, that class is certain."""
     z = design(x)
     w = np.zeros(z.shape[1])
