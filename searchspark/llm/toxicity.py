@@ -2,7 +2,7 @@
 
 Confirmed toxic texts are the positive sample, all other training texts are unlabelled. A linear
 model over the words a text contains is trained in numpy on the estimator of the risk that needs
-no negative sample: with the class prior p and a loss l, p R_P(+1) + max(0, R_U(-1) - p R_P(-1));
+no negative sample: with the class prior p and the sigmoid loss, p R_P(+1) + max(0, R_U(-1) - p R_P(-1));
 where the second part falls below zero, its gradient is taken back (Kiryo et al., 2017).
 """
 
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 FIT_POSITIVE, FIT_UNLABELLED = 2_000, 8_000
 #: Features of the model: words and word beginnings that at least MIN_TEXTS positive texts have, and
 #: by Z standard errors more often than the unlabelled texts; at most so many, the surest first.
-MIN_TEXTS, Z, MOST_FEATURES = 8, 6.0, 3_000
+MIN_TEXTS, Z, MOST_FEATURES = 6, 5.0, 3_000
 BEGINNINGS = (4, 5)
-EPOCHS, BATCH, RATE, DECAY = 60, 500, 0.05, 3e-3
+EPOCHS, BATCH, RATE, DECAY = 60, 500, 0.05, 3e-4
 SEED = 7
 #: Of training texts that share one of SLOTS minimum hashes of five words in a row, one is used.
 SLOTS, ROW = 4, 5
@@ -50,18 +50,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """doc_id, text, positive of the bounded sample. A document labelled toxic once is positive;
-    documents without a label, and those with the label 0, are unlabelled alike."""
-    toxic = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = toxic.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(known.filter("toxic = 1"), FIT_POSITIVE).unionByName(
-        pick(known.filter("toxic is null or toxic = 0"), FIT_UNLABELLED)
+    """words, positive of the bounded sample: confirmed toxic documents, and documents drawn without
+    a look at labels, so that they hold toxic ones in their usual share. Near copies within either
+    part count once."""
+    learnt = lambda df: df.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    pick = lambda df, n, mark: (
+        learnt(df.select("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).withColumn("positive", F.lit(mark))
     )
+    chosen = pick(labels.filter("toxic = 1"), FIT_POSITIVE, 1).unionByName(pick(docs, FIT_UNLABELLED, 0))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    seen = _presence(rows.select("doc_id", F.coalesce("toxic", F.lit(0)).alias("positive"), "text"))
-    sample = seen.toPandas().sort_values(["doc_id", "positive", "words"])
-    return sample.iloc[without_copies(sample["hashes"].tolist())].reset_index(drop=True)
+    sample = _presence(rows.select("doc_id", "positive", "text")).toPandas().sort_values(["doc_id", "positive", "words"])
+    parts = [sample[sample["positive"] == mark] for mark in (1, 0)]
+    return pd.concat([part.iloc[without_copies(part["hashes"].tolist())] for part in parts], ignore_index=True)
 
 
 def _presence(rows: DataFrame) -> DataFrame:
@@ -148,12 +148,12 @@ def train(texts: list[str], positive: np.ndarray, p: float) -> tuple[dict[str, f
             z = b + np.bincount(owner, weights=w[at], minlength=len(pu))
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             n_p, n_u = max(1, is_pos.sum()), max(1, (~is_pos).sum())
-            minus = np.logaddexp(0, z)
-            negative = minus[~is_pos].sum() / n_u - p * minus[is_pos].sum() / n_p
+            slope = s * (1 - s)
+            negative = s[~is_pos].sum() / n_u - p * s[is_pos].sum() / n_p
             if negative >= 0:
-                g = np.where(is_pos, p * (s - 1) / n_p - p * s / n_p, s / n_u)
+                g = np.where(is_pos, -2 * p * slope / n_p, slope / n_u)
             else:
-                g = np.where(is_pos, p * s / n_p, -s / n_u)
+                g = np.where(is_pos, p * slope / n_p, -slope / n_u)
             gw = np.bincount(at, weights=g[owner], minlength=len(w)) + DECAY * p * w
             gb, step = g.sum(), step + 1
             m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
