@@ -151,3 +151,31 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
         n = F.length("_all.text").cast(docs.schema["n_chars"].dataType)
         out = out.select(F.col("_all").withField("n_chars", n).alias("_all"))
     return out.select("_all.*")
+
+
+ORACLE_SQL = f"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as size,
+    md5(concat_ws(':', '{SEED}', coalesce(cast(doc_id as varchar), ''))) as h from documents),
+src as (select source, sum(size) as source_size, count(*) as n_docs from sized group by source),
+wt as (select *, [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)] as weight from src),
+cp as (select *, cast(source_size * {CAP} as double) as cap, cast(source_size * {CAP} as double) / weight as fill from wt),
+lv as (select *, (cast(sum(source_size) over () * {SHARE_NUM} as double) / {SHARE_DEN}
+    - coalesce(sum(cap) over (order by fill, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
+    / sum(weight) over (order by fill, source nulls last rows between current row and unbounded following) as rate from cp),
+tg as (select source, source_size, n_docs, least(cap, (select min((fill, rate))[2] from lv where fill >= rate) * weight) as target from lv),
+al as (select *, cast(round(sum(target) over () / {BLOCK}) as bigint) as seats from tg),
+sq as (select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last) as r, seats
+    from (select source, target, seats, unnest(range(0, seats)) as k from al where target > 0)),
+so as (select al.*, cast(ceil(n_docs / {SHARD_DOCS}) as bigint) as n_shards,
+    (select count(*) from sq where sq.source is not distinct from al.source and r <= sq.seats) as source_quota from al),
+dealt as (select s.*, source_size, target, source_quota, cast('0x' || substr(h, 1, 8) as bigint) % n_shards as shard
+    from sized s join so on s.source is not distinct from so.source),
+sh as (select source, shard, source_quota, sum(size) as shard_size from dealt group by all),
+hq as (select source, shard, row_number() over (partition by source order by shard_size / (2 * k + 1) desc, shard) as r, source_quota
+    from (select *, unnest(range(0, source_quota)) as k from sh where shard_size > 0)),
+q as (select sh.*, (select count(*) from hq where hq.source is not distinct from sh.source and hq.shard = sh.shard and r <= hq.source_quota) as quota from sh),
+pl as (select d.doc_id, d.size, d.source_size, d.target, shard_size, least(quota * {BLOCK}, shard_size * {CAP}) as words,
+    coalesce(sum(d.size) over (partition by d.source, d.shard order by h, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as begun
+    from dealt d join q on d.source is not distinct from q.source and d.shard = q.shard)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
+  cast(greatest(0, least(size, words - begun)) + greatest(0, least(size, words - shard_size - begun)) as bigint) as taken from pl"""

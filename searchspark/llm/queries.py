@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op1_merkle_fingerprints": merkle.ORACLE_SQL}
+    return {"op1_merkle_fingerprints": merkle.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
