@@ -151,6 +151,48 @@ def materialized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.materialize(index.rebuild(_state(spark, sf_dir)), spec).select("id", paging.as_long(F.col("k")).alias("k"))
 
 
+_RAW = """raw as (select event_id, case when event_id % 3 = 0 then 'INDEX_OPERATION_DELETE' when event_id % 7 = 0 then 'other' else 'upsert' end as op,
+  '  ' || event_type || ' ' as source_service, cast(user_id as varchar) as aggregate_id, props from events)"""
+
+
+@query(f"""with {_RAW} select trim(source_service) as source_service, cast(event_id as varchar) as event_id, aggregate_id as document_id,
+case op when 'INDEX_OPERATION_DELETE' then 'delete' when 'upsert' then 'upsert' end as operation, case when op = 'upsert' then props end as document_json from raw""")
+def wire_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes from their form on the wire."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 3 == 0, "INDEX_OPERATION_DELETE").when(F.col("event_id") % 7 == 0, "other").otherwise("upsert")
+    raw = e.select(
+        F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("source_service"), F.col("event_id").cast("string").alias("event_id"), op.alias("operation"),
+        F.lit("profiles").alias("collection"), F.col("user_id").cast("string").alias("aggregate_id"), F.lit(1).cast("bigint").alias("revision"),
+        F.col("props").alias("document_json"), F.lit("").alias("occurred_at"), F.col("event_id").alias("arrival"),
+    )
+    return envelope.from_wire(raw).select("source_service", "event_id", "document_id", "operation", "document_json")
+
+
+@query(f"with {_STATUS} select arrival, 'unknown entity ' || collection as reason from done where status = 'accepted' and cast(document_id as bigint) % 2 = 0")
+def unknown_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: events of collections that are not declared; here those of even documents."""
+    events = _accepted(spark, sf_dir)
+    moved = events.withColumn("collection", F.when(F.col("document_id").cast("bigint") % 2 == 0, F.col("collection")).otherwise("known"))
+    return gate.split_known(moved, ["known"])[1].select("arrival", "reason")
+
+
+@query("""select cast(d.doc_id as varchar) as id, string_split(text, chr(10))[1] as title from documents d""")
+def returnable_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: what a search may return of a document."""
+    rows = fixtures.posts(spark, sf_dir).withColumn("_revision", F.lit(1))
+    return index.returnable(rows, fixtures.POSTS).select("id", "title")
+
+
+@query("""select d.doc_id as id, coalesce(len(e.embedding), 0) as dimensions from documents d left join embeddings e on e.vec_id = d.doc_id""")
+def patched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new vector column, null at first, and late vectors written into it."""
+    rows = fixtures.posts(spark, sf_dir).select("collection", F.col("id").cast("bigint").alias("id"), "title")
+    late = fixtures.vector_index(spark, sf_dir).select(F.lit("posts").alias("collection"), "id", F.col("embedding").alias("vector"))
+    patched = embed.patch_vectors(index.add_embedder(rows, "embedding"), late)
+    return patched.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint").alias("dimensions"))
+
+
 # Text
 
 _NORMAL = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
