@@ -5,6 +5,9 @@ one, at the same place, form a run; windows with equal bytes have equal least Q-
 offsets, so they meet in the bucket of that Q-gram.
 
 1. Runs are written as one row each: the Q-gram's hash, the hash of the run's bytes, where it is.
+   A sketch of fixed size counts runs by Q-gram first; where a Q-gram is hot, each window becomes a
+   run of its own in the bucket of its own hash. Of equal runs a batch of rows sends only the
+   first, so no bucket grows with the number of copies.
 2. In the bucket of a Q-gram, a run with the same bytes as an earlier one is wholly repeated, and a
    run that shares its bucket with none has no repeated window. Only first runs that share a
    bucket with other bytes go on, as their bytes.
@@ -22,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchspark.llm.hashing import STRETCH, mix, prefix_sums, substring_hashes
 from searchspark.llm.keys import keyed
+from searchspark.llm.sketch import slot, slot_counts
 from searchspark.plans.staging import stage
 
 LENGTH, Q = 100, 24
 #: A run is at most LENGTH - Q windows longer than the first; start and extra length in one number.
 EXTRA_BITS = 10
-#: Buckets with more different runs than this are split by the hashes of single windows.
-MOST_RUNS = 20_000
+#: A Q-gram counts as hot when its slot of the sketch holds more runs than this, and more than so
+#: many times the mean. The runs of a hot Q-gram are dealt out window by window, by the windows' own hashes.
+HOT, HOT_TIMES = 20_000, 16
 #: Bytes of runs refined together, and rows handled together when they are written.
 BUCKET_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -98,24 +104,49 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 RUN = "h long, s long, k long, at long, gone boolean"
 
 
-def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of RUN for batches of (_k, text). Of equal runs within a batch only the first stays in
-    its bucket; the others are known to be gone and take a bucket of their own."""
-    for batch in batches:
-        keys, parts = batch["_k"].to_numpy(dtype=np.int64), []
-        for data, ends, owner, offset in _pieces([t.encode() for t in batch["text"]]):
-            h, s, start, length = runs(data, ends)
-            piece = np.searchsorted(ends, start, side="right")
-            where = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
-            parts.append((h, s, keys[owner[piece]], (where << EXTRA_BITS) | (length - LENGTH)))
-        if parts:
-            h, s, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _runs_of(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray, ...] | None:
+    """(h, s, k, at) of all runs of a batch of (_k, text); those of hot slots window by window."""
+    keys, parts = batch["_k"].to_numpy(dtype=np.int64), []
+    for data, ends, owner, offset in _pieces([t.encode() for t in batch["text"]]):
+        h, s, start, length = runs(data, ends)
+        if hot is not None and len(h) and (split := hot[slot(h)]).any():
+            extra = (length - LENGTH + 1)[split]
+            first = np.repeat(start[split] - np.concatenate([[0], np.cumsum(extra)[:-1]]), extra) + np.arange(extra.sum())
+            sums, half = prefix_sums(data), first + LENGTH // 2
+            single = substring_hashes(sums, first, first + LENGTH)
+            other = mix(substring_hashes(sums, first, half) * np.uint64(3) + substring_hashes(sums, half, first + LENGTH))
+            h, s = np.concatenate([h[~split], single]), np.concatenate([s[~split], other])
+            start, length = np.concatenate([start[~split], first]), np.concatenate([length[~split], np.full(len(first), LENGTH)])
+        piece = np.searchsorted(ends, start, side="right")
+        where = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
+        parts.append((h, s, keys[owner[piece]], (where << EXTRA_BITS) | (length - LENGTH)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
+
+
+def hot_slots(rows: DataFrame) -> np.ndarray:
+    """Slots of the sketch whose Q-grams are hot."""
+    counts = slot_counts(rows.select("_k", "text"), lambda b: [r[0] for r in [_runs_of(b, None)] if r is not None])
+    return counts > max(HOT, HOT_TIMES * counts.mean())
+
+
+def run_rows(hot: Broadcast):  # noqa: ANN201
+    """Makes rows of RUN from batches of (_k, text). Of equal runs within a batch only the first
+    stays in its bucket; the others are known to be gone and take a bucket of their own."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = _runs_of(batch, hot.value)
+            if found is None:
+                continue
+            h, s, k, at = found
             order = np.lexsort((at, k, s, h))
             h, s, k, at = h[order], s[order], k[order], at[order]
             gone = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
             h = np.where(gone, mix(k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
             yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "k": k, "at": at, "gone": gone})
 
+    return rows
+
 
 def repeated_windows(data: np.ndarray, ends: np.ndarray, k: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Positions in data of windows that occur earlier. data holds strings end to end, each at
@@ -179,19 +210,17 @@ def refine(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Staged: runs that are gone, and first runs to be refined: h, k, at, gone, hot."""
+    """Staged: runs that are gone, and first runs to be refined: h, k, at, gone."""
+    hot = rows.sparkSession.sparkContext.broadcast(hot_slots(rows))
     bucket, equal = Window.partitionBy("h"), Window.partitionBy("h", "s").orderBy("k", "at")
     numbered = (
-        rows.select("_k", "text").mapInPandas(run_rows, RUN)
+        rows.select("_k", "text").mapInPandas(run_rows(hot), RUN)
         .withColumn("rn", F.row_number().over(equal))
         .withColumn("n", F.count(F.lit(1)).over(bucket))
         .withColumn("kinds", F.sum((F.col("rn") == 1).cast("int")).over(bucket))
         .filter("gone or (n > 1 and (rn > 1 or kinds > 1))")
     )
-    return stage(
-        numbered.select("h", "k", "at", (F.col("gone") | (F.col("rn") > 1)).alias("gone"), (F.col("kinds") > MOST_RUNS).alias("hot")),
-        "substrings-runs",
-    )
+    return stage(numbered.select("h", "k", "at", (F.col("gone") | (F.col("rn") > 1)).alias("gone")), "substrings-runs")
 
 
 def _bytes_of_runs(buckets: int):  # noqa: ANN202
@@ -203,13 +232,7 @@ def _bytes_of_runs(buckets: int):  # noqa: ANN202
                 for r in own:
                     start = r["at"] >> EXTRA_BITS
                     end = start + LENGTH + (r["at"] & ((1 << EXTRA_BITS) - 1))
-                    if not r["hot"]:
-                        out.append((r["h"] % buckets, k, start, data[start:end]))
-                        continue
-                    piece = np.frombuffer(data[start:end], np.uint8)
-                    at = np.arange(len(piece) - LENGTH + 1)
-                    single = substring_hashes(prefix_sums(piece), at, at + LENGTH)
-                    out += [(int(w) % buckets, k, start + i, data[start + i : start + i + LENGTH]) for i, w in enumerate(single.tolist())]
+                    out.append((r["h"] % buckets, k, start, data[start:end]))
             yield pd.DataFrame(out, columns=["bucket", "k", "start", "bytes"]).astype({"bucket": "int64", "k": "int64", "start": "int64"})
 
     return cut
@@ -243,9 +266,9 @@ def removed_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     length = F.col("at").bitwiseAND((1 << EXTRA_BITS) - 1) + LENGTH
     whole = found.filter("gone").select("k", start.alias("start"), length.alias("length"))
     open_ = found.filter("not gone")
-    size = open_.agg(F.sum(F.when(F.col("hot"), (length - LENGTH + 1) * LENGTH).otherwise(length))).first()[0] or 0
+    size = open_.agg(F.sum(length)).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    own = open_.groupBy("k").agg(F.collect_list(F.struct("h", "at", "hot")).alias("own"))
+    own = open_.groupBy("k").agg(F.collect_list(F.struct("h", "at")).alias("own"))
     strings = rows.join(own, F.col("_k") == F.col("k")).select("_k", "doc_id", "text", "own").mapInPandas(
         _bytes_of_runs(buckets), "bucket long, k long, start long, bytes binary"
     )

@@ -214,9 +214,10 @@ def removed(docs):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_substrings(odd, empty, monkeypatch, most):
-    monkeypatch.setattr(substrings, "MOST_RUNS", most)
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_substrings(odd, empty, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "HOT_TIMES", 0 if hot == 0 else 16)
     got = Counter(tuple(r) for r in substrings.report(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == removed(pairs(odd))
     assert substrings.report(empty).count() == 0
