@@ -14,7 +14,8 @@ The work runs on distinct sets of shingle hashes (nodes); equal sets are one nod
    cannot reach the overlap needed.
 5. Links give components. Each node looks once more for its nearest neighbour, in another
    component; then all close pairs that still lie in different components are verified, so no
-   link between components is lost.
+   link between components is lost. Tokens dealt into blocks take part with all their nodes, as
+   nodes of two blocks have not met before; of other tokens, nodes without a close one are done.
 """
 
 from __future__ import annotations
@@ -298,6 +299,14 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return stage(rows.groupBy("key").applyInPandas(links, "a long, b long"), "jaccard-links")
 
 
+def _unmet(shared: DataFrame, kept: DataFrame, inside: DataFrame) -> DataFrame:
+    """Rows of shared whose pairs may not all be known: those of nodes with a close one, and, of
+    tokens dealt into blocks, those of all kept nodes."""
+    hot = F.col("together") > BLOCK
+    met = shared.filter(~hot).join(inside, "node", "left_semi")
+    return met.unionByName(shared.filter(hot).join(kept, "node", "left_semi"))
+
+
 def _open(rows: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (token, node, together) with comp, n and bits, of tokens that nodes of different
     components share. Bitmaps join last, so that only these rows carry them."""
@@ -328,12 +337,21 @@ def cluster(docs: DataFrame, rule: Rule) -> DataFrame:
     inside = near.select("node").unionByName(near.select(F.col("other").alias("node"))).distinct()
     sets = sets_of(docs, member, inside, rule, classes)
     tested, links = near, verified(near, sets, rule)
-    inner = stage(shared.join(inside, "node", "left_semi"), "jaccard-inner")
+    inner = stage(_unmet(shared, kept, inside), "jaccard-inner")
+
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """sets, and those of nodes that only these pairs have."""
+        named = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
+        new = stage(named.join(sets, "node", "left_anti"), "jaccard-new")
+        return sets if new.isEmpty() else sets.unionByName(sets_of(docs, member, new, rule, classes))
+
     rest = neighbours(_open(inner, components(links), kept), rule, buckets, across=True).filter("other is not null")
     rest = stage(rest.join(tested, ["node", "other"], "left_anti"), "jaccard-near")
+    sets = with_sets(rest, sets)
     tested, links = tested.unionByName(rest), links.unionByName(verified(rest, sets, rule))
     rest = cross_pairs(_open(inner, components(links), kept), rule, buckets)
-    links = links.unionByName(verified(rest.join(tested, ["node", "other"], "left_anti"), sets, rule))
+    rest = stage(rest.join(tested, ["node", "other"], "left_anti"), "jaccard-across")
+    links = links.unionByName(verified(rest, with_sets(rest, sets), rule))
     roots = stage(components(links), "jaccard-roots")
     rooted = member.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("_component", F.coalesce("root", "node"))
     ids = rooted.filter("_component is not null").groupBy("_component").agg(F.min("doc_id").alias("component_id"))

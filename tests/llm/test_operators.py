@@ -338,6 +338,22 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert got == brute_components(pairs(df), rule)
 
 
+def test_jaccard_of_lone_pairs_in_different_blocks(spark, monkeypatch):
+    """Pairs whose shared tokens all lie in many texts of other sizes, and that nothing else is close to."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    rows = []
+    for passage in range(4):
+        words = [f"p{passage}w{i}" for i in range(400)]
+        for size in (int(20 * 1.22**k) for k in range(15)):
+            rows += [(len(rows) + k, " ".join(words[:size] + [f"end{k}"])) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rule = jaccard.Rule(4, 85, 100)
+    want = brute_components(pairs(df), rule)
+    assert len({c for _, _, c in want}) == len(rows) // 2
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.cluster(df, rule).collect())
+    assert got == want
+
+
 def test_one_of_each_group_stays(odd, empty):
     kept = jaccard.deduplicate(odd)
     assert kept.columns == odd.columns and jaccard.deduplicate(empty).count() == 0
