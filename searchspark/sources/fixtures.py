@@ -66,6 +66,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
 
 
+def all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_queries(): every fiftieth vector."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, embedding."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
