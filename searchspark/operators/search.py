@@ -10,9 +10,6 @@ from searchspark.operators import lexical as lex
 from searchspark.operators.semantic import semantic
 from searchspark.plans.spec import CollectionSpec
 
-#: Semantic candidates of each query beside the lexical ones.
-NEIGHBOURS = 200
-
 
 def build_filters(filters: dict[str, list], spec: CollectionSpec, arrays: tuple[str, ...] = ()) -> Column:
     """All of: field is one of the values. A field that may not be filtered is an error; a filter
@@ -64,8 +61,9 @@ def fuse(lexical_hits: DataFrame, semantic_hits: DataFrame, header: DataFrame) -
 
 def respond(ranked: DataFrame, header: DataFrame) -> DataFrame:
     """One row per hit of each query's page, with the query's header and the token of the next page."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    paged = ranked.withColumn("total", total).join(header.select("query_id", "offset", "size", "effective_mode", "lexical_fallback"), "query_id")
+    totals = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    deepest = header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 0
+    paged = ranked.filter(F.col("rank") <= deepest).join(totals, "query_id").join(header.select("query_id", "offset", "size", "effective_mode", "lexical_fallback"), "query_id")
     hits = F.least(F.greatest(F.col("total") - F.col("offset"), F.lit(0)), F.col("size"))
     page = paged.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size")))
     return page.withColumn("next_page_token", paging.next_token(F.col("offset"), hits, F.col("total"))).drop("offset", "size")
@@ -74,12 +72,14 @@ def respond(ranked: DataFrame, header: DataFrame) -> DataFrame:
 def search(
     queries: DataFrame, index: DataFrame, spec: CollectionSpec, filters: dict[str, list] | None = None,
     sort: list[str] | None = None, synonyms: DataFrame | None = None, arrays: tuple[str, ...] = (),
+    neighbours: int | None = None,
 ) -> DataFrame:
     """Answers to queries (query_id, query, mode, semantic_weight, page_size, page_token, vector)
     over index (id, searchable fields, embedding): one row per hit.
 
     Filters come before both kinds of search. Purely lexical queries are ranked by the rules in
-    order, others by score, then id.
+    order, others by score, then id. Every document with a vector has its semantic score; with
+    neighbours, only so many nearest of each query, others have 0.
     """
     rows = index.filter(build_filters(filters or {}, spec, arrays))
     if "collection" not in rows.columns:
@@ -87,7 +87,7 @@ def search(
     header = headers(queries, F.col("vector").isNotNull())
     fields = [f for f in spec.searchable if f in rows.columns]
     by_words = lex.lexical(queries, lex.token_table(rows, fields), len(fields), synonyms)
-    by_vector = semantic(header.filter("weight > 0"), rows.select("id", "embedding"), NEIGHBOURS)
+    by_vector = semantic(header.filter("weight > 0"), rows.select("id", "embedding"), neighbours)
     fused = fuse(by_words, by_vector, header)
     order = parse_sort(sort or [], spec)
     if order:

@@ -477,15 +477,25 @@ r as (select *, row_number() over (partition by query_id order by case when weig
   proximity nulls first, attribute nulls first, exact desc nulls last, id) as rank, count(*) over (partition by query_id) as total from k)
 select query_id, rank, id, score, total from r where rank <= 20""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As hybrid_search_all, with the 200 nearest of each query only."""
+    return _hybrid(spark, sf_dir, neighbours=200)
+
+
+@query(SQL["hybrid_search"].replace(" where r <= 200", ""))
+def hybrid_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of hybrid search. Queries take the vector with their
     number; those without one fall back to words alone."""
+    return _hybrid(spark, sf_dir)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, neighbours: int | None = None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     q = fixtures.text_queries(spark, sf_dir).join(vectors, "query_id", "left").select(
         "query_id", "query", F.lit("").alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), "vector"
     )
     docs = fixtures.posts(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
     rows = docs.join(fixtures.vector_index(spark, sf_dir), "id", "full")
-    return search.search(q, rows, fixtures.POSTS).select("query_id", "rank", "id", "score", "total")
+    return search.search(q, rows, fixtures.POSTS, neighbours=neighbours).select("query_id", "rank", "id", "score", "total")
 
 
 # Streams

@@ -123,6 +123,22 @@ def test_search_whole(spark):
     assert [r.id for r in ask((1, "cycle", "LEXICAL", 0.0, 0, "", None), synonyms=synonyms)] == [1, 3]
 
 
+def test_search_beyond_the_nearest(spark):
+    """A hit by words keeps its semantic score, and totals count, however many documents are nearer."""
+    spec = CollectionSpec("c", searchable=("title",))
+    rows = spark.createDataFrame([(i, "red" if i == 299 else "none", [1.0, 0.0] if i < 299 else [0.5, 0.0]) for i in range(300)], "id bigint, title string, embedding array<float>")
+    kind = "query_id int, query string, mode string, semantic_weight double, page_size int, page_token string, vector array<float>"
+    ask = lambda *q: search.search(spark.createDataFrame([q], kind), rows, spec).orderBy("rank").collect()
+    hit = next(r for r in ask(1, "red", "", 0.5, 100, "", [1.0, 0.0]) if r.id == 299)
+    assert (hit.semantic_score, hit.total) == (0.25, 300)
+    last = ask(1, "red", "SEMANTIC", 0.0, 100, paging_token(spark, 250), [1.0, 0.0])
+    assert [r.rank for r in last] == list(range(251, 301)) and {r.total for r in last} == {300}
+
+
+def paging_token(spark, offset):
+    return one(spark, paging.encode_offset(F.lit(offset)))
+
+
 def test_similar_and_hashing(spark):
     rows = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)] + [(9, [0.9, 0.1, 0.0, 0.0])], "id bigint, embedding array<float>")
     asked = spark.createDataFrame([(1, 0, [1.0, 0.0, 0.0, 0.0])], "query_id int, document_id bigint, vector array<float>")
