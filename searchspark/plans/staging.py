@@ -15,9 +15,12 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; only where that is unset (tests) one of our own."""
+    """The folder named by the session. Only in local mode (tests), where it is unset, one of our
+    own; on a cluster a folder of this machine would be no shared one, so that is an error."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-searchspark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_SETTING, folder)
     return folder.rstrip("/")
