@@ -16,20 +16,35 @@ def local_path(path: str) -> str | None:
     return None if "://" in path else path
 
 
-def write_once(path: str, data: np.ndarray) -> None:
-    """Write data under its final name in one step, so that a second attempt does no harm."""
-    mounted = local_path(path)
-    if mounted is None:
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(path)
-        with store.open_output_stream(inner) as out:
-            out.write(np.ascontiguousarray(data).data)
-        return
-    os.makedirs(os.path.dirname(mounted), exist_ok=True)
-    own = f"{mounted}.{uuid.uuid4().hex}"
-    np.ascontiguousarray(data).tofile(own)
-    os.replace(own, mounted)
+class Growing:
+    """A file that grows by arrays and gets its final name, whole, when it is closed; so a second
+    attempt does no harm, and an attempt that is lost leaves nothing under that name."""
+
+    def __init__(self, path: str):
+        own = f"{path}.{uuid.uuid4().hex}"
+        self.mounted = local_path(path)
+        if self.mounted is None:
+            from pyarrow import fs
+
+            self.store, self.final = fs.FileSystem.from_uri(path)
+            _, self.own = fs.FileSystem.from_uri(own)
+            self.out = self.store.open_output_stream(self.own)
+        else:
+            os.makedirs(os.path.dirname(self.mounted), exist_ok=True)
+            self.own = local_path(own)
+            self.out = open(self.own, "wb")
+
+    def add(self, data: np.ndarray) -> None:
+        """Append the numbers of an array."""
+        self.out.write(np.ascontiguousarray(data).data)
+
+    def close(self) -> None:
+        """Give the file its final name."""
+        self.out.close()
+        if self.mounted is None:
+            self.store.move(self.own, self.final)
+        else:
+            os.replace(self.own, self.mounted)
 
 
 def mapped(path: str, dtype: str) -> np.ndarray:

@@ -22,8 +22,10 @@ _ODD_SPACE = re.compile(r"[^\S \n]")
 #: Runs of white space, for which the simple cut at each space would not do.
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: After a letter these always begin a new pre-token.
+#: After an ASCII letter these always begin a new pre-token, whatever the normaliser does: such a
+#: letter stays one letter, and none of the marks combines with it.
 _MARKS = ".,;:!?"
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
@@ -69,11 +71,12 @@ class PieceEncoder:
         return b"".join(found)
 
     def _new(self, pieces: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
-        """Ids of pieces not yet known; a word with closing marks is put together from its parts."""
+        """Ids of pieces not yet known; a word that ends in an ASCII letter before its closing marks
+        is put together from its parts."""
         out, whole = {}, []
         for p in pieces:
             word = p.rstrip(_MARKS)
-            if len(word) < len(p) and word[-1:].isalpha() and word in known:
+            if len(word) < len(p) and word[-1:] in _LETTERS and word in known:
                 out[p] = known[word] + self._joined([p[len(word) :]], self.known, "")
             else:
                 whole.append(p)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, substrings, token_files, toxicity
+from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, substrings, token_files, tokens, toxicity
 from searchspark.llm.components import components
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -196,6 +196,31 @@ def test_token_files(odd, empty):
     assert token_files.token_files(empty, WORD, end_id=2).count() == 0
 
 
+@pytest.mark.parametrize(("path", "drops_space"), [(BYTE, False), (WORD, True)])
+def test_ids_do_not_depend_on_texts_before(path, drops_space):
+    """Pieces put together from a warm cache against the library on whole texts."""
+    random = np.random.default_rng(11)
+    letters = ["\u0130", "i", "I", "\u0307", "e\u0301", "\u0301", "\u00ad", "\u03a3", "s", "Stra\u00dfe", "\u0e01", "\U0001f600", "x1", "don't", "'s", "\u2019s", "<|endoftext|>", "\ufb01", "\u1e9e", "9"]
+    marks, spaces = [".", ",", "!", "?", "...", ":", ";", "-", "", ""], [" ", " ", " ", "\n", "  ", " \n", "\t", "\u00a0"]
+    ours, whole = tokens.PieceEncoder(path, drops_space), Tokenizer.from_file(path)
+    for _ in range(4000):
+        n = random.integers(1, 9)
+        word = lambda: "".join(random.choice(letters, random.integers(1, 4)))
+        text = "".join(word() + str(random.choice(marks)) + str(random.choice(spaces)) for _ in range(n))
+        got = np.frombuffer(ours.encode(text), "<u4").tolist()
+        assert got == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_files_keep_extreme_ids_and_refuse_large_ones(spark):
+    df = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (7, "c d"), ((1 << 53) + 1, "e"), (None, None)], "doc_id bigint, text string")
+    got = token_files.token_files(df, WORD, end_id=2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [-(1 << 63), 7, (1 << 53) + 1, None, None]
+    packed = packing.pack(df, BYTE, end_id=1)
+    assert {r.doc_id for r in packed.collect()} == {-(1 << 63), 7, (1 << 53) + 1, None}
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.token_files(df, WORD, end_id=70_000)
+
+
 # 5: substrings
 
 
