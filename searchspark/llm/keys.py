@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from searchspark.plans.staging import stage
 
 LAST = (1 << 63) - 1
+#: Characters of a text by which rows of one id are split; a sample of them comes to the driver.
+BEGINNING = 64
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -15,7 +17,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     order of documents.
 
     That is doc_id itself where it is unique (null last). Otherwise rows are put in the order of id
-    and text, numbered, and staged.
+    and text, numbered, and staged; an id with many rows is split by the beginnings of its texts.
     """
     key = F.coalesce("doc_id", F.lit(LAST))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
@@ -23,6 +25,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     if not rows.groupBy("_k").count().filter("count > 1").limit(1).count():
         return rows
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "_k").sortWithinPartitions("_k", "text")
+    ordered = rows.repartitionByRange(n, F.col("_k"), F.substring("text", 1, BEGINNING)).sortWithinPartitions("_k", "text")
     numbered = stage(ordered.withColumn("_n", F.monotonically_increasing_id()), "keyed-rows")
     return numbered.select(F.coalesce("_n", F.lit(LAST)).alias("_k"), "doc_id", "text", "_all")

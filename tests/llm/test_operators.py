@@ -15,6 +15,7 @@ from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality,
 from searchspark.llm.components import components
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
+ODD_LINE = "The quick brown fox jumps over the lazy dog while seven wizards watch from a very old stone bridge near town. " * 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -30,7 +31,7 @@ def crc(ids):
 # 1: fingerprints
 
 
-def test_fingerprints(spark, odd):
+def test_fingerprints(spark, odd, empty):
     docs = pairs(odd)
     got = sorted(merkle.report(odd).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     want = Counter()
@@ -41,8 +42,47 @@ def test_fingerprints(spark, odd):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     by_text = defaultdict(set)
     for r, (_, t) in zip(got, docs, strict=True):
-        by_text[t].add(r.fingerprint.split("|")[0]) if len({d for d, _ in docs}) and r.doc_id not in (3, None) else None
-    assert all(len(v) == 1 for v in by_text.values())
+        if r.doc_id not in (3, None):
+            by_text[t].add(r.fingerprint)
+    assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
+    assert {r.fingerprint for r in got if r.n_chars == len(ODD_LINE)} == {next(iter(by_text[ODD_LINE]))}
+    assert merkle.report(empty).count() == 0
+
+
+def brute_fingerprint(text):
+    """The tree by a plain loop over characters."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections, all_leaves = [], set()
+    for section in text.split("\n\n"):
+        nodes = []
+        for paragraph in section.split("\n"):
+            leaf_nodes, piece = [], ""
+            for c in paragraph:
+                if len(piece) == 24:
+                    leaf_nodes, piece = [*leaf_nodes, sha(piece)], ""
+                piece += c
+                if c in ".!?" and len(piece) <= 24:
+                    leaf_nodes, piece = [*leaf_nodes, sha(piece)], ""
+            leaf_nodes += [sha(piece)] if piece else []
+            all_leaves |= {x[:8] for x in leaf_nodes}
+            nodes.append(sha(",".join(leaf_nodes)))
+        sections.append((sha(",".join(nodes)), nodes))
+    upper = ";".join(f"{n[:8]}:{','.join(p[:8] for p in ps)}" for n, ps in sections)
+    return f"{sha(','.join(n for n, _ in sections))}|{upper}|{','.join(sorted(all_leaves)[:128])}"
+
+
+def test_fingerprints_against_a_plain_loop(spark):
+    texts = ["", "a", "a.b", "\n", "One. Two!\nThree\n\nFour " + "x" * 60 + ".", "y" * 24 + "." + "z" * 23 + "!", "é😀" * 30 + "\n\n\n."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in merkle.report(df).collect()}
+    for i, t in enumerate(texts):
+        q, n = len(t) // 4, texts[(i + 1) % len(texts)]
+        assert got[i].fingerprint == brute_fingerprint(t)
+        edited = t[: len(t) - q] + n[:q]
+        assert got[i].edited_fingerprint == brute_fingerprint(edited)
+        a, b = ([p.split("\n") for p in x.split("\n\n")] for x in (t, edited))
+        places = [f"{s}:{p}" for s in range(max(len(a), len(b))) for p in range(max(len(x[s]) if s < len(x) else 0 for x in (a, b))) if (s >= len(a) or s >= len(b) or p >= len(a[s]) or p >= len(b[s]) or a[s][p] != b[s][p])]
+        assert got[i].edit_places == ",".join(places)
 
 
 def test_fingerprint_order_over_many_ranges(spark):
@@ -56,10 +96,10 @@ def test_fingerprint_order_over_many_ranges(spark):
 
 
 def test_edits_are_located(spark):
-    a = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same")], "doc_id int, text string")
-    b = spark.createDataFrame([(1, "a\nb\n\nc\nX\ny"), (2, "same")], "doc_id int, text string")
-    found = [(r.doc_id, r.section, r.paragraph) for r in merkle.locate_edits(a, b).orderBy("paragraph").collect()]
-    assert found == [(1, 1, 1), (1, 1, 2)]
+    a = spark.createDataFrame([(1, "a\nb\n\nc\nd"), (2, "same"), (None, "n"), (3, "x"), (3, "y")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "a\nb\n\nc\nX\ny"), (2, "same"), (None, "m"), (3, "y"), (3, "x"), (4, None)], "doc_id int, text string")
+    found = {(r.doc_id, r.section, r.paragraph) for r in merkle.locate_edits(a, b).collect()}
+    assert found == {(1, 1, 1), (1, 1, 2), (None, 0, 0), (4, 0, 0)}
 
 
 def test_alike_texts_have_alike_fingerprints(spark):
