@@ -1,30 +1,32 @@
 """Quality by hierarchical empirical Bayes: the document's own evidence, its path's and its host's.
 
-A logistic model over counts of characters and words gives each document a probability. Summed by
-host (source) and by path below it (language within the source), these give the sites' rates:
-a path's rate is shrunk towards its host's, a host's towards the rate of all, the more the less it
-holds. The strength of that pull is estimated from how much the rates of sites really differ. The
-final odds are the document's, moved by how its path's rate differs from the overall one.
+A logistic model over counts of characters and words gives each document a probability, its
+evidence. Hosts (source) and paths below them (language within the source) are random effects on
+the rate of good documents: grouped sums give the variance within paths, between the paths of a
+host and between hosts (analysis of variance), and from these follow the posterior means, a host's
+shrunk to the rate of all and a path's to its host's, the more the less they hold. A path's
+posterior for a document leaves out that document, so nothing counts as evidence twice. The final
+odds are Bayes' rule: the document's odds times the path's odds over the odds of all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchspark.plans.staging import stage
 
-#: Labelled rows used to fit the document model, chosen by a hash of their id. The bound is small
-#: enough to broadcast their ids and to hold their features in the driver.
+#: Labelled rows used to fit the document model, chosen by a hash of their id: the default of the
+#: parameter fit_rows. The bound is small enough to broadcast their ids and to hold their features in
+#: the driver.
 FIT_ROWS = 20_000
 HOST, PATH = "source", "lang"
-#: How far site rates move a document: a third of the difference in log odds.
-SITE_WEIGHT = 1 / 3
 #: Documents whose probability of being good is below this are rejected.
 KEEP_FROM = 0.3
-#: Bounds of the pull of a level on the one below it, in documents.
-PULL = (10.0, 10_000.0)
+#: Probabilities nearer to 0 or 1 than this have the odds of this one.
 _EDGE = 1e-4
 
 
@@ -84,7 +86,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
     )
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     table = picked.select("doc_id", "quality", *(c.cast("double").alias(k) for k, c in features(F.coalesce("text", F.lit(""))).items()))
-    got = table.toPandas().sort_values(["doc_id", "quality", *NAMES])
+    # However often an id comes, it is one row of the sample.
+    once = table.groupBy("doc_id", "quality").agg(F.min(F.struct(*NAMES)).alias("f")).select("doc_id", "quality", "f.*")
+    got = once.toPandas().sort_values(["doc_id", "quality"])
     if got.empty:
         return np.zeros(1 + 2 * len(NAMES))
     return fit_logistic(got[list(NAMES)].to_numpy(float), got["quality"].to_numpy(float))
@@ -106,61 +110,87 @@ def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return named.withColumn("evidence", 1 / (1 + F.exp(-z))).drop(*(f"_q_{k}" for k in NAMES))
 
 
-def _pull(sites: DataFrame, over: list[str]) -> DataFrame:
-    """Adds pull: documents' worth of prior, by moments: within over, rates r of sites with n."""
-    w = Window.partitionBy(*over)
-    n, s = F.sum("n").over(w), F.sum("s").over(w)
-    mean = s / n
-    between = F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)).over(w) / n
-    noise = F.count(F.lit(1)).over(w) * mean * (1 - mean) / n
-    truth = F.greatest(between - noise, F.lit(1e-9))
-    pull = F.least(F.lit(PULL[1]), F.greatest(F.lit(PULL[0]), mean * (1 - mean) / truth - 1))
-    return sites.withColumn("mean", mean).withColumn("pull", pull)
-
-
-def site_rates(scored: DataFrame) -> DataFrame:
-    """One row per path: host, path, n, overall, host_rate, path_rate."""
-    paths = scored.groupBy(HOST, PATH).agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("s"))
-    hosts = _pull(paths.groupBy(HOST).agg(F.sum("n").alias("n"), F.sum("s").alias("s")), []).select(
-        F.col(HOST).alias("_h"), F.col("mean").alias("overall"),
-        ((F.col("s") + F.col("pull") * F.col("mean")) / (F.col("n") + F.col("pull"))).alias("host_rate"),
-    )
-    below = _pull(paths, [HOST]).join(hosts, F.col(HOST).eqNullSafe(F.col("_h"))).drop("_h")
-    rate = (F.col("s") + F.col("pull") * F.col("host_rate")) / (F.col("n") + F.col("pull"))
-    return below.select(HOST, PATH, "n", "overall", "host_rate", rate.alias("path_rate"))
-
+@dataclass(frozen=True)
+class Spread:
+    """Rate of all documents, variance within paths, between paths of a host, between hosts."""
 
-def score(docs: DataFrame, labels: DataFrame, light: bool = False) -> DataFrame:
-    """docs with evidence, path_rate, quality (the final probability) and keep.
+    mean: float
+    within: float
+    paths: float
+    hosts: float
 
-    light leaves out the texts, so that the evidence can be staged and is worked out once.
 
-    The table of sites is joined by host and path, null being a site of its own. Null and empty
-    texts have the evidence of an empty text. Repeated rows count each; an empty table stays empty;
-    columns of docs named like those added are replaced.
+def spread(paths: DataFrame) -> Spread:
+    """The variances from grouped sums (n, s, q: count, sum and sum of squares of evidence by host
+    and path), by the moments of a nested analysis of variance. What cannot be told apart is 0."""
+    hosts = paths.groupBy(HOST).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("c"),
+    )
+    t = hosts.agg(
+        *(F.sum(c).cast("double").alias(c) for c in ("n", "s", "q", "k", "n2", "c")), F.count(F.lit(1)).alias("hosts"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("h"), F.sum(F.col("n2") / F.col("n")).alias("m"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("nh2"),
+    ).first()
+    if not t["n"]:
+        return Spread(0.5, 0.0, 0.0, 0.0)
+    share = lambda a, b: max(0.0, a / b) if b > 1e-9 else 0.0
+    within = share(t["q"] - t["c"], t["n"] - t["k"])
+    between_paths = share(t["c"] - t["h"] - (t["k"] - t["hosts"]) * within, t["n"] - t["m"])
+    rest = (t["hosts"] - 1) * within + (t["m"] - t["n2"] / t["n"]) * between_paths
+    between_hosts = share(t["h"] - t["s"] ** 2 / t["n"] - rest, t["n"] - t["nh2"] / t["n"])
+    return Spread(t["s"] / t["n"], within, between_paths, between_hosts)
+
+
+def posterior(n: Column, s: Column, above: Column, between: float, within: float) -> Column:
+    """Posterior mean of a site with n documents whose evidence sums up to s, whose parent has the
+    rate above; the parent's own where nothing tells the site from it."""
+    return F.coalesce(F.try_divide(between * s + within * above, between * n + F.lit(within)), above)
+
+
+def site_rates(scored: DataFrame) -> tuple[DataFrame, Spread]:
+    """One row per path (host, path, n, s, host_rate, path_rate), and the variances used."""
+    e = F.col("evidence")
+    paths = stage(scored.groupBy(HOST, PATH).agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")), "quality-sites")
+    v = spread(paths)
+    totals = paths.groupBy(F.col(HOST).alias("_h")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
+    rated = totals.withColumn("host_rate", posterior(F.col("_n"), F.col("_s"), F.lit(v.mean), v.hosts, v.within))
+    below = paths.join(rated.select("_h", "host_rate"), F.col(HOST).eqNullSafe(F.col("_h"))).drop("_h", "q")
+    return below.withColumn("path_rate", posterior(F.col("n"), F.col("s"), F.col("host_rate"), v.paths, v.within)), v
+
+
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, leave_out: tuple[str, ...] = ("text",)) -> DataFrame:
+    """docs with evidence, path_rate, quality (the final probability) and keep, but without the
+    columns to leave out: the evidence is staged with all others, so that it is worked out once.
+
+    The model is fitted on at most fit_rows labelled documents; sites are counted over all. The
+    table of sites is joined by host and path, null being a site of its own. Null and empty texts
+    have the evidence of an empty text. Without labels every document has the same odds and stays.
+    Repeated rows count each; an empty table stays empty; columns of docs named like those added are
+    replaced.
     """
     docs = docs.drop("evidence", "path_rate", "quality", "keep")
-    scored = evidence(docs, fit(docs, labels))
-    if light:
-        scored = stage(scored.drop("text"), "quality-evidence")
-    rates = stage(site_rates(scored.select(HOST, PATH, "evidence")), "quality-sites")
-    rates = rates.select(F.col(HOST).alias("_h"), F.col(PATH).alias("_p"), "overall", "path_rate")
+    scored = stage(evidence(docs, fit(docs, labels, fit_rows)).drop(*leave_out), "quality-evidence")
+    rates, v = site_rates(scored.select(HOST, PATH, "evidence"))
+    rates = rates.select(F.col(HOST).alias("_h"), F.col(PATH).alias("_p"), "n", "s", "host_rate")
+    sites = F.struct("n", "s", "host_rate").alias("_site")
     same = F.col(HOST).eqNullSafe(F.col("_h")) & F.col(PATH).eqNullSafe(F.col("_p"))
-    z = _logit(F.col("evidence")) + SITE_WEIGHT * (_logit(F.col("path_rate")) - _logit(F.col("overall")))
+    own = F.col("evidence")
+    others = posterior(F.col("_site.n") - 1, F.col("_site.s") - own, F.col("_site.host_rate"), v.paths, v.within)
+    z = _logit(own) + _logit(F.col("path_rate")) - _logit(F.lit(v.mean))
     return (
-        scored.join(rates, same, "left").withColumn("quality", 1 / (1 + F.exp(-z))).drop("_h", "_p", "overall")
-        .withColumn("keep", F.col("quality") >= KEEP_FROM)
+        scored.join(rates.select("_h", "_p", sites), same, "left").drop("_h", "_p").withColumn("path_rate", others).drop("_site")
+        .withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("keep", F.col("quality") >= KEEP_FROM)
     )
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, path_rate, quality and keep for every document."""
-    return score(docs.select("doc_id", "text", HOST, PATH), labels, light=True).select(
-        "doc_id", "evidence", "path_rate", "quality", "keep"
-    )
+    return score(docs.select("doc_id", "text", HOST, PATH), labels).select("doc_id", "evidence", "path_rate", "quality", "keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs whatever their names."""
+    """The rows of docs that are kept, with the columns of docs whatever their names. Nulls, empty
+    texts, repeats and an empty table: as in score()."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
     return score(docs.select(row, "doc_id", "text", HOST, PATH), labels).filter("keep").select("_all.*")

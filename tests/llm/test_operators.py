@@ -116,7 +116,7 @@ def test_alike_texts_have_alike_fingerprints(spark):
 
 
 def test_quality(spark, odd, labels, empty):
-    out = quality.score(odd, labels)
+    out = quality.score(odd, labels, leave_out=())
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
     assert out.filter("keep is null or quality is null or quality < 0 or quality > 1").count() == 0
     kept = quality.good_documents(odd, labels)
@@ -137,9 +137,40 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_sparse_sites_are_shrunk(spark):
-    rows = [("big", "p", 0.9)] * 400 + [("bad", "p", 0.1)] * 400 + [("small", "p", 0.0)] * 2
-    rates = {r.source: r.path_rate for r in quality.site_rates(spark.createDataFrame(rows, "source string, lang string, evidence double")).collect()}
-    assert rates["big"] > 0.8 and rates["bad"] < 0.2 and 0.1 < rates["small"] < 0.5
+    rows = [("big", "p", 0.9)] * 200 + [("big", "p", 0.7)] * 200 + [("bad", "p", 0.1)] * 400 + [("small", "p", 0.0)] * 2
+    rates = {r.source: r.path_rate for r in quality.site_rates(spark.createDataFrame(rows, "source string, lang string, evidence double"))[0].collect()}
+    assert rates["big"] > 0.75 and rates["bad"] < 0.2 and 0 < rates["small"] < 0.5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_site_posteriors_against_plain_sums(spark, seed):
+    """Nested analysis of variance, posteriors and final odds by loops over the rows."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for h in [None, "a", "b", "c", "d"][: 5 if seed else 1]:
+        for p in [None, "x", "y", "z"][: int(random.integers(1, 5)) if seed else 1]:
+            rows += [(h, p, float(e)) for e in random.beta(2 + random.integers(0, 6), 2, int(random.integers(1, 30)))]
+    df = spark.createDataFrame(rows, "source string, lang string, evidence double")
+    by_path, by_host = defaultdict(list), defaultdict(list)
+    for h, p, e in rows:
+        by_path[h, p].append(e)
+        by_host[h].append(e)
+    n, mean = len(rows), float(np.mean([e for _, _, e in rows]))
+    dev = lambda groups: sum(float(np.sum((np.array(g) - np.mean(g)) ** 2)) for g in groups)
+    ssw, ssh = dev(by_path.values()), dev(by_host.values())
+    m = sum(sum(len(g) ** 2 for (x, _), g in by_path.items() if x == h) / len(by_host[h]) for h in by_host)
+    share = lambda a, b: max(0.0, a / b) if b > 1e-9 else 0.0
+    within = share(ssw, n - len(by_path))
+    paths = share(ssh - ssw - (len(by_path) - len(by_host)) * within, n - m)
+    rest = (len(by_host) - 1) * within + (m - sum(len(g) ** 2 for g in by_path.values()) / n) * paths
+    hosts = share(dev([[e for _, _, e in rows]]) - ssh - rest, n - sum(len(g) ** 2 for g in by_host.values()) / n)
+    got, v = quality.site_rates(df)
+    assert (v.mean, v.within, v.paths, v.hosts) == pytest.approx((mean, within, paths, hosts), abs=1e-9)
+    for r in got.collect():
+        g, all_ = by_path[r.source, r.lang], by_host[r.source]
+        host = (hosts * sum(all_) + within * mean) / (hosts * len(all_) + within)
+        assert r.host_rate == pytest.approx(host)
+        assert r.path_rate == pytest.approx((paths * sum(g) + within * host) / (paths * len(g) + within))
 
 
 # 3: media
