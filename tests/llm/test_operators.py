@@ -496,6 +496,21 @@ def test_toxicity_on_held_out_rows(spark, odd, empty, labels):
 
 
 def test_negative_part_of_the_risk_stays_non_negative():
+    """Slopes against differences of the estimated risk; the correction fires exactly below zero."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    is_pos = np.array([True] * 3 + [False] * 5)
+    fired = set()
+    for seed in range(40):
+        z, p = np.random.default_rng(seed).normal(0, 2, 8), 0.4
+        positive = lambda z: p * sigmoid(-z[is_pos]).mean()
+        negative = lambda z: sigmoid(z[~is_pos]).mean() - p * sigmoid(z[is_pos]).mean()
+        slopes, back = toxicity.risk_slopes(sigmoid(z), is_pos, p)
+        assert back == (negative(z) < 0)
+        fired.add(back)
+        risk = (lambda z: -negative(z)) if back else (lambda z: positive(z) + negative(z))  # noqa: B023
+        step = lambda i: 1e-6 * np.eye(8)[i]
+        assert slopes == pytest.approx([(risk(z + step(i)) - risk(z - step(i))) / 2e-6 for i in range(8)], abs=1e-6)
+    assert fired == {True, False}
     texts = ["a bad"] * 40 + ["a fine"] * 60
     weights, b = toxicity.train(texts, np.array([True] * 40 + [False] * 60), 0.3)
     z = {t: b + sum(weights.get(f, 0.0) for f in toxicity.features(set(t.split()))) for t in set(texts)}
