@@ -14,12 +14,16 @@ from searchspark.plans.staging import stage
 
 #: What counts as a word: a run without space, tab, line feed and their like.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: The mix holds SHARE_NUM / SHARE_DEN of all words; no source is taken more than CAP times.
 SHARE_NUM, SHARE_DEN, CAP = 3, 2, 2
 BLOCK = 32
-#: Documents of a shard, on average.
-SHARD_DOCS = 2048
+#: Documents of a shard, on average, while a source has no more than MOST_SHARDS shards; of larger
+#: sources shards are larger, so that neither a source's shards nor a shard's documents are too many
+#: for the window over them.
+SHARD_DOCS, MOST_SHARDS = 2048, 65_536
 SEED = "mix-1"
 
 
@@ -109,7 +113,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         "mix-targets",
     )
     by_source = sainte_lague(sources, [], "target", "_blocks", [F.col("source").asc_nulls_last()]).withColumn(
-        "n_shards", F.ceil(F.col("n_docs") / SHARD_DOCS)
+        "n_shards", F.least(F.ceil(F.col("n_docs") / SHARD_DOCS), F.lit(MOST_SHARDS))
     )
     by_source = stage(by_source.drop("_blocks").withColumnRenamed("quota", "source_quota"), "mix-quotas")
     same = sized["source"].eqNullSafe(by_source["source"])
@@ -138,13 +142,20 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken, the last
-    time with its first words only where the quota ends within it; n_chars follows the text."""
+    time up to the end of its last taken word where the quota ends within it; n_chars follows the
+    text.
+
+    White space stays as it is. Null texts and those without words have nothing to take and are not
+    in a mix of words. Repeated rows are taken singly; null sources are one source, null ids ids like
+    others; an empty table gives no rows; further columns go along.
+    """
     rows = keyed(docs)
     chosen = mix(rows.select(F.col("_k").alias("doc_id"), "text", F.col("_all.source").alias("source")), seed)
     chosen = chosen.filter("taken > 0").select(F.col("doc_id").alias("_k"), "size", "taken")
     parts = [F.least(F.col("size"), F.greatest(F.lit(0), F.col("taken") - k * F.col("size"))) for k in range(CAP)]
     copies = rows.select("_k", "_all").join(chosen, "_k").withColumn("_w", F.explode(F.filter(F.array(*parts), lambda w: w > 0)))
-    beginning = F.array_join(F.slice(F.regexp_extract_all("_all.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_w").cast("int")), " ")
+    spaced = F.regexp_extract_all("_all.text", F.lit(SPACED_WORD), F.lit(0))
+    beginning = F.array_join(F.slice(spaced, F.lit(1), F.col("_w").cast("int")), "")
     text = F.when(F.col("_w") < F.col("size"), beginning).otherwise(F.col("_all.text"))
     out = copies.select(F.col("_all").withField("text", text).alias("_all"))
     if "n_chars" in docs.columns:
@@ -166,7 +177,7 @@ tg as (select source, source_size, n_docs, least(cap, (select min((fill, rate))[
 al as (select *, cast(round(sum(target) over () / {BLOCK}) as bigint) as seats from tg),
 sq as (select source, row_number() over (order by target / (2 * k + 1) desc, source nulls last) as r, seats
     from (select source, target, seats, unnest(range(0, seats)) as k from al where target > 0)),
-so as (select al.*, cast(ceil(n_docs / {SHARD_DOCS}) as bigint) as n_shards,
+so as (select al.*, least(cast(ceil(n_docs / {SHARD_DOCS}) as bigint), {MOST_SHARDS}) as n_shards,
     (select count(*) from sq where sq.source is not distinct from al.source and r <= sq.seats) as source_quota from al),
 dealt as (select s.*, source_size, target, source_quota, cast('0x' || substr(h, 1, 8) as bigint) % n_shards as shard
     from sized s join so on s.source is not distinct from so.source),

@@ -12,10 +12,13 @@ import struct
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from searchspark.plans.staging import stage
+
 RATE = 8000
 PACKET = 1000
 PAGE_SEGMENTS = 60
@@ -87,11 +90,12 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Demuxed:
-    """What a reader finds: packets by stream with their timestamps in seconds (None where the
-    granule position of their page belongs to a later packet), pages, seconds by stream."""
+    """What a reader finds: packets by stream with the time of their last sample in seconds, pages,
+    seconds by stream. A page's granule position belongs to the last packet that ends on it; those
+    before it on the page end earlier by the samples that follow."""
 
     packets: dict[int, list[bytes]]
-    times: dict[int, list[float | None]]
+    times: dict[int, list[float]]
     pages: int
     continued: int
     seconds: dict[int, float]
@@ -134,13 +138,15 @@ def demux(media: bytes) -> Demuxed:
                         raise OggError(f"stream {serial} is of another kind")
                     rate[serial] = hertz
                 packets.append(bytes(current))
-                times.append(None)
                 closed += 1
                 current = bytearray()
         if n and lacing[-1] == 255:
             pending[serial] = current
         if closed:
-            times[-1] = out.seconds[serial] = granule / rate[serial]
+            at_end = np.full(closed, granule)
+            at_end[:-1] -= np.cumsum([len(p) for p in packets[len(packets) - closed + 1 :]][::-1], dtype=np.int64)[::-1]
+            times += (at_end / rate[serial]).tolist()
+            out.seconds[serial] = times[-1]
         elif granule != NO_PACKET_ENDS:
             raise OggError(f"page {number} of stream {serial} ends no packet but has a position")
         out.pages += 1
@@ -187,7 +193,8 @@ def media_features(media: pd.Series) -> pd.DataFrame:
         stored = bytes(stored)
         payload, found = decode(stored)
         seconds = ";".join(f"{s}:{found.seconds[s]:.6f}" for s in sorted(found.seconds))
-        feature = f"pages={found.pages},packets={sum(map(len, found.packets.values()))},continued={found.continued},seconds={seconds}"
+        times = zlib.crc32(np.array([t for s in sorted(found.times) for t in found.times[s]], dtype="<f8").tobytes())
+        feature = f"pages={found.pages},packets={sum(map(len, found.packets.values()))},continued={found.continued},seconds={seconds},times={times}"
         rows.append(
             (
                 len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
@@ -207,10 +214,13 @@ def with_media(docs: DataFrame) -> DataFrame:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the features of the media column, one row per document."""
-    stored = with_media(docs.select("doc_id", "text"))
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    """doc_id, n_bytes and the features of the media column, one row per document.
+
+    The column is written to the shared folder, and the features come from what is read back. Null
+    and empty texts are 64 zero bytes; repeated rows each have theirs; an empty table gives no rows;
+    other columns are ignored.
+    """
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    stored = stage(with_media(docs.select("doc_id", "text")).select("doc_id", n, "media"), "ogg-media")
     features = F.pandas_udf(media_features, FEATURES)
-    return stored.select("doc_id", n.alias("n_bytes"), features("media").alias("f")).select(
-        "doc_id", "n_bytes", "f.*"
-    )
+    return stored.select("doc_id", "n_bytes", features("media").alias("f")).select("doc_id", "n_bytes", "f.*")

@@ -182,8 +182,9 @@ def test_ogg_round_trip(odd, empty):
     want = Counter()
     for d, t in pairs(odd):
         p = ogg.padded(t.encode())
-        want[d, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+        media = ogg.encode(p)
+        want[d, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in got) == want
     assert ogg.with_media(odd).filter("media = 'clash'").count() == 0
 
 
@@ -196,6 +197,8 @@ def test_ogg_details():
         back, found = ogg.decode(media)
         assert back == data and media == ogg.encode(data)
         assert sum(found.seconds.values()) == pytest.approx(n / ogg.RATE)
+        for stream, packets in found.packets.items():
+            assert found.times[stream] == pytest.approx(np.cumsum([0, *map(len, packets[1:])]) / ogg.RATE)
         broken = bytearray(media)
         broken[len(media) // 2] ^= 1
         with pytest.raises(ogg.OggError):
@@ -365,6 +368,10 @@ def test_mixing(spark, odd, empty):
             assert target[s] == pytest.approx(want[s])
             assert abs(taken[s] - target[s]) <= 3 * mixing.BLOCK
     assert mixing.mix(empty).count() == 0
+    spaced = [(i, f" a\n\nb{i}  c\t d\n" * (1 + i % 40), f"s{i % 3}") for i in range(500)] + [(900, " \n", "s0"), (901, None, None)]
+    original = {d: t for d, t, _ in spaced}
+    for r in mixing.mixed_documents(spark.createDataFrame(spaced, "doc_id bigint, text string, source string")).collect():
+        assert original[r.doc_id].startswith(r.text) and r.text.strip()
     mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     assert sum(len(r.text.split()) for r in mixed.collect()) == sum(taken_ for taken_ in [r.taken for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()])
 
