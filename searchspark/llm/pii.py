@@ -1,14 +1,14 @@
 """Personal data: four fixed kinds, and identifiers found by bootstrapped contexts.
 
-Only DataFrame functions. Base spans come from patterns and checks. Tokens with digits, together
-with the one or two words before them, form a graph of contexts and instances; instances that
-overlap a base span are seeds. Confidence runs from instances to contexts and back for a few
-rounds of grouped aggregation, and tokens in contexts that end above a threshold become spans of
-the kind "id".
+Only DataFrame functions. Base spans come from patterns and checks. They and all other values with
+digits, each with the one or two words before it, form a graph of contexts and instances; base spans
+are the seeds. Confidence runs from instances to contexts and back for a few rounds of grouped
+aggregation, and values in contexts that end above a threshold become spans of the kind "id".
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,47 +24,65 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CONTEXT = r"(?:\p{L}++[,.:;#=]?+ ){1,2}"
-CANDIDATE = rf"(?<!\p{{L}}){CONTEXT}[\"'(]?+(?=[A-Za-z._%@-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._%+@-]{{3,}}[A-Za-z0-9]"
+#: One or two words, each with up to four signs or spaces after it.
+CONTEXT = r"(?:\p{L}++[^\p{L}\p{N}]{1,4}+){1,2}"
+#: A token with a digit, and up to eight further groups of digits after single spaces. Signs at the
+#: end are cut off; LEAST characters must be left.
+VALUE = r"(?=[A-Za-z._%@(-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._%+@()-]*+(?: [0-9(][A-Za-z0-9._%+@()-]*+){0,8}"
+LEAST = 5
+CANDIDATE = rf"(?<!\p{{L}}){CONTEXT}{VALUE}"
+#: So many characters before a span can be its context.
+REACH = 80
 NEW_KIND = "id"
 ROUNDS = 3
 #: A context counts once it has seen so many different confirmed instances, and then by its share of them.
 SUPPORT, THRESHOLD = 3, 0.5
-#: Rows of new spans (about 40 bytes each) up to which they are sent to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: New spans (8 bytes each, and 30 for a document) up to which they are sent to all tasks; more are
+#: joined by a shuffle.
+BROADCAST_SPANS = 200_000
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+#: Entries that a fold copies at once.
+CHUNK = 512
+
+
+def fold(entries: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What step(at, entry) puts out for the entries in order; it returns a struct of at (the next
+    state, a number) and out (an entry or null), nulls being left out; kind is the array's type.
+
+    Entries are folded by chunks, so that growing the result costs no square of their number.
+    """
+    none = F.array().cast(kind)
+    grown = lambda acc, r: F.struct(
+        r["at"].alias("at"), F.when(r["out"].isNotNull(), F.concat(acc["out"], F.array(r["out"]))).otherwise(acc["out"]).alias("out")
+    )
+    one = lambda at, part: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), lambda acc, x: grown(acc, step(acc["at"], x)))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(entries) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(entries, i + 1, CHUNK))
+
+    def joined(acc: Column, part: Column) -> Column:
+        both = F.transform(F.array(one(acc["at"], part)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+        return F.element_at(both, 1)
+
+    return F.aggregate(chunks, F.struct(start.alias("at"), none.alias("out")), joined, lambda acc: acc["out"])
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their code point positions (end exclusive).
+    """All leftmost non-overlapping matches with their code point positions (end exclusive), and the
+    last characters before each since the match before.
 
     The same pattern splits the text; the lengths of gaps and matches add up to the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    none = F.array().cast(SPAN)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-        F.when(
-            x["m"].isNotNull(),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"),
-                        x["m"].alias("value"),
-                    )
-                ),
-            ),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("m")), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(REACH)).alias("before")))
+
+    def step(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]["n"]
+        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"), x["gap"]["before"].alias("before"))
+        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), span).alias("out"))
+
+    walked = fold(F.arrays_zip(gaps.alias("gap"), found.alias("m")), F.lit(0), step, SPAN)
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -93,25 +111,33 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: kept(k) for k in PATTERNS}
 
 
+def _named(words: Column) -> Column:
+    """The name of a context: lower case, runs of white space as one space."""
+    return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
+
+
 def annotate(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Staged: the columns to keep, _row, one array of base spans per kind, and candidates."""
+    """Staged: the columns to keep, _row, one array of base spans per kind, and candidates: context,
+    value, start, end, seed. Seeds are base spans; the others overlap none."""
     text = F.coalesce("text", F.lit(""))
     out = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
     out = out.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()})
     spans = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
-    lead = lambda v: F.regexp_extract(v, f"^({CONTEXT}[\"'(]?+)", 1)
-    candidate = lambda x: F.struct(
-        F.lower(F.trim(F.regexp_replace(lead(x["value"]), "[\"'(]$", ""))).alias("context"),
-        F.substring(x["value"], F.length(lead(x["value"])) + 1, F.length(x["value"])).alias("value"),
-        (x["start"] + F.length(lead(x["value"]))).alias("start"),
-        x["end"].alias("end"),
-    )
-    out = out.withColumn("_found", F.transform(matches(F.col("_text"), CANDIDATE), candidate))
-    seeded = lambda c: c.withField(
-        "seed", F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    )
-    out = out.withColumn("_candidates", F.transform("_found", seeded))
-    return stage(out.drop("_text", "_found"), "pii-annotated")
+    lead = lambda v: F.regexp_extract(v, f"^{CONTEXT}", 0)
+    value = lambda x: F.regexp_replace(F.substring(x["value"], F.length(lead(x["value"])) + 1, F.length(x["value"])), "[^A-Za-z0-9]+$", "")
+    other = lambda x: F.struct(
+        _named(lead(x["value"])).alias("context"), value(x).alias("value"), (x["start"] + F.length(lead(x["value"]))).alias("start"),
+        (x["start"] + F.length(lead(x["value"])) + F.length(value(x))).alias("end"), F.lit(False).alias("seed"),
+    )
+    seed = lambda x: F.struct(
+        _named(F.regexp_extract(F.concat(F.lit(" "), x["before"]), rf"[^\p{{L}}]({CONTEXT})$", 1)).alias("context"), x["value"].alias("value"),
+        x["start"].alias("start"), x["end"].alias("end"), F.lit(True).alias("seed"),
+    )
+    free = lambda c: (F.length(c["value"]) >= LEAST) & ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    out = out.withColumn("_found", F.transform(matches(F.col("_text"), CANDIDATE), other))
+    both = F.concat(F.filter("_found", free), F.filter(F.transform(spans, seed), lambda c: c["context"] != ""))
+    bare = {f"_{k}": F.transform(f"_{k}", lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS}
+    return stage(out.withColumn("_candidates", both).withColumns(bare).drop("_text", "_found"), "pii-annotated")
 
 
 def contexts(annotated: DataFrame) -> DataFrame:
@@ -152,10 +178,9 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_id"))
     )
     new = stage(new, "pii-new")
-    if new.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (new.agg(F.sum(F.size("_id"))).first()[0] or 0) <= BROADCAST_SPANS:
         new = F.broadcast(new)
-    pairs = {f"_{k}": F.transform(f"_{k}", lambda s: F.struct(s["start"], s["end"])) for k in PATTERNS}
-    out = annotated.drop("_candidates").withColumns(pairs).join(new, "_row", "left")
+    out = annotated.drop("_candidates").join(new, "_row", "left")
     return out.withColumn("_id", F.coalesce("_id", F.array().cast("array<struct<start:int,end:int>>"))).drop("_row")
 
 
@@ -185,18 +210,15 @@ def redact(docs: DataFrame) -> DataFrame:
     kinds = (*PATTERNS, NEW_KIND)
     tagged = lambda k: F.transform(f"_{k}", lambda s: F.struct(s["start"], s["end"], F.lit(k).alias("kind")))
     spans = F.array_sort(F.concat(*(tagged(k) for k in kinds)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(
-            s["start"] >= acc["at"],
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")),
-        ).otherwise(acc["out"]).alias("out"),
+    end = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("kind"))
+    step = lambda at, s: F.struct(
+        F.greatest(at, s["end"]).alias("at"),
+        F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.coalesce(F.concat(F.lit("["), s["kind"], F.lit("]")), F.lit("")))).alias("out"),
     )
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    redacted = F.array_join(fold(F.concat(spans, F.array(end)), F.lit(0), step, "array<string>"), "")
     any_span = reduce(lambda a, b: a | b, (F.size(f"_{k}") > 0 for k in kinds))
     out = found.select(
-        F.col("_all").withField("text", F.when(any_span, F.aggregate(spans, start, step, rest)).otherwise(text)).alias("_all")
+        F.col("_all").withField("text", F.when(any_span, redacted).otherwise(text)).alias("_all")
     )
     if "n_chars" in docs.columns:
         n = F.length("_all.text").cast(docs.schema["n_chars"].dataType)

@@ -572,6 +572,75 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "Then the member card: [card] was read."
 
 
+def test_base_spans_of_every_kind_are_seeds(spark):
+    """Phone numbers, addresses and spaced cards seed contexts, after signs and line feeds too."""
+    phones = [f"Please call {n} now." for n in ("+1 (555) 123-4567", "+1 (555) 123-4568", "+44 20 7946 0958")]
+    hosts = [f"log | server ip\n{n} up" for n in ("10.0.0.1", "10.0.0.2", "10.0.0.3")]
+    rows = [*phones, *hosts, "Please call 555 1234 77 now.", "log | server ip\nfe80-12-9 up", "Nobody calls 555 1234 77 here."]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert [got[6], got[7], got[8]] == ["id:12:23", "id:16:25", ""]
+
+
+def brute_contexts(texts):
+    """The graph scored by plain loops: spans of the kind id by text."""
+    context = r"(?:[^\W\d_]+(?:[^\w]|_){1,4}){1,2}"
+    candidate = re.compile(rf"(?<![^\W\d_])({context})((?=[A-Za-z._%@(-]*[0-9])[A-Za-z0-9][A-Za-z0-9._%+@()-]*(?: [0-9(][A-Za-z0-9._%+@()-]*){{0,8}})")
+    cut = lambda v: re.sub("[^A-Za-z0-9]+$", "", v)
+    named = lambda c: re.sub(r"\s+", " ", c).strip().lower()
+    found, edges = [], {}
+    for t in texts:
+        base = [m for k, p in FIXED.items() for m in re.finditer(p, t) if valid(k, m.group())]
+        own = [(named(m[1]), cut(m[2]), m.start(2), m.start(2) + len(cut(m[2]))) for m in candidate.finditer(t)]
+        own = [c for c in own if len(c[1]) >= 5 and not any(b.start() < c[3] and c[2] < b.end() for b in base)]
+        found.append(own)
+        for k, p in FIXED.items():
+            end = 0
+            for m in re.finditer(p, t):
+                if valid(k, m.group()) and (c := re.search(rf"(?:[\W\d_])({context})$", " " + t[end : m.start()][-80:])):
+                    edges[named(c[1]), m.group()] = True
+                end = m.end()
+        for c, v, _, _ in own:
+            edges.setdefault((c, v), False)
+    trust = defaultdict(float)
+    for (_, v), seed in edges.items():
+        trust[v] = max(trust[v], float(seed))
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for c in {c for c, _ in edges}:
+            own = [trust[v] for x, v in edges if x == c]
+            score[c] = sum(own) / (len(own) + 1) if sum(t >= pii.THRESHOLD for t in own) >= pii.SUPPORT else 0.0
+        trust = defaultdict(float)
+        for (c, v), seed in edges.items():
+            trust[v] = max(trust[v], float(seed), score[c])
+    return [sorted((a, b) for c, _, a, b in own if score[c] >= pii.THRESHOLD) for own in found]
+
+
+def test_bootstrapped_spans_against_plain_loops(spark):
+    random = np.random.default_rng(8)
+    words = ["mail", "call", "ip", "card no", "room", "the", "host |", "id:", "und", "x,", "ref #"]
+    values = ["a{0}@b.co", "+1 (555) 123-{0}", "10.0.{1}.7", "4111 1111 1111 1111", "4111111111111111", "AB-{0}", "{0} {0}", "v{1}.{0}", "12", "+{0}", "10.0.999.{1}"]
+    texts = []
+    for _ in range(150):
+        value = lambda: str(random.choice(values)).format(random.integers(1000, 1200), random.integers(1, 9))
+        texts.append(" ".join(f"{random.choice(words)} {value()}{random.choice(['', ',', '.', chr(10)])}" for _ in range(random.integers(1, 9))))
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    want = brute_contexts(texts)
+    assert sum(map(len, want)) > 20
+    for i, spans in enumerate(want):
+        mine = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("id:")]
+        assert mine == spans, texts[i]
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = pii.report(df).first()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text))
+    assert got.n_email == 3000 and got.spans == want
+    assert pii.redact(df).first().text == " ".join(["[email]"] * 3000)
+
+
 def test_redaction_keeps_columns(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
