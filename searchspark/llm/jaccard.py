@@ -2,7 +2,7 @@
 
 The work runs on distinct sets of shingle hashes (nodes); equal sets are one node.
 
-1. A sketch of fixed size over all shingles gives each a class of frequency. Sets are ordered
+1. Shingles that many documents share are counted, and give classes of frequency. Sets are ordered
    globally: rare classes first, then by hash.
 2. Sets that are alike share at least as many shingles among their first ones as their sizes
    demand, so only the first shingles of each set are compared, and only nodes that repeat enough
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from searchspark.llm.components import components
 from searchspark.llm.hashing import mix, shingles
 from searchspark.llm.keys import keyed
-from searchspark.llm.sketch import slot, slot_counts
+from searchspark.llm.sketch import found_at, frequent
 from searchspark.plans.staging import stage
 
 #: Of a set's size, so much more than needed is compared, to be able to ask for that many agreements.
@@ -80,17 +80,24 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def frequency_classes(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Class (power of two) of the shingle counts in each slot of the sketch."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+#: Shingles shared by one in so many documents, and by LEAST_OFTEN at least, have a class of their own.
+#: With some hundred shingles a document, they are a million at most, whatever the input.
+ONE_IN, LEAST_OFTEN = 2_000, 16
+Classes = tuple[np.ndarray, np.ndarray]
+
+
+def frequency_classes(rows: DataFrame, rule: Rule) -> Classes:
+    """Frequent shingles, ascending, and their classes (powers of two of their counts)."""
     n = rule.n
-    return np.log2(slot_counts(texts, lambda b: (shingles(t, n) for t in b["text"])) + 1).astype(np.uint8)
+    known, times = frequent(rows.select("text"), lambda b: (shingles(t, n) for t in b["text"]), max(LEAST_OFTEN, rows.count() // ONE_IN))
+    return known, np.log2(times + 1).astype(np.uint8)
 
 
-def ordered(text: str, rule: Rule, classes: np.ndarray) -> np.ndarray:
+def ordered(text: str, rule: Rule, classes: Classes) -> np.ndarray:
     """The text's shingles, rare ones first."""
     s = shingles(text, rule.n)
-    return s[np.argsort(classes[slot(s)], kind="stable")]
+    there, at = found_at(classes[0], s)
+    return s[np.argsort(np.where(there, classes[1][at], 0), kind="stable")] if there.any() else s
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -99,9 +106,9 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(both[:1] * np.uint64(3) + mix(both[1:] + np.uint64(len(tokens))))[0].astype(np.int64))
 
 
-def members(docs: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
-    """Staged, one row per document: doc_id, n, node, and for the first of its kind in a task the
-    tokens to compare and the bitmap. Documents without words have no node."""
+def members(rows_: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
+    """Staged, one row per document: _k, n, node, and for the first of its kind in a task the tokens
+    to compare and the bitmap. Documents without words have no node."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -115,11 +122,10 @@ def members(docs: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
                 out.append((len(s), node, s[: rule.compared(len(s))].view(np.int64) if new else None, bitmap(s) if new else None))
             frame = pd.DataFrame(out, columns=["n", "node", "tokens", "bits"])
             frame["node"] = pd.array([r[1] for r in out], dtype="Int64")
-            frame.insert(0, "doc_id", b["doc_id"].to_numpy())
+            frame.insert(0, "_k", b["_k"].to_numpy())
             yield frame
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return stage(texts.mapInPandas(rows, "doc_id long, n long, node long, tokens array<long>, bits binary"), "jaccard-members")
+    return stage(rows_.select("_k", "text").mapInPandas(rows, "_k long, n long, node long, tokens array<long>, bits binary"), "jaccard-members")
 
 
 def _shared_tokens(member: DataFrame) -> DataFrame:
@@ -259,10 +265,10 @@ def trie_links(probe: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[in
     return linked
 
 
-def sets_of(docs: DataFrame, member: DataFrame, nodes: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
+def sets_of(texts: DataFrame, member: DataFrame, nodes: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
     """Staged: node, tokens (frequent ones first, so that tries share more) of the given nodes."""
-    source = member.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(source, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    source = member.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_k").alias("_k"))
+    chosen = texts.select("_k", "text").join(source, "_k").select("node", "text")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -270,7 +276,7 @@ def sets_of(docs: DataFrame, member: DataFrame, nodes: DataFrame, rule: Rule, cl
             own = [(k, s[::-1].tobytes()) for k, s in zip(b["node"], sets, strict=True) if len(s) and node_of(s) == k]
             yield pd.DataFrame(own, columns=["node", "tokens"])
 
-    return stage(texts.mapInPandas(rows, "node long, tokens binary"), "jaccard-sets")
+    return stage(chosen.mapInPandas(rows, "node long, tokens binary"), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -323,9 +329,19 @@ def cluster(docs: DataFrame, rule: Rule) -> DataFrame:
     Repeated rows have equal sets and so are one component; null ids take part, and a component of
     null ids only has the id null. An empty table gives no rows; other columns are ignored.
     """
-    spark: SparkSession = docs.sparkSession
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, rule))
-    member = members(docs, rule, classes)
+    rows = keyed(docs.select("doc_id", "text")).drop("_all")
+    found = clustered(rows, rule)
+    named = found.join(rows.select("_k", "doc_id"), "_k")
+    ids = named.filter("_component is not null").groupBy("_component").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(ids, "_component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_component")
+
+
+def clustered(rows: DataFrame, rule: Rule) -> DataFrame:
+    """_k, n, _component of rows (_k, text) with different _k and no null texts."""
+    spark: SparkSession = rows.sparkSession
+    classes = spark.sparkContext.broadcast(frequency_classes(rows, rule))
+    member = members(rows, rule, classes)
     shared = _shared_tokens(member)
     size = F.col("n")
     enough = 1 + F.floor(F.ceil(size * rule.num / rule.den) / EXTRA)
@@ -335,7 +351,7 @@ def cluster(docs: DataFrame, rule: Rule) -> DataFrame:
     buckets = max(1, math.ceil(shared.count() / ROWS_PER_BUCKET))
     near = stage(neighbours(shared.join(kept, "node"), rule, buckets), "jaccard-near")
     inside = near.select("node").unionByName(near.select(F.col("other").alias("node"))).distinct()
-    sets = sets_of(docs, member, inside, rule, classes)
+    sets = sets_of(rows, member, inside, rule, classes)
     tested, links = near, verified(near, sets, rule)
     inner = stage(_unmet(shared, kept, inside), "jaccard-inner")
 
@@ -343,7 +359,7 @@ def cluster(docs: DataFrame, rule: Rule) -> DataFrame:
         """sets, and those of nodes that only these pairs have."""
         named = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
         new = stage(named.join(sets, "node", "left_anti"), "jaccard-new")
-        return sets if new.isEmpty() else sets.unionByName(sets_of(docs, member, new, rule, classes))
+        return sets if new.isEmpty() else sets.unionByName(sets_of(rows, member, new, rule, classes))
 
     rest = neighbours(_open(inner, components(links), kept), rule, buckets, across=True).filter("other is not null")
     rest = stage(rest.join(tested, ["node", "other"], "left_anti"), "jaccard-near")
@@ -353,10 +369,8 @@ def cluster(docs: DataFrame, rule: Rule) -> DataFrame:
     rest = stage(rest.join(tested, ["node", "other"], "left_anti"), "jaccard-across")
     links = links.unionByName(verified(rest, with_sets(rest, sets), rule))
     roots = stage(components(links), "jaccard-roots")
-    rooted = member.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("_component", F.coalesce("root", "node"))
-    ids = rooted.filter("_component is not null").groupBy("_component").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(ids, "_component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_component")
+    rooted = member.select("_k", "n", "node").join(roots, "node", "left")
+    return rooted.select("_k", "n", F.coalesce("root", "node").alias("_component"))
 
 
 def deduplicate(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -365,7 +379,7 @@ def deduplicate(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     Rows without words stay. Repeated rows are copies of each other, so one of them stays.
     """
     rows = keyed(docs)
-    clustered = cluster(rows.select(F.col("_k").alias("doc_id"), "text"), rule or Rule())
-    first = clustered.filter("_component is not null").groupBy("_component").agg(F.min("doc_id").alias("_k"))
-    alone = clustered.filter("_component is null").select(F.col("doc_id").alias("_k"))
+    found = clustered(rows.drop("_all"), rule or Rule())
+    first = found.filter("_component is not null").groupBy("_component").agg(F.min("_k").alias("_k"))
+    alone = found.filter("_component is null").select("_k")
     return rows.join(first.select("_k").unionByName(alone), "_k", "left_semi").select("_all.*")

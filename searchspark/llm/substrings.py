@@ -5,11 +5,12 @@ one, at the same place, form a run; windows with equal bytes have equal least Q-
 offsets, so they meet in the bucket of that Q-gram.
 
 1. Runs are written as one row each: the Q-gram's hash, the hash of the run's bytes, where it is.
-   A sketch of fixed size counts runs by Q-gram first; where a Q-gram is hot, each window becomes a
-   run of its own in the bucket of its own hash. Of equal runs a batch of rows sends only the
-   first, so no bucket grows with the number of copies.
-2. In the bucket of a Q-gram, a run with the same bytes as an earlier one is wholly repeated, and a
-   run that shares its bucket with none has no repeated window. Only first runs that share a
+   Hot Q-grams are counted first; each window of theirs becomes a run of its own in the bucket of its
+   own hash. Of equal runs a batch of rows sends only the first, and a task remembers those that
+   repeat, so a bucket grows with the tasks at most and not with the number of copies.
+2. In the bucket of a Q-gram, a run equal to an earlier one is wholly repeated, and a run that shares
+   its bucket with none has no repeated window. Runs count as equal by the two 64-bit hashes of
+   Q-gram and run, 128 bits, and the bytes of equal ones are not compared. First runs that share a
    bucket with other bytes go on, as their bytes.
 3. There, positions begin in buckets of 8 bytes. Buckets are refined by sorting on the buckets of
    later offsets: 8 and 8 give 16 bytes, then 32, 64 and LENGTH. Each round uses the buckets of the
@@ -31,15 +32,17 @@ from pyspark.sql import functions as F
 
 from searchspark.llm.hashing import STRETCH, mix, prefix_sums, substring_hashes
 from searchspark.llm.keys import keyed
-from searchspark.llm.sketch import slot, slot_counts
+from searchspark.llm.sketch import found_at, frequent
 from searchspark.plans.staging import stage
 
 LENGTH, Q = 100, 24
 #: A run is at most LENGTH - Q windows longer than the first; start and extra length in one number.
 EXTRA_BITS = 10
-#: A Q-gram counts as hot when its slot of the sketch holds more runs than this, and more than so
-#: many times the mean. The runs of a hot Q-gram are dealt out window by window, by the windows' own hashes.
-HOT, HOT_TIMES = 20_000, 16
+#: A Q-gram counts as hot when it has more runs than this. The runs of a hot Q-gram are dealt out
+#: window by window, by the windows' own hashes.
+HOT = 20_000
+#: Repeated runs that a task remembers, 40 bytes each; of others each batch sends its first.
+REMEMBERED = 1_000_000
 #: Bytes of runs refined together, and rows handled together when they are written.
 BUCKET_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 24) - 1)
@@ -109,7 +112,7 @@ def _runs_of(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray, .
     keys, parts = batch["_k"].to_numpy(dtype=np.int64), []
     for data, ends, owner, offset in _pieces([t.encode() for t in batch["text"]]):
         h, s, start, length = runs(data, ends)
-        if hot is not None and len(h) and (split := hot[slot(h)]).any():
+        if hot is not None and len(h) and (split := found_at(hot, h)[0]).any():
             extra = (length - LENGTH + 1)[split]
             first = np.repeat(start[split] - np.concatenate([[0], np.cumsum(extra)[:-1]]), extra) + np.arange(extra.sum())
             sums, half = prefix_sums(data), first + LENGTH // 2
@@ -123,17 +126,47 @@ def _runs_of(batch: pd.DataFrame, hot: np.ndarray | None) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
 
 
-def hot_slots(rows: DataFrame) -> np.ndarray:
-    """Slots of the sketch whose Q-grams are hot."""
-    counts = slot_counts(rows.select("_k", "text"), lambda b: [r[0] for r in [_runs_of(b, None)] if r is not None])
-    return counts > max(HOT, HOT_TIMES * counts.mean())
+def hot_grams(rows: DataFrame) -> np.ndarray:
+    """Hashes of hot Q-grams, ascending."""
+    return frequent(rows.select("_k", "text"), lambda b: [r[0] for r in [_runs_of(b, None)] if r is not None], HOT)[0]
+
+
+class Repeated:
+    """Runs that a task has seen repeated, with the first place of each."""
+
+    def __init__(self) -> None:
+        self.key = np.empty(0, np.uint64)
+        self.rows = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+
+    def later(self, h: np.ndarray, s: np.ndarray, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of these runs (no two equal) are known from an earlier place; the first place of
+        the others that are known becomes theirs."""
+        there, i = found_at(self.key, mix(h) ^ s)
+        mh, ms, mk, mat = self.rows
+        if not len(mh):
+            return there
+        there &= (mh[i] == h) & (ms[i] == s)
+        after = there & ((mk[i] < k) | ((mk[i] == k) & (mat[i] < at)))
+        new = there & ~after
+        mk[i[new]], mat[i[new]] = k[new], at[new]
+        return after
+
+    def add(self, h: np.ndarray, s: np.ndarray, k: np.ndarray, at: np.ndarray) -> None:
+        """Remember these runs, as far as there is room."""
+        key = mix(h) ^ s
+        fresh = np.flatnonzero(~found_at(self.key, key)[0])[: max(0, REMEMBERED - len(self.key))]
+        key, place = np.unique(np.concatenate([self.key, key[fresh]]), return_index=True)
+        self.key = key
+        self.rows = [np.concatenate([old, x[fresh]])[place] for old, x in zip(self.rows, (h, s, k, at), strict=True)]
 
 
 def run_rows(hot: Broadcast):  # noqa: ANN201
     """Makes rows of RUN from batches of (_k, text). Of equal runs within a batch only the first
-    stays in its bucket; the others are known to be gone and take a bucket of their own."""
+    stays in its bucket, and only if the task has not met it before; the others are known to be gone
+    and take a bucket of their own."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = Repeated()
         for batch in batches:
             found = _runs_of(batch, hot.value)
             if found is None:
@@ -142,6 +175,11 @@ def run_rows(hot: Broadcast):  # noqa: ANN201
             order = np.lexsort((at, k, s, h))
             h, s, k, at = h[order], s[order], k[order], at[order]
             gone = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
+            first = np.flatnonzero(~gone)
+            many = np.diff(np.append(first, len(h))) > 1
+            gone[first] = met.later(h[first], s[first], k[first], at[first])
+            own = first[many]
+            met.add(h[own], s[own], k[own], at[own])
             h = np.where(gone, mix(k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
             yield pd.DataFrame({"h": h.view(np.int64), "s": s.view(np.int64), "k": k, "at": at, "gone": gone})
 
@@ -211,7 +249,7 @@ def refine(group: pd.DataFrame) -> pd.DataFrame:
 
 def judged(rows: DataFrame) -> DataFrame:
     """Staged: runs that are gone, and first runs to be refined: h, k, at, gone."""
-    hot = rows.sparkSession.sparkContext.broadcast(hot_slots(rows))
+    hot = rows.sparkSession.sparkContext.broadcast(hot_grams(rows))
     bucket, equal = Window.partitionBy("h"), Window.partitionBy("h", "s").orderBy("k", "at")
     numbered = (
         rows.select("_k", "text").mapInPandas(run_rows(hot), RUN)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, substrings, token_files, tokens, toxicity
+from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, sketch, substrings, token_files, tokens, toxicity
 from searchspark.llm.components import components
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -316,10 +316,22 @@ def removed(docs):
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_substrings(odd, empty, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "HOT_TIMES", 0 if hot == 0 else 16)
+    spark = odd.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     got = Counter(tuple(r) for r in substrings.report(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == removed(pairs(odd))
     assert substrings.report(empty).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_frequent_hashes(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "STRETCH", 500)
+    df = spark.range(4000).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100)).repartition(4)
+    known, times = sketch.frequent(df, lambda b: [b["v"].to_numpy(np.int64).view(np.uint64)], 100)
+    assert known.tolist() == [7] and times.tolist() == [1334]
+    assert sketch.found_at(known, np.array([6, 7, 8], np.uint64))[0].tolist() == [False, True, False]
+    assert sketch.frequent(df.filter("false"), lambda b: [], 1)[0].tolist() == []
 
 
 def test_substrings_with_unique_ids(spark):
