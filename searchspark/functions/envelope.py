@@ -32,8 +32,8 @@ def from_wire(raw: DataFrame) -> DataFrame:
 
 
 def parse_rfc3339(text: Column) -> Column:
-    """The instant, or null for anything else."""
-    return F.when(text.rlike(RFC3339), F.try_to_timestamp(text))
+    """The instant, or null for anything else. A comma before the fraction counts as a point."""
+    return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.replace(text, F.lit(","), F.lit("."))))
 
 
 def _blank(c: str) -> Column:
@@ -90,7 +90,8 @@ def decode_payload(df: DataFrame, col: str) -> DataFrame:
 
 
 def to_document(df: DataFrame) -> DataFrame:
-    """Adds id, _revision, and document without the two reserved names."""
-    entries = F.from_json("document_json", "map<string,string>")
-    kept = F.map_filter(entries, lambda k, v: ~k.isin("id", "_revision"))
+    """Adds id, _revision, and document: a map of the JSON document's fields without the two reserved
+    names, values as JSON kept whole at any depth (VARIANT)."""
+    fields = F.try_variant_get(F.try_parse_json("document_json"), "$", "map<string,variant>")
+    kept = F.map_filter(fields, lambda k, v: ~k.isin("id", "_revision"))
     return df.withColumns({"id": F.col("document_id"), "_revision": F.col("revision"), "document": kept})

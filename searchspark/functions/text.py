@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,21 +48,29 @@ def has_cyrillic(text: Column) -> Column:
     return text.rlike(r"\p{IsCyrillic}")
 
 
-def _spelled(text: Column, pattern: str, table: dict[str, str]) -> Column:
-    mapping = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.element_at(mapping, p), p)), "")
+def _spelled(text: Column, long: list[tuple[str, str]], single: dict[str, str]) -> Column:
+    """text with long spellings replaced one after the other, then single letters at once."""
+    for spelling, other in long:
+        text = F.replace(text, F.lit(spelling), F.lit(other))
+    letters = sorted(single, key=lambda c: (single[c] == "", c))
+    return F.translate(text, "".join(letters), "".join(single[c] for c in letters))
 
 
 def cyr_to_lat(text: Column) -> Column:
     """Cyrillic letters spelled in Latin ones; everything else stays."""
-    return _spelled(text, "(?s)(.)", CYRILLIC_TO_LATIN | {k.upper(): v for k, v in CYRILLIC_TO_LATIN.items()})
+    both = CYRILLIC_TO_LATIN | {k.upper(): v for k, v in CYRILLIC_TO_LATIN.items()}
+    return _spelled(text, [(k, v) for k, v in both.items() if len(v) > 1], {k: v for k, v in both.items() if len(v) < 2})
 
 
 def lat_to_cyr(text: Column) -> Column:
-    """Latin spellings, longest first, as Cyrillic letters; everything else stays."""
-    longest = sorted(LATIN_TO_CYRILLIC, key=lambda t: (-len(t), t))
-    return _spelled(text, f"(?s)({'|'.join(longest)}|.)", LATIN_TO_CYRILLIC)
+    """Latin spellings, from left to right and longest first, as Cyrillic letters; everything else
+    stays.
+
+    Replacing one spelling after the other comes to the same: only the s of "ts" can begin another
+    spelling ("sh", "shch"), so that one goes first, then the longest.
+    """
+    long = sorted((t for t in LATIN_TO_CYRILLIC if len(t) > 1), key=lambda t: (t != "ts", -len(t), t))
+    return _spelled(text, [(t, LATIN_TO_CYRILLIC[t]) for t in long], {k: v for k, v in LATIN_TO_CYRILLIC.items() if len(k) == 1})
 
 
 def transliterate(text: Column, normal: Callable[[Column], Column] = normalize) -> Column:
@@ -114,17 +122,35 @@ def semantic_text(columns: dict[str, Column], weights: dict[str, float] | None =
     return F.concat_ws("\n", *parts)
 
 
-def add_stems(df: DataFrame, key: list[str], text: Column, stemmer: Callable[[str], str]) -> DataFrame:
-    """Adds stems: each word's stem, distinct and in order. Every different word is stemmed once.
+#: Words whose stems a task remembers.
+KNOWN_STEMS = 500_000
 
-    Words are exploded and joined with the stemmed vocabulary; key must identify the rows.
-    """
-    words = df.select(*key, F.posexplode(tokens(normalize(text))).alias("_pos", "_word"))
 
-    def stem(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda w: stemmer(w) or w)
+def stems(text: Column, stemmer: Callable[[str], str], normal: Callable[[Column], Column] = normalize) -> Column:
+    """Each word's stem, distinct and in order; none for a null text. The different words of a text
+    visit Python, where a task stems each once, as far as it can remember them; nothing is shuffled."""
+
+    def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, str] = {}
+
+        def one(words: Iterable[str]) -> list[str]:
+            if len(known) > KNOWN_STEMS:
+                known.clear()
+            return list(dict.fromkeys(known[w] if w in known else known.setdefault(w, stemmer(w) or w) for w in words))
+
+        for batch in batches:
+            yield batch.map(lambda words: [] if words is None else one(words))
+
+    return F.pandas_udf(stemmed, "array<string>")(F.array_distinct(tokens(normal(text))))
+
 
-    vocabulary = words.select("_word").distinct().withColumn("_stem", F.pandas_udf(stem, "string")("_word"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_stem")))
-    stems = words.join(vocabulary, "_word").groupBy(*key).agg(F.array_distinct(F.transform(ordered, lambda x: x["_stem"])).alias("stems"))
-    return df.join(stems, key, "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
+def enrich(df: DataFrame, document: Column, stemmer: Callable[[str], str] | None, transliteration: bool = True) -> DataFrame:
+    """Adds _search_text, _stems and _translit of a JSON document; the last two are null where the
+    stemmer or the transliteration is left out."""
+    found = df.withColumn("_all_text", all_text(document))
+    whole = F.col("_all_text")
+    return found.withColumns({
+        "_search_text": normalize(whole),
+        "_stems": stems(whole, stemmer) if stemmer else F.lit(None).cast("array<string>"),
+        "_translit": transliterate(whole) if transliteration else F.lit(None).cast("string"),
+    }).drop("_all_text")

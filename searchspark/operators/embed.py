@@ -30,20 +30,38 @@ def hashed_vectors(df: DataFrame, text: Column, out: str = "vector", dimensions:
     return unit.withColumn(out, vector).drop("_words", "_tf", "_unit")
 
 
+def _tried(encoder: Encoder, texts: list[str]) -> tuple[list, str | None]:
+    """Vectors of texts, or none of them and what went wrong."""
+    try:
+        return encoder(texts), None
+    except Exception as e:  # noqa: BLE001
+        return [None] * len(texts), f"{type(e).__name__}: {e}"
+
+
 def embed_texts(df: DataFrame, col: str, encoder: Encoder, batch: int = MOST_TEXTS) -> DataFrame:
     """Adds vector and error by a function on lists of texts, at most batch at a time, in order.
-    A blank text gets no vector but an error, and fails nothing else."""
+    A blank text gets no vector but an error, and fails nothing else; where the function fails, its
+    texts are tried one by one, and those that still fail get the message."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b[col].tolist()
             good = [i for i, t in enumerate(texts) if t is not None and t.strip()]
             vectors: list = [None] * len(texts)
+            errors = ["texts must not be blank"] * len(texts)
             for at in range(0, len(good), batch):
                 part = good[at : at + batch]
-                for i, v in zip(part, encoder([texts[i] for i in part]), strict=True):
-                    vectors[i] = [float(x) for x in v]
-            yield b.assign(vector=vectors, error=[None if v is not None else "texts must not be blank" for v in vectors])
+                made, error = _tried(encoder, [texts[i] for i in part])
+                if error and len(part) > 1:
+                    each = [_tried(encoder, [texts[i]]) for i in part]
+                    made = [m[0] for m, _ in each]
+                    for i, (_, e) in zip(part, each, strict=True):
+                        errors[i] = e or errors[i]
+                elif error:
+                    errors[part[0]] = error
+                for i, v in zip(part, made, strict=True):
+                    vectors[i] = None if v is None else [float(x) for x in v]
+            yield b.assign(vector=vectors, error=[e if v is None else None for v, e in zip(vectors, errors, strict=True)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", vector array<float>, error string"
     return df.mapInPandas(rows, schema)

@@ -25,7 +25,9 @@ def judged(events: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
     """Adds reason and status. The first valid delivery of a source's event is accepted, later ones
     and those in the inbox are duplicates, whatever they hold."""
     checked = events.withColumn("reason", reject_reason())
-    first = Window.partitionBy(*DELIVERY, F.col("reason").isNull()).orderBy("arrival")
+    # Refused events are not numbered; their arrival keeps them from meeting in one window.
+    refused = F.when(F.col("reason").isNotNull(), F.col("arrival"))
+    first = Window.partitionBy(*DELIVERY, refused).orderBy("arrival")
     out = checked.withColumn("_n", F.row_number().over(first))
     if inbox is None:
         out = out.withColumn("_seen", F.lit(False))
@@ -38,7 +40,11 @@ def judged(events: DataFrame, inbox: DataFrame | None = None) -> DataFrame:
 
 def ingest(events: DataFrame, inbox: DataFrame | None = None) -> IngestOut:
     """Validate and deduplicate a batch of envelopes."""
-    done = judged(events, inbox)
+    return outcome(judged(events, inbox))
+
+
+def outcome(done: DataFrame) -> IngestOut:
+    """The three results of judged events."""
     message = F.coalesce("reason", F.lit(""))
     return IngestOut(
         done.select("source_service", "event_id", "arrival", "status", message.alias("message")),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from searchspark.functions.stemmer import stem
 from searchspark.functions.text import (
-    has_cyrillic, lat_to_cyr, cyr_to_lat, normalize_native, tokens,
+    cyr_to_lat, has_cyrillic, lat_to_cyr, normalize, normalize_native, stems, tokens,
 )
+from searchspark.plans.staging import stage
 
 #: One typo from this length of a query word, two from the next.
 ONE_TYPO, TWO_TYPOS = 4, 8
@@ -24,12 +28,15 @@ def token_table(index: DataFrame, fields: list[str]) -> DataFrame:
     return by_field.select("collection", "id", "l.field_rank", F.posexplode("l.words").alias("pos", "token"))
 
 
-def query_variants(queries: DataFrame, transliteration: bool = True) -> DataFrame:
-    """query_id, variant: the normal form, and that in the other alphabet."""
-    n = normalize_native(F.col("query"))
-    other = F.when(has_cyrillic(n), cyr_to_lat(n)).otherwise(lat_to_cyr(n))
-    forms = F.array(n, other) if transliteration else F.array(n)
-    return queries.select("query_id", F.explode(F.array_distinct(F.filter(forms, lambda v: v != ""))).alias("variant"))
+def query_variants(queries: DataFrame, stemmer: Callable[[str], str] | None = stem, transliteration: bool = True) -> DataFrame:
+    """query_id, variant, n: the normal form of a query, its stems, the form in the other alphabet, and
+    the stems of that; distinct, not empty, numbered in this order."""
+    normal = F.coalesce(normalize(F.col("query")), F.lit(""))
+    forms = queries.select("query_id", normal.alias("_n")).withColumn("_o", F.when(has_cyrillic(F.col("_n")), cyr_to_lat(F.col("_n"))).otherwise(lat_to_cyr(F.col("_n"))))
+    stemmed = lambda c: [F.array_join(stems(F.col(c), stemmer, lambda t: t), " ")] if stemmer else []
+    listed = F.array(F.col("_n"), *stemmed("_n"), *([F.col("_o"), *stemmed("_o")] if transliteration else []))
+    ready = forms.select("query_id", F.array_distinct(F.filter(listed, lambda v: v != "")).alias("v"))
+    return ready.select("query_id", F.posexplode("v").alias("n", "variant")).select("query_id", "variant", "n")
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -48,17 +55,56 @@ def vocabulary(token_rows: DataFrame) -> DataFrame:
     return token_rows.select("token").distinct()
 
 
+def _pieces(word: Column, k: int) -> Column:
+    """A word of the vocabulary in k + 1 pieces: array of (k, n, i, piece), n its length."""
+    n = F.length(word)
+    cut = [F.floor(n * i / (k + 1)).cast("int") for i in range(k + 2)]
+    return F.array(*(
+        F.struct(F.lit(k).alias("k"), n.alias("n"), F.lit(i).alias("i"), F.substring(word, cut[i] + 1, cut[i + 1] - cut[i]).alias("piece"))
+        for i in range(k + 1)
+    ))
+
+
+def _places(word: Column, k: int) -> Column:
+    """Where the pieces of words within k typos can lie in a query word: as _pieces(), for each length
+    n that is possible. The first piece lies at the beginning, the last one at the end, others within k
+    of their own place."""
+    m = F.length(word)
+
+    def of_length(n: Column) -> Column:
+        cut = [F.floor(n * i / (k + 1)).cast("int") for i in range(k + 2)]
+        out = []
+        for i in range(k + 1):
+            shifts = [F.lit(0)] if i == 0 else [m - n] if i == k else [F.lit(d) for d in range(-k, k + 1)]
+            size = cut[i + 1] - cut[i]
+            for d in shifts:
+                inside = (cut[i] + d >= 0) & (cut[i] + d + size <= m)
+                piece = F.when(inside, F.substring(word, cut[i] + d + 1, size))
+                out.append(F.struct(F.lit(k).alias("k"), n.alias("n"), F.lit(i).alias("i"), piece.alias("piece")))
+        return F.array(*out)
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(m - k, m + k), of_length)))
+
+
 def typo_candidates(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """qtoken, token, typos for words of the vocabulary within the allowed typos.
 
-    Query words are joined by the lengths that are possible, so only words of such lengths are
-    compared; the comparison stops beyond the allowed distance.
+    Of a word cut in k + 1 pieces, k typos leave one piece as it is. So words of the vocabulary are
+    joined by their pieces, a handful each, with the places where query words can hold them; only words
+    that share one are compared, and the comparison stops beyond the allowed distance. Query words are
+    the small side; whether they are broadcast is left to their size as Spark finds it.
     """
     asked = words.select("qtoken").distinct().withColumn("k", allowed_typos(F.col("qtoken")))
-    sized = asked.withColumn("n", F.explode(F.sequence(F.length("qtoken") - F.col("k"), F.length("qtoken") + F.col("k"))))
-    pairs = vocab.withColumn("n", F.length("token")).join(sized, "n")
-    near = pairs.withColumn("typos", F.when(F.col("token") == F.col("qtoken"), 0).otherwise(F.levenshtein("token", "qtoken", 2)))
-    return near.filter((F.col("typos") >= 0) & (F.col("typos") <= F.col("k"))).select("qtoken", "token", "typos")
+    exact = vocab.join(asked, F.col("token") == F.col("qtoken")).select("qtoken", "token", F.lit(0).alias("typos"))
+    longest, token = F.length("token"), F.col("token")
+    pieces = vocab.filter(longest >= ONE_TYPO - 1).select("token", F.explode(F.concat(
+        _pieces(token, 1), F.when(longest >= TWO_TYPOS - 2, _pieces(token, 2)).otherwise(F.slice(_pieces(token, 2), 1, 0))
+    )).alias("p")).select("token", "p.*")
+    qtoken = F.col("qtoken")
+    places = asked.filter("k > 0").select("qtoken", F.explode(F.when(F.col("k") == 1, _places(qtoken, 1)).otherwise(_places(qtoken, 2))).alias("p"))
+    near = pieces.join(places.select("qtoken", "p.*"), ["k", "n", "i", "piece"]).withColumn("typos", F.levenshtein("token", "qtoken", 2))
+    close = near.filter((F.col("typos") > 0) & (F.col("typos") <= F.col("k"))).select("qtoken", "token", "typos").distinct()
+    return exact.unionByName(close)
 
 
 def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -66,37 +112,47 @@ def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
     return words.select("qtoken").distinct().join(synonyms, F.col("qtoken") == F.col("word")).select("qtoken", F.col("synonym").alias("token"), F.lit(0).alias("typos"))
 
 
-def lexical(queries: DataFrame, token_rows: DataFrame, n_fields: int, synonyms: DataFrame | None = None) -> DataFrame:
+def lexical(
+    queries: DataFrame, token_rows: DataFrame, n_fields: int, synonyms: DataFrame | None = None, variants: DataFrame | None = None,
+) -> DataFrame:
     """query_id, collection, id and the figures of the rules: words, typos, proximity, attribute,
-    exact, asked, lexical_score.
+    exact, asked, lexical_score. token_rows should be a stored table, as it is read twice.
 
     Of the places where a query word is found in a document, the one with the fewest typos, then
     the best field, then the first counts. Proximity is the distance of neighbouring query words,
-    less one, at most FARTHEST each.
-    """
-    asked = query_tokens(queries)
+    less one, at most FARTHEST each. With variants (query_id, variant, n; see query_variants()) each
+    is asked, and the best one by score, then by number, counts.
+    """
+    forms = queries.select("query_id", "query", F.lit(0).alias("n")) if variants is None else variants.select("query_id", F.col("variant").alias("query"), "n")
+    asked = forms.select("query_id", "n", F.posexplode(tokens(normalize_native(F.col("query")))).alias("qpos", "qtoken"))
     found = typo_candidates(asked, vocabulary(token_rows))
     if synonyms is not None:
         found = found.unionByName(expand_synonyms(asked, synonyms)).groupBy("qtoken", "token").agg(F.min("typos").alias("typos"))
-    wanted = asked.join(found, "qtoken")
+    wanted = stage(asked.join(found, "qtoken"), "lexical-wanted")
     hits = token_rows.join(wanted, "token")
     place = F.struct("typos", "field_rank", "pos")
-    best = hits.groupBy("query_id", "collection", "id", "qpos").agg(F.min(place).alias("p")).select("query_id", "collection", "id", "qpos", "p.*")
-    before = Window.partitionBy("query_id", "collection", "id").orderBy("qpos")
+    hit = ["query_id", "n", "collection", "id"]
+    best = hits.groupBy(*hit, "qpos").agg(F.min(place).alias("p")).select(*hit, "qpos", "p.*")
+    before = Window.partitionBy(*hit).orderBy("qpos")
     same = F.lag("field_rank").over(before) == F.col("field_rank")
     far = F.when(same, F.least(F.abs(F.col("pos") - F.lag("pos").over(before)) - 1, F.lit(FARTHEST))).otherwise(FARTHEST)
     gap = F.when(F.lag("qpos").over(before).isNull(), 0).otherwise(F.greatest(far, F.lit(0)))
-    figures = best.withColumn("gap", gap).groupBy("query_id", "collection", "id").agg(
+    figures = best.withColumn("gap", gap).groupBy(*hit).agg(
         F.count(F.lit(1)).alias("words"), F.sum("typos").alias("typos"), F.sum("gap").alias("proximity"),
         F.min("field_rank").alias("attribute"), F.sum((F.col("typos") == 0).cast("int")).alias("exact"),
     )
-    out = figures.join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked")), "query_id")
+    out = figures.join(asked.groupBy("query_id", "n").agg(F.count(F.lit(1)).alias("asked")), ["query_id", "n"])
     parts = [
         F.col("words") / F.col("asked"), 1 - F.col("typos") / (2 * F.col("asked")), 1 / (1 + F.col("proximity")),
         1 - F.col("attribute") / n_fields, F.col("exact") / F.col("asked"),
     ]
     weights = (0.4, 0.2, 0.1, 0.1, 0.2)
-    return out.withColumn("lexical_score", sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)))
+    scored = out.withColumn("lexical_score", sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)))
+    if variants is None:
+        return scored.drop("n")
+    rest = F.struct("words", "typos", "proximity", "attribute", "exact", "asked", "lexical_score")
+    top = scored.groupBy("query_id", "collection", "id").agg(F.max_by(rest, F.struct("lexical_score", -F.col("n"))).alias("b"))
+    return top.select("query_id", "collection", "id", "b.*")
 
 
 def rules(sort: list[Column] | None = None) -> list[Column]:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchspark.functions import paging
+from searchspark.functions.text import semantic_text
 from searchspark.operators import lexical as lex
-from searchspark.operators.semantic import semantic
-from searchspark.plans.spec import CollectionSpec
+from searchspark.operators.semantic import dot, nearest, scores
+from searchspark.plans.spec import ALL, CollectionSpec
+from searchspark.plans.staging import stage
+
+# Why a request for similar documents cannot be answered.
+NOT_FOUND = "document not found"
+NOTHING_ASKED = "text or document_id is required"
+#: Columns of an index that are no fields of a document.
+RESERVED = ("collection", "id", "_revision", "_search_text", "_stems", "_translit", "content_hash", "embedding", "document")
 
 
 def build_filters(filters: dict[str, list], spec: CollectionSpec, arrays: tuple[str, ...] = ()) -> Column:
@@ -48,52 +58,142 @@ def headers(queries: DataFrame, has_vector: Column | None = None) -> DataFrame:
     })
 
 
-def fuse(lexical_hits: DataFrame, semantic_hits: DataFrame, header: DataFrame) -> DataFrame:
-    """Candidates of both kinds with score = (1 - weight) * lexical + weight * semantic, missing
-    parts 0, and the two parts as columns."""
-    both = lexical_hits.join(semantic_hits.select("query_id", "id", "semantic_score"), ["query_id", "id"], "full")
-    out = both.join(header.select("query_id", "weight"), "query_id")
+def fuse(lexical_hits: DataFrame, header: DataFrame, vectors: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """Hits that can be on a page that ends at rank deepest, with score = (1 - weight) * lexical +
+    weight * semantic, and the two parts as columns; and query_id, total of all hits.
+
+    Hits by words have their exact semantic part: their vectors are joined by id. Every other document
+    with a vector is a hit of a query with a weight, too, and stands behind all but the nearest deepest
+    of its kind, so no more of them go on; the total counts them all.
+    """
+    asked = header.select("query_id", "weight", "vector")
+    by_words = lexical_hits.join(asked, "query_id").filter("weight < 1").join(vectors, "id", "left")
+    dotted = F.when((F.col("weight") > 0) & F.col("embedding").isNotNull(), dot(F.col("embedding"), F.col("vector")))
+    by_words = stage(by_words.withColumn("semantic_score", dotted).drop("embedding", "vector"), "search-words")
+    wanted = asked.filter("weight > 0")
+    near = scores(wanted, vectors, deepest, F.col("weight")).drop("rank")
+    alone = near.join(by_words.select("query_id", "id"), ["query_id", "id"], "left_anti").join(header.select("query_id", "weight"), "query_id")
+    both = by_words.unionByName(alone, allowMissingColumns=True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    parts = out.withColumn("lexical_score", (1 - F.col("weight")) * zero("lexical_score")).withColumn("semantic_score", F.col("weight") * zero("semantic_score"))
-    kept = ((F.col("weight") < 1) & F.col("words").isNotNull()) | ((F.col("weight") > 0) & (F.col("semantic_score") > 0))
-    return parts.filter(kept).withColumn("score", F.round(F.col("lexical_score") + F.col("semantic_score"), 6))
+    parts = both.withColumn("lexical_score", (1 - F.col("weight")) * zero("lexical_score")).withColumn("semantic_score", F.col("weight") * zero("semantic_score"))
+    hits = parts.withColumn("score", F.round(F.col("lexical_score") + F.col("semantic_score"), 6))
+    n_vectors = vectors.filter("embedding is not null").count()
+    unseen = F.count(F.when((F.col("weight") == 0) | ~F.col("has_vector"), 1))
+    counted = by_words.withColumn("has_vector", F.col("semantic_score").isNotNull()).groupBy("query_id").agg(unseen.alias("_n"))
+    total = F.coalesce("_n", F.lit(0)) + F.when(F.col("weight") > 0, F.lit(n_vectors)).otherwise(0)
+    return hits, asked.join(counted, "query_id", "left").select("query_id", total.alias("total"))
+
 
+HEADER = ("query_id", "offset", "size", "effective_mode", "weight", "lexical_fallback")
 
-def respond(ranked: DataFrame, header: DataFrame) -> DataFrame:
-    """One row per hit of each query's page, with the query's header and the token of the next page."""
-    totals = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    deepest = header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 0
-    paged = ranked.filter(F.col("rank") <= deepest).join(totals, "query_id").join(header.select("query_id", "offset", "size", "effective_mode", "lexical_fallback"), "query_id")
+
+def respond(ranked: DataFrame, header: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row per hit of each query's page, with the query's header, its total and the token of the
+    next page. A query whose page is empty has one row without a hit."""
+    paged = header.select(*HEADER).join(totals, "query_id").join(ranked, "query_id", "left")
+    here = (F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size"))
     hits = F.least(F.greatest(F.col("total") - F.col("offset"), F.lit(0)), F.col("size"))
-    page = paged.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size")))
-    return page.withColumn("next_page_token", paging.next_token(F.col("offset"), hits, F.col("total"))).drop("offset", "size")
+    token = paging.next_token(F.col("offset"), hits, F.col("total"))
+    bare = header.select(*HEADER).join(totals, "query_id").filter(hits == 0)
+    page = paged.filter(here).unionByName(bare, allowMissingColumns=True)
+    return page.withColumn("next_page_token", token).drop("offset", "size")
+
+
+def _ranked(queries: DataFrame, rows: DataFrame, spec: CollectionSpec, found: DataFrame, sort: list[str] | None) -> DataFrame:
+    header = stage(headers(queries, F.col("vector").isNotNull()), "search-headers")
+    deepest = header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 1
+    hits, totals = fuse(found, header, rows.select("id", "embedding"), int(deepest))
+    order = parse_sort(sort or [], spec)
+    if order:
+        fields = [f for f in spec.sortable if f not in ("id", *hits.columns)]
+        hits = hits.join(rows.select("id", *fields), "id", "left") if fields else hits
+    first = F.when(F.col("weight") > 0, F.col("score")).desc_nulls_last()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(first, *lex.rules(order)))
+    top = hits.withColumn("rank", rank).filter(F.col("rank") <= int(deepest))
+    return respond(top.select("query_id", "rank", "id", "score", "lexical_score", "semantic_score"), header, totals)
+
+
+def _rows(index: DataFrame, spec: CollectionSpec, filters: dict[str, list] | None, arrays: tuple[str, ...]) -> DataFrame:
+    rows = index.filter(build_filters(filters or {}, spec, arrays))
+    return rows if "collection" in rows.columns else rows.withColumn("collection", F.lit(spec.name))
 
 
 def search(
     queries: DataFrame, index: DataFrame, spec: CollectionSpec, filters: dict[str, list] | None = None,
     sort: list[str] | None = None, synonyms: DataFrame | None = None, arrays: tuple[str, ...] = (),
-    neighbours: int | None = None,
+    token_rows: DataFrame | None = None, variants: DataFrame | None = None,
 ) -> DataFrame:
     """Answers to queries (query_id, query, mode, semantic_weight, page_size, page_token, vector)
     over index (id, searchable fields, embedding): one row per hit.
 
     Filters come before both kinds of search. Purely lexical queries are ranked by the rules in
-    order, others by score, then id. Every document with a vector has its semantic score; with
-    neighbours, only so many nearest of each query, others have 0.
+    order, others by score, then the rules, then id. Every document with a vector is a hit where the
+    weight is not 0, whatever its score. token_rows is a stored lexical.token_table() of the index;
+    without it one is made and stored first.
     """
-    rows = index.filter(build_filters(filters or {}, spec, arrays))
-    if "collection" not in rows.columns:
-        rows = rows.withColumn("collection", F.lit(spec.name))
-    header = headers(queries, F.col("vector").isNotNull())
+    rows = _rows(index, spec, filters, arrays)
     fields = [f for f in spec.searchable if f in rows.columns]
-    by_words = lex.lexical(queries, lex.token_table(rows, fields), len(fields), synonyms)
-    by_vector = semantic(header.filter("weight > 0"), rows.select("id", "embedding"), neighbours)
-    fused = fuse(by_words, by_vector, header)
-    order = parse_sort(sort or [], spec)
-    if order:
-        fused = fused.join(rows.select("id", *spec.sortable), "id", "left")
-    lexical_only = F.col("weight") == 0
-    first = F.when(~lexical_only, F.col("score")).desc_nulls_last()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(first, *lex.rules(order)))
-    ranked = fused.withColumn("rank", rank).select("query_id", "rank", "id", "score", "lexical_score", "semantic_score", "weight")
-    return respond(ranked, header)
+    if token_rows is None:
+        token_rows = stage(lex.token_table(rows, fields), "search-tokens")
+    elif filters:
+        token_rows = token_rows.join(rows.select("id"), "id", "left_semi")
+    found = lex.lexical(queries, token_rows, len(fields), synonyms, variants)
+    return _ranked(queries, rows, spec, found, sort)
+
+
+def similar(
+    requests: DataFrame, index: DataFrame, spec: CollectionSpec, embed: Callable[[DataFrame], DataFrame],
+    filters: dict[str, list] | None = None, arrays: tuple[str, ...] = (),
+) -> DataFrame:
+    """Documents like a text or a document: requests (query_id, text, document_id, page_size,
+    page_token) to answers as of search(), and error, which is null but for requests that cannot be
+    answered.
+
+    A text that is not blank is asked for; else the semantic fields of the document with that id, each
+    once. A document named in the request is no answer to it, even where a text is given. embed adds
+    vector to rows with the column text; it embeds texts as queries.
+    """
+    rows = _rows(index, spec, filters, arrays)
+    text = semantic_text({c: F.col(c) for c in spec.semantic})
+    own = index.select(F.col("id").cast("string").alias("_own"), text.alias("_document_text"))
+    given = F.trim(F.coalesce(F.col("text"), F.lit("")))
+    named = F.coalesce(F.col("document_id").cast("string"), F.lit(""))
+    asked = requests.withColumns({"_given": given, "_self": named}).join(own, F.col("_self") == F.col("_own"), "left")
+    error = F.when(F.col("_given") != "", None).when((F.col("_self") != "") & F.col("_own").isNull(), NOT_FOUND).when(
+        F.coalesce("_document_text", F.lit("")) == "", NOTHING_ASKED
+    )
+    full = asked.withColumn("error", error).withColumn("text", F.when(F.col("_given") != "", F.col("_given")).otherwise(F.col("_document_text")))
+    vectors = stage(embed(full.filter("error is null").select("query_id", "text", "_self", "page_size", "page_token")), "similar-vectors")
+    header = vectors.select("query_id", "_self", "vector", paging.decode_offset(F.col("page_token")).alias("offset"), paging.page_size(F.col("page_size")).alias("size"))
+    deepest = int(header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 1)
+    found = scores(header.select("query_id", "vector"), rows.select("id", "embedding"), deepest + 1)
+    named_too = found.join(header.select("query_id", "_self"), "query_id").filter(F.col("id").cast("string") != F.col("_self"))
+    ranked = named_too.withColumn("rank", nearest()).select(
+        "query_id", "rank", "id", F.col("semantic_score").alias("score"), F.lit(0.0).alias("lexical_score"), "semantic_score"
+    )
+    with_vector = rows.filter("embedding is not null")
+    n = with_vector.count()
+    selves = with_vector.select(F.col("id").cast("string").alias("_self")).distinct().withColumn("_in", F.lit(1))
+    totals = header.join(selves, "_self", "left").select("query_id", (F.lit(n) - F.coalesce("_in", F.lit(0))).cast("long").alias("total"))
+    modes = header.withColumns({"effective_mode": F.lit("SEMANTIC"), "weight": F.lit(1.0), "lexical_fallback": F.lit(False)})
+    answers = respond(ranked, modes, totals).withColumn("error", F.lit(None).cast("string"))
+    return answers.unionByName(full.filter("error is not null").select("query_id", "error"), allowMissingColumns=True)
+
+
+def response(answers: DataFrame, queries: DataFrame, index: DataFrame, spec: CollectionSpec) -> DataFrame:
+    """Answers of search() or similar() as a caller sees them: with provider_key, item_type, item_id,
+    revision, the fields that may be returned, and matched_fields of queries (query_id, query, explain)
+    that ask for them. Pages are small beside the index, which is only joined by their ids."""
+    given = lambda *names: paging.first_string(*(F.col(n) for n in names if n in index.columns))
+    shown = [f for f in (index.columns if ALL in spec.returnable else spec.returnable) if f not in RESERVED and f in index.columns]
+    texts = [f for f in shown if index.schema[f].dataType.typeName() == "string"]
+    data = index.select(
+        F.col("id"), given("provider_key", "_provider_key").alias("provider_key"), given("item_type", "_item_type").alias("item_type"),
+        (paging.as_long(F.col("_revision")) if "_revision" in index.columns else F.lit(0).cast("long")).alias("revision"), *(F.col(f).alias(f"_f_{f}") for f in shown),
+    )
+    asked = queries.select("query_id", F.col("query").alias("_query"), F.coalesce("explain", F.lit(False)).alias("_explain"))
+    joined = answers.join(asked, "query_id", "left").join(data, "id", "left")
+    matched = paging.matched_fields(F.col("_query"), {f: F.col(f"_f_{f}") for f in texts})
+    explained = joined.withColumn("matched_fields", F.when(F.col("_explain"), matched).otherwise(F.array().cast("array<string>")))
+    named = explained.withColumn("item_id", F.col("id").cast("string")).drop("id", "_query", "_explain")
+    return named.withColumnsRenamed({f"_f_{f}": f for f in shown if f not in named.columns})

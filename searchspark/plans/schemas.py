@@ -7,7 +7,7 @@ ENVELOPE = (
 APPLIED = "collection string, document_id string, revision bigint, operation string, digest string, document_json string"
 INDEX = (
     "collection string, id string, _revision bigint, document string, _search_text string, _stems array<string>, "
-    "_translit string, content_hash string, embedding array<float>"
+    "_translit string, content_hash string, semantic_text string, embedding array<float>"
 )
 REJECTED = (
     "source_service string, event_id string, collection string, document_id string, revision bigint, "
@@ -18,4 +18,4 @@ BACKLOG = (
     "collection string, document_id string, revision bigint, content_hash string, model_version string, "
     "semantic_text string, attempts int, next_attempt_at timestamp, status string, last_error string"
 )
-INBOX = "source_service string, event_id string"
+INBOX = "source_service string, event_id string, payload string, arrival bigint"

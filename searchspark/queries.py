@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from searchspark.functions import envelope, paging, text
@@ -13,7 +13,8 @@ from searchspark.operators import embed, gate, index, ingest, lexical, search, s
 from searchspark.plans.staging import new_path, stage, table
 from searchspark.sources import fixtures
 from searchspark.sources.fixtures import ENVELOPES_SQL
-from searchspark.streaming.engine import SearchEngine, apply, stream_dedup
+from searchspark.plans.schemas import APPLIED, INBOX
+from searchspark.streaming.engine import SearchEngine, apply, event_files, stream_dedup
 from searchspark.plans.spec import CollectionSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,13 +92,13 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_STATUS} select source_service, event_id, arrival from done where status = 'accepted'")
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first valid delivery of each event."""
+    """I4: the first valid delivery of each event."""
     return _accepted(spark, sf_dir).select("source_service", "event_id", "arrival")
 
 
 @query(f"with {_DECIDED} select arrival, decision from decided")
 def revision_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision on each accepted event."""
+    """The decision on each accepted event."""
     return gate.decide(_accepted(spark, sf_dir)).select("arrival", "decision")
 
 
@@ -113,25 +114,78 @@ def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.rebuild(_state(spark, sf_dir))
 
 
-def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = _accepted(spark, sf_dir)
-    early = apply(events.filter("arrival % 1000000000 < 5000"), spark.createDataFrame([], "collection string, document_id string, revision bigint, operation string, digest string, document_json string"), [PROFILES])
+def _batches(spark: SparkSession, sf_dir: str, rows: DataFrame) -> list[DataFrame]:
+    """rows in two batches of about equal size, by arrival; a second delivery is in the batch of the first."""
+    half = table(spark, sf_dir, "events").count() // 2
+    early = F.col("arrival") % 1000000000 < half
+    return [rows.filter(early), rows.filter(~early)]
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions on both batches, the index kept up to date, and the state after both."""
+    first, second = _batches(spark, sf_dir, _accepted(spark, sf_dir))
+    early = apply(first, spark.createDataFrame([], APPLIED), [PROFILES])
     state = stage(early.applied, "applied")
-    late = gate.decide(events.filter("arrival % 1000000000 >= 5000"), state)
-    changed = gate.current_state(late.filter("decision = 'new'"))
-    return index.apply_to_index(index.rebuild(state), changed), gate.current_state(late, state)
+    late = gate.decide(second, state)
+    changed = gate.current_state(late)
+    return early.decisions.unionByName(late), index.apply_to_index(index.rebuild(state), changed), gate.current_state(late, state)
+
+
+@query(f"with {_DECIDED} select arrival, decision from decided")
+def decisions_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision on each event, the second half against the state that the first half left."""
+    return _two_batches(spark, sf_dir)[0].select("arrival", "decision")
+
+
+@query(f"with {_STATE} select collection, document_id as id, revision as _revision, document_json as document from state where operation = 'upsert'")
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after two batches, the second one applied to what the first one left."""
+    return _two_batches(spark, sf_dir)[1]
+
+
+@query(f"with {_DECIDED} select arrival, decision, cast(json_extract_string(document_json, '$.k') as bigint) as k from decided where operation = 'upsert'")
+def audited_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions with the payloads that the inbox holds, decoded again."""
+    accepted = _accepted(spark, sf_dir)
+    inbox = accepted.select(*ingest.DELIVERY, envelope.canonical_payload().alias("payload"), "arrival").select(*(c.split()[0] for c in INBOX.split(", ")))
+    held = ingest.audit_payloads(gate.decide(accepted).select(*ingest.DELIVERY, "arrival", "decision"), inbox)
+    again = envelope.decode_payload(held, "payload").filter("reason is null and operation = 'upsert'")
+    decided = held.select("source_service", "event_id", "arrival", "decision")
+    k = F.get_json_object("document_json", "$.k").cast("bigint").alias("k")
+    return again.drop("arrival").join(decided, ingest.DELIVERY).select("arrival", "decision", k)
+
+
+@query(f"with {_VALID} select arrival, document_id as id, revision as _revision, cast(json_extract_string(document_json, '$.k') as bigint) as k, 1 as n_fields from valid where operation = 'upsert'")
+def flat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of events, with id and revision and without reserved names."""
+    rows = fixtures.envelopes(spark, sf_dir).filter(envelope.reject_reason().isNull()).filter("operation = 'upsert'")
+    flat = envelope.to_document(rows)
+    return flat.select("arrival", "id", "_revision", F.try_variant_get(F.element_at("document", "k"), "$", "bigint").alias("k"), F.size("document").alias("n_fields"))
+
+
+@query(f"with {_STATE} select document_id as id, revision as _revision from state where operation = 'upsert' and cast(document_id as bigint) % 3 <> 0")
+def retired_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without a collection, and without one that it never had."""
+    old = F.when(F.col("id").cast("bigint") % 3 == 0, "old").otherwise(F.col("collection"))
+    return index.retire(index.rebuild(_state(spark, sf_dir)).withColumn("collection", old), ["old", "absent"]).select("id", "_revision")
+
+
+@query(f"with {_STATE} select a.arrival from accepted a join state s using (collection, document_id, revision) where s.operation = 'upsert'")
+def current_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts queued with each event, those whose revision is still the applied one."""
+    return embed.still_current(_accepted(spark, sf_dir), _state(spark, sf_dir)).select("arrival")
 
 
 @query("select count(*) * 0 as differences from events")
 def rebuild_equals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which the incremental index and one built anew differ."""
-    incremental, applied = _two_batches(spark, sf_dir)
+    _, incremental, applied = _two_batches(spark, sf_dir)
     return index.audit(applied, incremental).agg(F.count(F.lit(1)).alias("differences"))
 
 
 @query(f"with {_STATE} select collection, document_id as id, revision as expected from state where operation = 'upsert' and cast(document_id as bigint) % 7 = 0")
 def audit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index that lost every seventh document lacks."""
+    """What an index that lost every seventh document lacks."""
     applied = _state(spark, sf_dir)
     damaged = index.rebuild(applied).filter(F.col("id").cast("bigint") % 7 != 0)
     return index.audit(applied, damaged).select("collection", "id", "expected")
@@ -146,7 +200,7 @@ def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_STATE} select document_id as id, cast(json_extract_string(document_json, '$.k') as bigint) as k from state where operation = 'upsert'")
 def materialized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field of the documents as a column."""
+    """A field of the documents as a column."""
     spec = CollectionSpec("profiles", searchable=("k",))
     return index.materialize(index.rebuild(_state(spark, sf_dir)), spec).select("id", paging.as_long(F.col("k")).alias("k"))
 
@@ -184,13 +238,20 @@ def returnable_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.returnable(rows, fixtures.POSTS).select("id", "title")
 
 
-@query("""select d.doc_id as id, coalesce(len(e.embedding), 0) as dimensions from documents d left join embeddings e on e.vec_id = d.doc_id""")
+@query("""select d.doc_id as id, coalesce(len(e.embedding), 0) as dimensions, coalesce(round(list_sum(list_transform(e.embedding, lambda x, i: cast(x as double) * i)), 4), 0) as mark
+from documents d left join embeddings e on e.vec_id = d.doc_id""")
 def patched_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new vector column, null at first, and late vectors written into it."""
     rows = fixtures.posts(spark, sf_dir).select("collection", F.col("id").cast("bigint").alias("id"), "title")
     late = fixtures.vector_index(spark, sf_dir).select(F.lit("posts").alias("collection"), "id", F.col("embedding").alias("vector"))
     patched = embed.patch_vectors(index.add_embedder(rows, "embedding"), late)
-    return patched.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint").alias("dimensions"))
+    return patched.select("id", F.coalesce(F.size("embedding"), F.lit(0)).cast("bigint").alias("dimensions"), F.coalesce(_mark("embedding"), F.lit(0.0)).alias("mark"))
+
+
+def _mark(vector: str) -> Column:
+    """A number that tells vectors apart: their entries by their places."""
+    entries = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(entries, F.lit(0.0), lambda a, b: a + b), 4)
 
 
 # Text
@@ -224,24 +285,34 @@ def transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems of all documents; each different word is stemmed once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return text.add_stems(docs, ["doc_id"], F.col("text"), stem).select("doc_id", "stems")
+    """Stems of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.stems(F.col("text"), stem).alias("stems"))
 
 
-@query()
+_JOINED = "concat_ws(' ', text, lang, source, string_split(text, chr(10))[1])"
+
+
+@query(f"""with n as (select doc_id, {_NORMAL.format(_JOINED)} as t from documents), m as (select {_MAP} as m)
+select doc_id, t as _search_text, array_to_string(list_transform(regexp_extract_all(t, '(?s)({'|'.join(_LATIN)}|.)', 1), lambda x: coalesce(m[x], x)), '') as _translit from n, m""")
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search text and transliteration of documents given as JSON."""
     doc = F.to_json(F.struct("title", "content", "tags"))
-    rows = fixtures.posts(spark, sf_dir).select("id", text.all_text(doc).alias("all"))
-    return rows.select("id", text.normalize(F.col("all")).alias("_search_text"), text.transliterate(F.col("all")).alias("_translit"))
+    rows = fixtures.posts(spark, sf_dir).select(F.col("id").cast("bigint").alias("doc_id"), doc.alias("document"))
+    return text.enrich(rows, F.col("document"), stem).select("doc_id", "_search_text", "_translit")
 
 
-@query("select doc_id, list_distinct([lower(lang), lower(source)]) is not null as ok, len(list_distinct([lower(lang), lower(source)])) as n from documents")
+@query("select doc_id, case when lower(lang) = lower(source) then lower(lang) else concat_ws('|', nullif(lower(lang), ''), nullif(lower(source), '')) end as tags from documents")
 def unique_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: distinct non-empty tags."""
-    tags = text.unique_non_empty(F.array("lang", "source"))
-    return table(spark, sf_dir, "documents").select("doc_id", tags.isNotNull().alias("ok"), F.size(tags).cast("bigint").alias("n"))
+    """A2: distinct non-empty tags, in order."""
+    tags = text.unique_non_empty(F.array("lang", "source", F.upper("lang"), F.lit(" ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tags, "|").alias("tags"))
+
+
+@query("select doc_id, sha256('query: ' || text) as asked, sha256('passage: ' || text) as stored from documents")
+def role_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as an encoder gets them."""
+    asked, stored = (F.sha2(text.with_role(F.col("text"), r), 256) for r in ("query", "passage"))
+    return table(spark, sf_dir, "documents").select("doc_id", asked.alias("asked"), stored.alias("stored"))
 
 
 # Vectors
@@ -276,12 +347,24 @@ def _cache(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("content_hash", F.lit(embed.MODEL).alias("model_version"), F.size("vector").alias("dimensions"), "vector")
 
 
-@query()
+def _letters_sql(name: str, source: str, prefix: str) -> str:
+    """CTEs for the encoder of fixtures.letters() over source (id, st)."""
+    return f"""{name}_n as (select id, list_transform(range(97, 123), lambda c: len('{prefix}' || st) - len(replace('{prefix}' || st, chr(c::int), ''))) as n from ({source}) where st <> ''),
+{name} as (select id, list_transform(n, lambda x: cast(x / sqrt(list_sum(list_transform(n, lambda y: y * y))) as float)) as v from {name}_n)"""
+
+
+_PASSAGES = _letters_sql("pe", f"select doc_id as id, {_SEMANTIC} as st from documents", "passage: ")
+
+
+@query(f"""with {_PASSAGES}, h as (select doc_id as id, sha256({_SEMANTIC}) as content_hash from documents),
+known as (select content_hash, arg_min(embedding, id) as v from h join embeddings on id = vec_id group by content_hash),
+own as (select h.id, coalesce(known.v, pe.v) as v from h left join known using (content_hash) left join pe on pe.id = h.id)
+select id, len(v) as dimensions, round(list_sum(list_transform(v, lambda x, i: cast(x as double) * i)), 4) as mark from own""")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all documents, from the cache or encoded once per text."""
+    """Vectors of all documents, from the cache or encoded once per text."""
     rows = _semantic(spark, sf_dir)
-    out, _ = embed.embed_cached(rows, _cache(rows, spark, sf_dir))
-    return out.select("id", F.size("vector").alias("dimensions"), F.round(semantic.dot(F.col("vector"), F.col("vector")), 3).alias("length"))
+    out, _ = embed.embed_cached(rows, _cache(rows, spark, sf_dir), fixtures.letters)
+    return out.select("id", F.size("vector").cast("bigint").alias("dimensions"), _mark("vector").alias("mark"))
 
 
 def _backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,39 +397,72 @@ def retry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Semantic search
 
 _DOT = "round(list_dot_product(cast(v.embedding as double[]), cast(q.embedding as double[])), 6)"
-_RANKED = f"""select q.vec_id as query_id, v.vec_id as id, {_DOT} as semantic_score from embeddings v, embeddings q where q.vec_id < 5"""
+_RANKED = f"""select q.vec_id as query_id, v.vec_id as id, {_DOT} as semantic_score from embeddings v, embeddings q where q.vec_id % 50 = 0"""
 
 
 @query(f"""with s as ({_RANKED}), r as (select *, row_number() over (partition by query_id order by semantic_score desc, id) as rank from s)
 select query_id, id, semantic_score, rank from r where rank <= 10""")
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest documents."""
+    """The ten nearest documents of every fiftieth vector."""
     return semantic.semantic(fixtures.vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
 
 
 @query(f"""with s as ({_RANKED} and q.vec_id <> v.vec_id), r as (select *, row_number() over (partition by query_id order by semantic_score desc, id) as rank from s)
 select query_id, id, semantic_score, rank from r where rank <= 10""")
 def similar_to_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: the ten nearest to a document by its stored vector, itself left out."""
+    """V3: the ten nearest to every fiftieth document by its stored vector, itself left out."""
     return semantic.similar(fixtures.vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
 
 
-@query(SQL["semantic_topk"].replace("q.vec_id < 5", "q.vec_id % 50 = 0"))
-def semantic_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As semantic_topk, of every fiftieth vector."""
-    return semantic.semantic(fixtures.all_vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
+def _post_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with vectors of letters."""
+    rows = fixtures.posts(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
+    semantic_text_ = text.semantic_text({c: F.col(c) for c in fixtures.POSTS.semantic}, fixtures.POSTS.semantic_weights)
+    hashed = rows.withColumn("semantic_text", semantic_text_).withColumn("content_hash", text.content_hash(F.col("semantic_text")))
+    cache = spark.createDataFrame([], "content_hash string, model_version string, dimensions int, vector array<float>")
+    return embed.embed_cached(hashed, cache, fixtures.letters)[0].withColumnRenamed("vector", "embedding")
+
+
+def _as_query(rows: DataFrame) -> DataFrame:
+    asked = rows.withColumn("_query", text.with_role(F.col("text"), "query"))
+    return embed.embed_texts(asked, "_query", fixtures.letters).drop("_query", "error")
+
+
+def _similar_sql(source: str, unlike: str) -> str:
+    return f"""with {_PASSAGES}, {_letters_sql('qe', source, 'query: ')},
+s as (select qe.id as query_id, pe.id, round(list_dot_product(cast(pe.v as double[]), cast(qe.v as double[])), 6) as score from qe, pe where {unlike}),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, count(*) over (partition by query_id) as total from s)"""
+
+
+@query(f"{_similar_sql('select item_id as id, trim(text) as st from benchmark', 'true')} select query_id, id, rank, score, total from r where rank > 20 and rank <= 50")
+def similar_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like a text, embedded as a query; the second page."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("document_id"), F.lit(30).alias("page_size"), paging.encode_offset(F.lit(20)).alias("page_token")
+    )
+    return search.similar(asked, _post_index(spark, sf_dir), fixtures.POSTS, _as_query).select("query_id", "id", "rank", "score", "total")
+
+
+_OWN_TEXT = f"select doc_id as id, concat_ws(chr(10), nullif({_TITLE}, ''), nullif(text, '')) as st from documents where doc_id % 50 = 0"
 
 
-@query(SQL["similar_to_document"].replace("q.vec_id < 5", "q.vec_id % 50 = 0"))
-def similar_to_document_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: as similar_to_document, of every fiftieth vector."""
-    return semantic.similar(fixtures.all_vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
+@query(f"""{_similar_sql(_OWN_TEXT, 'qe.id <> pe.id')} select query_id, id, rank, score, total, '' as error from r where rank <= 20
+union all select -doc_id - 1, null, null, null, null, 'document not found' from documents where doc_id % 100 = 0""")
+def similar_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like every fiftieth document, its text embedded as a query, itself left
+    out; ids that there are not give an error."""
+    docs = table(spark, sf_dir, "documents")
+    rest = [F.lit("").alias("text"), F.lit(0).alias("page_size"), F.lit("").alias("page_token")]
+    known = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("document_id"), *rest)
+    unknown = docs.filter("doc_id % 100 = 0").select((-F.col("doc_id") - 1).alias("query_id"), F.lit("no such document").alias("document_id"), *rest)
+    out = search.similar(known.unionByName(unknown), _post_index(spark, sf_dir), fixtures.POSTS, _as_query)
+    return out.select("query_id", "id", "rank", "score", "total", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query()
 def semantic_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by random projections, exact scores."""
-    return semantic.semantic_lsh(fixtures.all_vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
+    """Candidates that lie on the same sides of random planes, exact scores."""
+    return semantic.semantic_lsh(fixtures.vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
 
 
 # Lexical search
@@ -360,6 +476,7 @@ ql as (select query_id, query, regexp_extract_all(trim(regexp_replace(lower(quer
 asked as (select query_id, cast(unnest(range(len(w))) as integer) as qpos, unnest(w) as qtoken from ql)"""
 #: DuckDB's levenshtein counts bytes; tokens are in lower case, so capitals stand in for accented letters.
 _ONE_BYTE = "translate({0}, 'áàâäéèêëíîïóôöùúûüñçß', 'ABCDEFGHIJKLMNOPQRSTU')"
+_ASKED_ALL = _ASKED.replace("[1:1 + item_id % 7] as w", " as w")
 _CANDIDATES = f"""cand as (select qtoken, token, levenshtein({_ONE_BYTE.format('token')}, {_ONE_BYTE.format('qtoken')}) as typos from (select distinct qtoken from asked), (select distinct token from tok)
   where abs(length(token) - length(qtoken)) <= case when length(qtoken) < 4 then 0 when length(qtoken) < 8 then 1 else 2 end
   and levenshtein({_ONE_BYTE.format('token')}, {_ONE_BYTE.format('qtoken')}) <= case when length(qtoken) < 4 then 0 when length(qtoken) < 8 then 1 else 2 end)"""
@@ -375,16 +492,20 @@ def _post_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.token_table(rows, ["title", "content"])
 
 
+def _stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(_post_tokens(spark, sf_dir), "tokens")
+
+
 @query(f"with {_TOKENS} select token, count(*) as n, count(distinct id) as documents from tok group by token")
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token table, summed up by token."""
     return _post_tokens(spark, sf_dir).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("documents"))
 
 
-@query(f"with {_TOKENS}, {_ASKED}, {_CANDIDATES} select qtoken, token, cast(typos as integer) as typos from cand")
+@query(f"with {_TOKENS}, {_ASKED_ALL}, {_CANDIDATES} select qtoken, token, cast(typos as integer) as typos from cand")
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: words within the typos that query words may have."""
-    asked = lexical.query_tokens(fixtures.text_queries(spark, sf_dir))
+    asked = lexical.query_tokens(fixtures.whole_queries(spark, sf_dir))
     return lexical.typo_candidates(asked, lexical.vocabulary(_post_tokens(spark, sf_dir)))
 
 
@@ -393,25 +514,44 @@ def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 select query_id, id, rank, words, typos, proximity, attribute, exact from r where rank <= 20""")
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents by the ranking rules."""
-    found = lexical.lexical(fixtures.text_queries(spark, sf_dir), _post_tokens(spark, sf_dir), 2)
+    found = lexical.lexical(fixtures.text_queries(spark, sf_dir), _stored_tokens(spark, sf_dir), 2)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*lexical.rules()))
     top = found.withColumn("rank", rank).filter("rank <= 20")
     return top.select("query_id", "id", "rank", "words", "typos", "proximity", "attribute", "exact")
 
 
-@query("""with r as (select r_name, lower(r_name) as w from region), n as (select lower(n_name) as synonym, n_regionkey from nation)
-select w as qtoken, synonym as token, 0 as typos from r join region on region.r_name = r.r_name join n on n_regionkey = r_regionkey""")
+_SYNONYMS = """voc as (select distinct token from tok), syn as (select a.token as word, b.token as synonym from voc a join voc b on b.token = a.token || 's'
+  union all select b.token, a.token from voc a join voc b on b.token = a.token || 's')"""
+
+
+@query(f"""with {_TOKENS}, {_ASKED}, {_CANDIDATES.replace('cand as', 'near as')}, {_SYNONYMS},
+cand as (select qtoken, token, min(typos) as typos from (select * from near union all select qtoken, synonym, 0 from (select distinct qtoken from asked) join syn on word = qtoken) group by all),
+{_FIGURES}, r as (select *, row_number() over (partition by query_id order by words desc, typos, proximity, attribute, exact desc, id) as rank from fig)
+select query_id, id, rank, words, typos, proximity, attribute, exact from r where rank <= 20""")
 def synonym_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of regions expanded by those of their nations."""
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    synonyms = region.join(nation, F.col("r_regionkey") == F.col("n_regionkey")).select(F.lower("r_name").alias("word"), F.lower("n_name").alias("synonym"))
-    return lexical.expand_synonyms(region.select(F.lower("r_name").alias("qtoken")), synonyms)
+    """Lexical search in which plural forms in the vocabulary count as their singular and the other
+    way round."""
+    tokens = _stored_tokens(spark, sf_dir)
+    words = lexical.vocabulary(tokens).select(F.col("token").alias("word"))
+    plural = words.select(F.col("word").alias("synonym")).join(words, F.col("synonym") == F.concat("word", F.lit("s")))
+    synonyms = plural.select("word", "synonym").unionByName(plural.select(F.col("synonym").alias("word"), F.col("word").alias("synonym")))
+    found = lexical.lexical(fixtures.text_queries(spark, sf_dir), tokens, 2, stage(synonyms, "synonyms"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*lexical.rules()))
+    return found.withColumn("rank", rank).filter("rank <= 20").select("query_id", "id", "rank", "words", "typos", "proximity", "attribute", "exact")
 
 
-@query()
+@query(f"""with n as (select item_id as query_id, {_NORMAL.format('text')} as t from benchmark), m as (select {_MAP} as m),
+f as (select query_id, t, array_to_string(list_transform(regexp_extract_all(t, '(?s)({'|'.join(_LATIN)}|.)', 1), lambda x: coalesce(m[x], x)), '') as o from n, m)
+select query_id, t as variant from f where t <> '' union all select query_id, o from f where o not in ('', t)""")
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal form and other alphabet of queries."""
-    return lexical.query_variants(fixtures.text_queries(spark, sf_dir))
+    """Normal form and other alphabet of queries, without the stems, which SQL cannot make."""
+    return lexical.query_variants(fixtures.whole_queries(spark, sf_dir), stemmer=None).select("query_id", "variant")
+
+
+@query()
+def query_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All variants of queries, with stems."""
+    return lexical.query_variants(fixtures.whole_queries(spark, sf_dir))
 
 
 # Search as a whole
@@ -461,73 +601,120 @@ def explain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", paging.matched_fields(F.lit("E"), {"text": F.col("text"), "lang": F.col("lang")}).alias("fields"))
 
 
-@query(f"""with {_TOKENS}, {_ASKED}, {_CANDIDATES}, {_FIGURES},
-vec as (select q.query_id, v.vec_id as id, round(list_dot_product(cast(v.embedding as double[]), cast(e.embedding as double[])), 6) as s
+_AUTO = """case when len(string_split(trim(query), ' ')) between 3 and 5 and not contains(query, '"') then 0.45::double when len(string_split(trim(query), ' ')) >= 6 then 0.7::double else 0.2::double end"""
+_HAS_VECTOR = "exists (select 1 from embeddings where vec_id = query_id)"
+
+
+def _search_sql(weight: str, sort: str = "") -> str:
+    """CTEs up to r: ranked hits of all queries, with totals."""
+    return f"""with {_TOKENS}, {_ASKED}, {_CANDIDATES}, {_FIGURES},
+vec as (select q.query_id, v.vec_id as id, list_dot_product(cast(v.embedding as double[]), cast(e.embedding as double[])) as s
   from qs q join embeddings e on e.vec_id = q.query_id, embeddings v),
-top as (select *, row_number() over (partition by query_id order by s desc, id) as r from vec),
 n as (select query_id, count(*) as asked from asked group by query_id),
-hdr as (select query_id, case when exists (select 1 from embeddings where vec_id = query_id) then
-  case when len(string_split(trim(query), ' ')) between 3 and 5 and not contains(query, '"') then 0.45::double when len(string_split(trim(query), ' ')) >= 6 then 0.7::double else 0.2::double end
-  else 0.0::double end as weight from qs),
+hdr as (select query_id, case when {_HAS_VECTOR} then {weight} else 0.0::double end as weight from qs),
 lex as (select fig.*, 0.0 + words / asked * 0.4 + (1 - typos / (2 * asked)) * 0.2 + (1 / (1 + proximity)) * 0.1 + (1 - attribute / 2) * 0.1 + exact / asked * 0.2 as ls from fig join n using (query_id)),
-f as (select query_id, id, words, typos, proximity, attribute, exact, weight, (1 - weight) * coalesce(ls, 0) as a, weight * coalesce(s, 0) as b
-  from lex full join (select query_id, id, s from top where r <= 200) using (query_id, id) join hdr using (query_id)),
-k as (select *, round(a + b, 6) as score from f where (weight < 1 and words is not null) or (weight > 0 and b > 0)),
+f as (select query_id, id, words, typos, proximity, attribute, exact, weight, s, (1 - weight) * coalesce(ls, 0) as a, weight * coalesce(s, 0) as b
+  from lex full join vec using (query_id, id) join hdr using (query_id)),
+k as (select *, round(a + b, 6) as score from f where (weight < 1 and words is not null) or (weight > 0 and s is not null)),
 r as (select *, row_number() over (partition by query_id order by case when weight > 0 then score end desc nulls last, words desc nulls last, typos nulls first,
-  proximity nulls first, attribute nulls first, exact desc nulls last, id) as rank, count(*) over (partition by query_id) as total from k)
-select query_id, rank, id, score, total from r where rank <= 20""")
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As hybrid_search_all, with the 200 nearest of each query only."""
-    return _hybrid(spark, sf_dir, neighbours=200)
+  proximity nulls first, attribute nulls first, {sort} exact desc nulls last, id) as rank, count(*) over (partition by query_id) as total from k)"""
 
 
-@query(SQL["hybrid_search"].replace(" where r <= 200", ""))
-def hybrid_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of hybrid search. Queries take the vector with their
-    number; those without one fall back to words alone."""
-    return _hybrid(spark, sf_dir)
+def _asked_with_vectors(spark: SparkSession, sf_dir: str, mode: Column, size: int, offset: int) -> DataFrame:
+    """Queries take the vector with their number; those without one fall back to words alone."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return fixtures.text_queries(spark, sf_dir).join(vectors, "query_id", "left").select(
+        "query_id", "query", mode.alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(size).alias("page_size"),
+        (paging.encode_offset(F.lit(offset)) if offset else F.lit("")).alias("page_token"), "vector",
+    )
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, neighbours: int | None = None) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    q = fixtures.text_queries(spark, sf_dir).join(vectors, "query_id", "left").select(
-        "query_id", "query", F.lit("").alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), "vector"
-    )
+def _posts_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.posts(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
-    rows = docs.join(fixtures.vector_index(spark, sf_dir), "id", "full")
-    return search.search(q, rows, fixtures.POSTS, neighbours=neighbours).select("query_id", "rank", "id", "score", "total")
+    return docs.join(fixtures.vector_index(spark, sf_dir), "id", "full")
+
+
+@query(f"""{_search_sql(_AUTO)} select query_id, rank, id, score, total, round(a, 6) as lexical_score, round(b, 6) as semantic_score from r where rank <= 20""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of hybrid search over all documents."""
+    asked = _asked_with_vectors(spark, sf_dir, F.lit(""), 20, 0)
+    parts = [F.round(c, 6).alias(c) for c in ("lexical_score", "semantic_score")]
+    return search.search(asked, _posts_with_vectors(spark, sf_dir), fixtures.POSTS).select("query_id", "rank", "id", "score", "total", *parts)
+
+
+_PAGE_MODE = "case query_id % 3 when 0 then 0.0::double when 1 then 1.0::double else " + _AUTO + " end"
+
+
+@query(f"""{_search_sql(_PAGE_MODE, 'id desc,')}, t as (select query_id, weight, coalesce(max(total), 0) as total from hdr left join r using (query_id, weight) group by all)
+select t.query_id, r.rank, r.id, r.score, t.total, t.weight,
+  case when 200 + least(greatest(t.total - 200, 0), 30) < t.total then replace(replace(rtrim(base64(encode(cast(200 + least(greatest(t.total - 200, 0), 30) as varchar))), '='), '+', '-'), '/', '_') else '' end as next_page_token
+from t left join (select * from r where rank > 200 and rank <= 230) r using (query_id)""")
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page from rank 201 of lexical, semantic and hybrid search, with a
+    declared sort; a query whose page is empty has one row."""
+    mode = F.when(F.col("query_id") % 3 == 0, "LEXICAL").when(F.col("query_id") % 3 == 1, "SEMANTIC").otherwise("")
+    out = search.search(_asked_with_vectors(spark, sf_dir, mode, 30, 200), _posts_with_vectors(spark, sf_dir), fixtures.POSTS, sort=["id:desc"])
+    return out.select("query_id", "rank", "id", "score", "total", "weight", "next_page_token")
+
+
+@query(f"""{_search_sql('0.0::double')}, asked_all as (select query_id, query from qs union all select -1, 'qqzzxx')
+select q.query_id, r.rank, cast(r.id as varchar) as item_id, case when r.id is null then '' else d.lang end as provider_key, case when r.id is null then '' else d.source end as item_type,
+  case when r.id is null then 0 else d.doc_id % 9 end as revision, {_TITLE} as title, coalesce(r.total, 0) as total,
+  case when q.query_id % 2 = 0 and contains(lower({_TITLE}), lower(q.query)) then 'title' else '' end as matched
+from asked_all q left join (select * from r where rank <= 20) r using (query_id) left join documents d on d.doc_id = r.id""")
+def search_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a caller sees them, and the header of a query without hits."""
+    rest = [F.lit("LEXICAL").alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), F.lit(None).cast("array<float>").alias("vector")]
+    asked = fixtures.text_queries(spark, sf_dir).unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("query_id"), F.lit("qqzzxx").alias("query"))).select("*", (F.col("query_id") % 2 == 0).alias("explain"), *rest)
+    rows = fixtures.posts(spark, sf_dir).withColumns({"id": F.col("id").cast("bigint"), "embedding": F.lit(None).cast("array<float>"), "provider_key": F.lit(None).cast("string"), "_provider_key": F.col("lang"), "item_type": F.col("source"), "_revision": (F.col("id").cast("bigint") % 9).cast("string")})
+    out = search.response(search.search(asked, rows, fixtures.POSTS), asked, rows, fixtures.POSTS)
+    matched = F.array_join("matched_fields", ",").alias("matched")
+    empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("provider_key", "item_type")]
+    return out.select("query_id", "rank", "item_id", *empty, F.coalesce("revision", F.lit(0)).alias("revision"), "title", "total", F.coalesce(matched, F.lit("")).alias("matched"))
 
 
 # Streams
 
-@query()
+@query(f"with {_VALID} select distinct source_service, event_id from valid")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4 T1 as a stream: first deliveries of a table of events, read in files."""
     path, out = new_path(spark, "stream-in"), new_path(spark, "stream-out")
     fixtures.envelopes(spark, sf_dir).repartition(4, "event_id").write.parquet(path)
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    source = event_files(spark, path, spark.read.parquet(path).schema, files_per_pass=2)
     flow = stream_dedup(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-check"))
     flow.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("source_service", "event_id")
 
 
-@query()
-def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The applied state after two batches of a stream."""
+def _streamed(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """An engine that took the envelopes as a stream of two batches."""
     root, path = new_path(spark, "engine"), new_path(spark, "stream-in")
-    for part in (0, 1):
-        rows = fixtures.envelopes(spark, sf_dir).filter((F.col("arrival") % 1000000000 >= 5000).cast("int") == part)
-        rows.write.mode("append").parquet(f"{path}/part={part}")
+    rows = fixtures.envelopes(spark, sf_dir)
+    for part in _batches(spark, sf_dir, rows):
+        part.coalesce(1).write.mode("append").parquet(path)
     engine = SearchEngine(spark, [PROFILES], root)
-    events = spark.read.parquet(path)
-    batches = 0
-    for part in (0, 1):
-        source = spark.readStream.schema(events.drop("part").schema).parquet(f"{path}/part={part}")
-        flow = source.writeStream.option("checkpointLocation", new_path(spark, "stream-check")).trigger(availableNow=True)
-        start = batches
-        flow.foreachBatch(lambda df, b, start=start: engine.process(df, start + b)).start().awaitTermination()
-        batches += 1
-    return engine.applied(batches - 1).select("collection", "document_id", "revision", "operation")
+    engine.start(event_files(spark, path, rows.schema, files_per_pass=1), new_path(spark, "stream-check"), availableNow=True).awaitTermination()
+    return engine
+
+
+@query(f"with {_STATE} select collection, document_id, revision, operation from state")
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applied state after two batches of a stream."""
+    return _streamed(spark, sf_dir).applied(1).select("collection", "document_id", "revision", "operation")
+
+
+@query(f"with {_STATE} select document_id as id, revision as _revision, cast(json_extract_string(document_json, '$.k') as bigint) as k, '' as _search_text from state where operation = 'upsert'")
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched index after two batches of a stream; these documents hold no strings."""
+    return _streamed(spark, sf_dir).index(1).select("id", "_revision", F.get_json_object("document", "$.k").cast("bigint").alias("k"), "_search_text")
+
+
+@query(f"with {_STATUS} select source_service, event_id, arrival from done where status = 'accepted'")
+def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the inbox holds after two batches of a stream, by its payloads."""
+    inbox = _streamed(spark, sf_dir).inbox(1)
+    known = F.get_json_object("payload", "$.event_id")
+    return inbox.select("source_service", known.alias("event_id"), "arrival")
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +57,29 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query: the first words of benchmark texts, one to seven of them."""
+    """query_id, query: the first words of benchmark texts, one to seven of them, as people ask."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     n = (1 + F.col("item_id") % 7).cast("int")
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, F.lit(1), n), " ").alias("query"))
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, document_id, vector: the first five vectors."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: whole benchmark texts."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
 
+def letters(texts: list[str]) -> list[list[float]]:
+    """An encoder that SQL can follow: shares of the letters a to z, as a vector of length 1."""
+    out = []
+    for t in texts:
+        counts = [t.count(chr(c)) for c in range(97, 123)]
+        length = math.sqrt(sum(n * n for n in counts)) or 1.0
+        out.append([n / length for n in counts])
+    return out
 
-def all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As vector_queries(): every fiftieth vector."""
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, document_id, vector: every fiftieth vector."""
     return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
 
 

@@ -1,27 +1,34 @@
 """The engine: events in, index out, batch by batch.
 
-State lies under a root folder. Each batch writes its decisions, its current state and its refused
-events to directories of its own, in overwrite mode, so that a batch that runs again writes the
-same. The state before batch n is what batch n - 1 wrote; nothing is overwritten while it is read.
+State lies under a root folder, in tables that grow by the rows that each batch changes (state). A
+batch takes its events in, decides on them by what is applied to their documents, enriches and
+embeds the documents that change, and tries texts again whose embedding failed before. A batch that
+runs again writes the same.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchspark.functions.envelope import decode_payload
-from searchspark.operators import gate, index, ingest
-from searchspark.operators.search import search
-from searchspark.plans.schemas import APPLIED, INBOX
-from searchspark.plans.spec import CollectionSpec, by_name
+from searchspark.functions.envelope import canonical_payload, decode_payload, reject_reason
+from searchspark.functions.stemmer import stem
+from searchspark.functions.text import content_hash, enrich, semantic_text, with_role
+from searchspark.operators import embed, gate, index, ingest, lexical
+from searchspark.operators import search as searching
+from searchspark.plans.schemas import APPLIED, BACKLOG, CACHE, INBOX, INDEX
+from searchspark.plans.spec import ALL, CollectionSpec, by_name
+from searchspark.plans.staging import stage
+from searchspark.streaming.state import ChangeLog
 
 
 @dataclass
 class ApplyOut:
-    """decisions on events, the applied state after them, the index, refused events."""
+    """decisions on events, the applied state of their documents, the index of these, refused events."""
 
     decisions: DataFrame
     applied: DataFrame
@@ -30,7 +37,8 @@ class ApplyOut:
 
 
 def apply(events: DataFrame, applied: DataFrame, specs: list[CollectionSpec]) -> ApplyOut:
-    """Decide on valid, deduplicated events and work out the state after them."""
+    """Decide on valid, deduplicated events and work out the state after them. applied need only hold
+    the documents that the events are about."""
     known, unknown = gate.split_known(events, [*by_name(specs)])
     decisions = gate.decide(known, applied)
     conflicts = decisions.filter("decision = 'conflict'").withColumn("reason", F.lit(gate.CONFLICT))
@@ -41,52 +49,165 @@ def apply(events: DataFrame, applied: DataFrame, specs: list[CollectionSpec]) ->
     return ApplyOut(decisions, state, index.rebuild(state), rejected)
 
 
+@dataclass
 class SearchEngine:
-    """State of some collections under a root folder."""
-
-    def __init__(self, spark: SparkSession, specs: list[CollectionSpec], root: str):
-        self.spark, self.specs, self.root = spark, specs, root.rstrip("/")
-
-    def _read(self, name: str, batch: int | None, schema: str) -> DataFrame:
-        empty = self.spark.createDataFrame([], schema)
-        if batch is None or batch < 0:
-            return empty
-        path = f"{self.root}/{name}/batch_id={batch}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(schema).parquet(path) if there else empty
-
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch}")
-
-    def inbox(self, before: int) -> DataFrame:
-        """Deliveries accepted in batches before the given one."""
-        schema = INBOX + ", batch_id int"
-        if before <= 0:
-            return self.spark.createDataFrame([], INBOX)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/inbox").filter(F.col("batch_id") < before).drop("batch_id")
+    """State of some collections under a root folder.
+
+    encoder embeds lists of texts; without one, words are hashed. stemmer and transliteration switch the
+    enrichment. per_pass bounds the rows of the embedding backlog that one batch tries again.
+    """
+
+    spark: SparkSession
+    specs: list[CollectionSpec]
+    root: str
+    encoder: embed.Encoder | None = None
+    model: str = embed.MODEL
+    stemmer: Callable[[str], str] | None = stem
+    transliteration: bool = True
+    per_pass: int = 1000
+    now: Callable[[], F.Column] = field(default=F.current_timestamp)
+
+    def __post_init__(self) -> None:
+        self.root = self.root.rstrip("/")
+        log = lambda name, key, schema: ChangeLog(self.spark, self.root, name, key, schema)
+        self._inbox = log("inbox", ingest.DELIVERY, INBOX)
+        self._applied = log("applied", gate.DOCUMENT, APPLIED)
+        self._index = log("index", index.KEY, INDEX)
+        self._cache = log("cache", ["content_hash", "model_version"], CACHE)
+        self._backlog = log("backlog", embed.BACKLOG_KEY, BACKLOG)
+
+    def inbox(self, batch: int) -> DataFrame:
+        """Deliveries accepted up to a batch, with their payloads."""
+        return self._inbox.latest(batch)
 
     def applied(self, batch: int) -> DataFrame:
-        """The applied state after a batch."""
-        return self._read("applied", batch, APPLIED)
-
-    def process(self, events: DataFrame, batch: int) -> None:
-        """One batch: intake, decisions, state, refused events. Batches are numbered from 0."""
-        taken = ingest.ingest(events, self.inbox(batch))
-        self._write(taken.accepted, "accepted", batch)
-        accepted = self.spark.read.schema(taken.accepted.schema).parquet(f"{self.root}/accepted/batch_id={batch}")
-        self._write(accepted.select("source_service", "event_id"), "inbox", batch)
-        out = apply(accepted, self.applied(batch - 1), self.specs)
-        self._write(out.applied, "applied", batch)
-        self._write(taken.rejected.unionByName(out.rejected), "rejected", batch)
+        """The applied state after a batch, deletes included."""
+        return self._applied.latest(batch)
 
     def index(self, batch: int) -> DataFrame:
-        """The index after a batch."""
-        return index.rebuild(self.applied(batch))
+        """The index after a batch: live documents, enriched, with vectors."""
+        return self._index.latest(batch)
+
+    def backlog(self, batch: int) -> DataFrame:
+        """Texts whose embedding failed, after a batch."""
+        return self._backlog.latest(batch)
+
+    def _embedded(self, texts: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
+        cache = self._cache.of(batch - 1, texts.select("content_hash", F.lit(self.model).alias("model_version")))
+        out, new = embed.embed_cached(texts, cache, self.encoder, self.model)
+        return out, new
+
+    def _entries(self, changed: DataFrame) -> DataFrame:
+        """Index rows of changed documents, without vectors yet; deleted ones have live = false."""
+        live = index.entries(changed)
+        rich = enrich(live, F.col("document"), self.stemmer, self.transliteration)
+        known = by_name(self.specs)
+
+        def semantic(spec: CollectionSpec) -> F.Column:
+            string = lambda f: F.try_variant_get(F.try_parse_json("document"), f"$.{f}", "variant")
+            value = lambda f: F.when(F.schema_of_variant(string(f)) == "STRING", F.try_variant_get(F.try_parse_json("document"), f"$.{f}", "string"))
+            return semantic_text({f: value(f) for f in spec.semantic}, spec.semantic_weights)
+
+        text = reduce(lambda c, s: c.when(F.col("collection") == s.name, semantic(s)), [s for s in known.values() if s.semantic and s.embedder], F.when(F.lit(False), ""))
+        full = rich.withColumn("semantic_text", F.coalesce(text, F.lit(""))).withColumn("content_hash", content_hash(F.col("semantic_text")))
+        gone = changed.filter("operation = 'delete'").select("collection", F.col("document_id").alias("id"))
+        return full.withColumn("live", F.lit(True)).unionByName(gone.withColumn("live", F.lit(False)), allowMissingColumns=True)
 
-    def search(self, queries: DataFrame, documents: DataFrame, collection: str, **options) -> DataFrame:  # noqa: ANN003
-        """Answers over the documents of a collection."""
-        return search(queries, documents, by_name(self.specs)[collection], **options)
+    def process(self, events: DataFrame, batch: int) -> None:
+        """One batch. Batches are numbered from 0."""
+        events = stage(events, "engine-events")
+        before = self._inbox.of(batch - 1, events)
+        judged = stage(ingest.judged(events, before), "engine-judged")
+        taken = ingest.outcome(judged)
+        accepted = taken.accepted
+        self._inbox.write(accepted.select(*ingest.DELIVERY, canonical_payload().alias("payload"), "arrival"), batch)
+        held = self._applied.of(batch - 1, accepted)
+        out = apply(accepted, held, self.specs)
+        state = stage(gate.current_state(out.decisions).select(*(c.split()[0] for c in APPLIED.split(", "))), "engine-changed")
+        self._applied.write(state, batch)
+        rejected = taken.rejected.unionByName(out.rejected)
+        rejected.write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch}")
+        entries = self._entries(state)
+        if any(s.embedder and s.semantic for s in self.specs):
+            self._embed(stage(entries, "engine-entries"), batch)
+        else:
+            self._index.write(entries.withColumn("embedding", F.lit(None).cast("array<float>")), batch)
+
+    def _embed(self, entries: DataFrame, batch: int) -> None:
+        """The index rows of a batch with vectors from the cache or the encoder, and one pass over the
+        backlog: due texts are tried again where their revision is still the applied one, late
+        vectors are patched in, and what fails is queued or waits longer."""
+        now = self.now()
+        waiting = stage(self._backlog.latest(batch - 1), "engine-backlog")
+        turn = stage(embed.due(waiting, now, self.per_pass), "engine-turn")
+        current = embed.still_current(turn, self._applied.of(batch, turn))
+        wanted = entries.filter("live and semantic_text <> ''").select("collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text")
+        again = current.select(*wanted.columns)
+        vectors, cached = self._embedded(wanted.unionByName(again).distinct(), batch)
+        vectors = stage(vectors, "engine-vectors")
+        made = vectors.filter("vector is not null").select("content_hash", F.lit(self.model).alias("model_version"), F.size("vector").alias("dimensions"), "vector")
+        self._cache.write(made.dropDuplicates(["content_hash"]), batch)
+        found = vectors.select("collection", F.col("document_id").alias("id"), F.col("revision").alias("_revision"), "vector")
+        new = entries.join(found, ["collection", "id", "_revision"], "left").withColumn("embedding", F.col("vector")).drop("vector")
+        late = found.filter("vector is not null").join(entries.select("collection", "id"), ["collection", "id"], "left_anti")
+        patched = embed.patch_vectors(self._index.of(batch - 1, late), late).withColumn("live", F.lit(True))
+        self._index.write(new.select(*patched.columns).unionByName(patched), batch)
+        failed = vectors.filter("vector is null").join(turn.select(*gate.DOCUMENT, "revision"), [*gate.DOCUMENT, "revision"], "left_anti")
+        queued = embed.enqueue_missing(failed, waiting, now, self.model).withColumn("live", F.lit(True))
+        retried = embed.retry_or_dead(current.join(late_keys(vectors), [*gate.DOCUMENT, "revision"], "left_anti"), now).withColumn("live", F.lit(True))
+        closed = turn.join(retried.select(*embed.BACKLOG_KEY), embed.BACKLOG_KEY, "left_anti").withColumn("live", F.lit(False))
+        self._backlog.write(queued.unionByName(retried).unionByName(closed), batch)
+
+    def retire(self, names: list[str], batch: int) -> None:
+        """Take collections out of the index, as a batch of its own; those it does not hold are no
+        matter."""
+        gone = self._index.latest(batch - 1)
+        self._index.write(gone.join(index.retire(gone, names).select(*index.KEY), index.KEY, "left_anti").withColumn("live", F.lit(False)), batch)
+
+    def rebuild(self, batch: int) -> DataFrame:
+        """The index of a batch from the applied state and the cached vectors alone."""
+        entries = self._entries(self.applied(batch)).filter("live")
+        cache = self._cache.latest(batch).filter(F.col("model_version") == self.model).select("content_hash", F.col("vector").alias("embedding"))
+        return entries.join(cache, "content_hash", "left").select(*self._index.columns)
+
+    def audit(self, batch: int) -> DataFrame:
+        """Documents in which the index and the applied state of a batch differ."""
+        return index.audit(self.applied(batch), self.index(batch))
+
+    def documents(self, collection: str, batch: int) -> tuple[DataFrame, CollectionSpec]:
+        """The live documents of a collection with their declared fields as columns, and the collection;
+        an unknown one is an error."""
+        spec = by_name(self.specs).get(collection)
+        if spec is None:
+            raise KeyError("unknown collection")
+        if ALL in spec.searchable:
+            spec = replace(spec, searchable=("_search_text",))
+        rows = self.index(batch).filter(F.col("collection") == spec.name)
+        return index.materialize(rows, spec), spec
+
+    def _as_queries(self, rows: DataFrame, col: str) -> DataFrame:
+        """rows with the vector of a text as a query; null where it cannot be had."""
+        if self.encoder is None:
+            return embed.hashed_vectors(rows, F.col(col))
+        prefixed = rows.withColumn("_query", with_role(F.col(col), "query"))
+        return embed.embed_texts(prefixed, "_query", self.encoder).drop("_query", "error")
+
+    def search(self, queries: DataFrame, collection: str, batch: int, variants: bool = False, **options) -> DataFrame:  # noqa: ANN003
+        """Answers to queries (query_id, query, mode, semantic_weight, page_size, page_token, explain)
+        over the index after a batch. Queries are embedded here; where that fails they are asked by
+        words alone."""
+        rows, spec = self.documents(collection, batch)
+        rows = stage(rows, "engine-documents")
+        asked = stage(self._as_queries(queries, "query"), "engine-queries")
+        forms = lexical.query_variants(asked, self.stemmer, self.transliteration) if variants else None
+        return searching.response(searching.search(asked, rows, spec, variants=forms, **options), asked, rows, spec)
+
+    def similar(self, requests: DataFrame, collection: str, batch: int, **options) -> DataFrame:  # noqa: ANN003
+        """Answers to requests (query_id, text, document_id, page_size, page_token, explain)."""
+        rows, spec = self.documents(collection, batch)
+        rows = stage(rows, "engine-documents")
+        answers = searching.similar(requests, rows, spec, lambda df: self._as_queries(df, "text"), **options)
+        return searching.response(answers, requests.withColumn("query", F.col("text")), rows, spec)
 
     def start(self, source: DataFrame, checkpoint: str, **trigger):  # noqa: ANN003, ANN201
         """The same over a stream of envelopes; default a micro-batch every 500 milliseconds."""
@@ -94,9 +215,19 @@ class SearchEngine:
         return writer.foreachBatch(lambda df, batch: self.process(df, batch)).start()
 
 
+def late_keys(vectors: DataFrame) -> DataFrame:
+    """Documents and revisions that got a vector."""
+    return vectors.filter("vector is not null").select(*gate.DOCUMENT, "revision")
+
+
+def event_files(spark: SparkSession, path: str, schema: str, files_per_pass: int = 10, form: str = "parquet") -> DataFrame:
+    """A stream of envelope files, so many for each pass; that bounds what one batch takes in."""
+    return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_pass).load(path)
+
+
 def stream_dedup(events: DataFrame) -> DataFrame:
-    """First deliveries of a stream, remembered for ever."""
-    return events.dropDuplicates(["source_service", "event_id"])
+    """First valid deliveries of a stream, remembered for ever."""
+    return events.filter(reject_reason().isNull()).dropDuplicates(ingest.DELIVERY)
 
 
 def stored_payloads(df: DataFrame, col: str = "payload") -> tuple[DataFrame, DataFrame]:

@@ -38,6 +38,7 @@ def event(**changes):
         ({"occurred_at": "2024-01-01"}, envelope.BAD_TIME),
         ({"occurred_at": "2024-13-01T00:00:00Z"}, envelope.BAD_TIME),
         ({"occurred_at": "2024-01-01T00:00:00+02:00"}, None),
+        ({"occurred_at": "2024-01-01T00:00:00,5Z"}, None),
         ({"source_service": ""}, None),
     ],
 )
@@ -66,6 +67,12 @@ def test_digest_is_stable_and_payload_round_trips(spark):
     assert {r.revision for r in good.collect()} == {42}
 
 
+def test_documents_keep_nested_values(spark):
+    df = spark.createDataFrame([event(document_json='{"id":"no","_revision":9,"a":{"b":[1,"x"]},"s":"t"}')], ENVELOPE)
+    r = envelope.to_document(df).select("id", "_revision", F.to_json("document").alias("d")).first()
+    assert (r.id, r._revision, r.d) == ("opaque-1", 42, '{"a":{"b":[1,"x"]},"s":"t"}')
+
+
 def test_first_delivery_wins_over_batches(spark):
     rows = [event(arrival=1, revision=0), event(arrival=2), event(arrival=3, revision=50), event(event_id="e2", arrival=4)]
     out = ingest.ingest(spark.createDataFrame(rows, ENVELOPE))

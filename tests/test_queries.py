@@ -50,7 +50,7 @@ def test_query(spark, duck, name):
 
 @pytest.mark.skipif(not Path(entry.SMALL).exists(), reason="no test tables")
 def test_hashing_answers_every_fiftieth_vector(spark):
-    got, want = ({(r.query_id, r.id) for r in core.queries()[n](spark, entry.SMALL).collect()} for n in ("semantic_lsh", "semantic_topk_all"))
+    got, want = ({(r.query_id, r.id) for r in core.queries()[n](spark, entry.SMALL).collect()} for n in ("semantic_lsh", "semantic_topk"))
     ids = {r.vec_id for r in spark.read.parquet(f"{entry.SMALL}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
     print(f"recall {len(got & want) / len(want):.4f} of {len(want)}")
     assert {q for q, _ in want} == {q for q, _ in got} == ids

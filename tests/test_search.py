@@ -30,7 +30,7 @@ def test_normalize_and_tokens(spark):
 
 def test_stems(spark):
     df = spark.createDataFrame([(1, "Running runs проекты"), (2, "")], "id int, t string")
-    got = {r.id: r.stems for r in text.add_stems(df, ["id"], F.col("t"), stem).collect()}
+    got = {r.id: r.stems for r in df.select("id", text.stems(F.col("t"), stem).alias("stems")).collect()}
     assert got == {1: ["run", "проект"], 2: []}
 
 
@@ -119,6 +119,10 @@ def test_search_whole(spark):
     assert [r.id for r in page] == [1, 3] and page[0].next_page_token
     rest = ask((1, "red bicycle", "LEXICAL", 0.0, 2, page[0].next_page_token, None))
     assert [(r.id, r.next_page_token) for r in rest] == [(2, "")]
+    nothing = ask((1, "zzzz", "LEXICAL", 0.0, 0, "", None), (2, "red", "LEXICAL", 0.0, 5, page[0].next_page_token, None))
+    assert sorted((r.query_id, r.rank, r.total, r.effective_mode) for r in nothing if r.rank is None) == [(1, None, 0, "LEXICAL")]
+    ordered = ask((1, "red", "LEXICAL", 0.0, 0, "", None), sort=["n:asc"])
+    assert [r.id for r in ordered] == [2, 1, 3]
     synonyms = spark.createDataFrame([("cycle", "bicycle")], "word string, synonym string")
     assert [r.id for r in ask((1, "cycle", "LEXICAL", 0.0, 0, "", None), synonyms=synonyms)] == [1, 3]
 
@@ -149,5 +153,100 @@ def test_similar_and_hashing(spark):
 
 
 def test_query_variants(spark):
-    q = spark.createDataFrame([(1, "Privet")], "query_id int, query string")
-    assert [r.variant for r in lexical.query_variants(q).collect()] == ["privet", "привет"]
+    q = spark.createDataFrame([(1, "Privet"), (2, "Running проекты"), (3, " "), (4, None)], "query_id int, query string")
+    got = {}
+    for r in lexical.query_variants(q).orderBy("query_id", "n").collect():
+        got.setdefault(r.query_id, []).append(r.variant)
+    assert got == {1: ["privet", "привет"], 2: ["running проекты", "run проект", "running proekty", "run proekti"]}
+    assert [r.variant for r in lexical.query_variants(q, stemmer=None, transliteration=False).orderBy("query_id").collect()] == ["privet", "running проекты"]
+
+
+def test_variants_find_the_other_alphabet(spark):
+    rows = spark.createDataFrame([("c", 1, "привет мир"), ("c", 2, "privet mir"), ("c", 3, "other")], "collection string, id bigint, title string")
+    q = spark.createDataFrame([(1, "privet")], "query_id int, query string")
+    tokens = lexical.token_table(rows, ["title"])
+    plain = lexical.lexical(q, tokens, 1)
+    both = lexical.lexical(q, tokens, 1, variants=lexical.query_variants(q))
+    assert {r.id for r in plain.collect()} == {2} and {r.id for r in both.collect()} == {1, 2}
+
+
+def test_transliteration_against_the_table(spark):
+    """Replacing spellings one after the other against reading from left to right, longest first."""
+    import random
+
+    random.seed(5)
+    table = text.LATIN_TO_CYRILLIC
+    longest = sorted(table, key=lambda t: (-len(t), t))
+
+    def slow(t):
+        out = ""
+        while t:
+            k = next((k for k in longest if t.startswith(k)), t[0])
+            out, t = out + table.get(k, k), t[len(k) :]
+        return out
+
+    latin = ["".join(random.choices("tshczkyouabq j", k=random.randint(1, 12))) for _ in range(3000)]
+    cyrillic = ["".join(random.choices("щшчцхжёюяъьыэйабЩЁЪ xq", k=random.randint(1, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in latin + cyrillic], "t string")
+    for r in df.select("t", text.lat_to_cyr(F.col("t")).alias("c"), text.cyr_to_lat(F.col("t")).alias("l")).collect():
+        assert r.c == slow(r.t)
+        lower = text.CYRILLIC_TO_LATIN
+        assert r.l == "".join(lower.get(c, lower.get(c.lower(), c) if c.lower() != c else c) for c in r.t)
+
+
+def test_typos_against_all_pairs(spark):
+    import random
+
+    random.seed(3)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    vocabulary = sorted({"".join(random.choices("abc", k=random.randint(1, 12))) for _ in range(600)} | {"é" * 5, "ééab"})
+    asked = sorted({"".join(random.choices("abc", k=random.randint(1, 12))) for _ in range(80)} | {"éééé"} | set(vocabulary[:40]))
+    allowed = lambda w: 0 if len(w) < 4 else 1 if len(w) < 8 else 2
+    want = {(q, v, d) for q in asked for v in vocabulary if abs(len(q) - len(v)) <= 2 and (d := distance(q, v)) <= allowed(q)}
+    words, vocab = spark.createDataFrame([(w,) for w in asked], "qtoken string"), spark.createDataFrame([(w,) for w in vocabulary], "token string")
+    got = [tuple(r) for r in lexical.typo_candidates(words, vocab).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+SPEC = CollectionSpec("c", searchable=("title", "content"), returnable=("title",), semantic=("title", "content"), semantic_weights={"title": 0.9}, filterable=("lang",), embedder="e")
+
+
+def lengths_encoder():
+    """An encoder of prefixes and lengths; it cannot take the word "broken"."""
+
+    def lengths(texts):
+        if any("broken" in t for t in texts):
+            raise ValueError("no")
+        return [[float(t.startswith("query: ")), float(len(t))] for t in texts]
+
+    return lengths
+
+
+def test_similar_to_text_and_document(spark):
+    rows = spark.createDataFrame([("1", "a", "b", "en", [0.0, 1.0]), ("2", "c", "", "en", [0.0, 3.0]), ("3", "", "", "de", None), ("4", "d", "e", "de", [0.0, 2.0])], "id string, title string, content string, lang string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "some text", "", 0, ""), (2, "", "1", 1, ""), (3, " ", "9", 0, ""), (4, None, None, 0, ""), (5, "text", "2", 0, ""), (6, "", "3", 0, "")], "query_id int, text string, document_id string, page_size int, page_token string")
+    embed_ = lambda df: embed.embed_texts(df, "text", lengths_encoder())
+    got = {}
+    for r in search.similar(asked, rows, SPEC, embed_).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score, r.total, r.error, bool(r.next_page_token)))
+    assert got[1] == [("2", 27.0, 3, None, False), ("4", 18.0, 3, None, False), ("1", 9.0, 3, None, False)]
+    assert got[2] == [("2", 9.0, 2, None, True)]
+    assert [x[3] for x in got[3] + got[4] + got[6]] == [search.NOT_FOUND, search.NOTHING_ASKED, search.NOTHING_ASKED]
+    assert [x[0] for x in got[5]] == ["4", "1"]
+    only = search.similar(asked.filter("query_id = 1"), rows, SPEC, embed_, {"lang": ["de"]}).collect()
+    assert [(r.id, r.total) for r in only] == [("4", 1)]
+
+
+def test_failing_encoder_fails_its_texts_only(spark):
+    df = spark.createDataFrame([("one",), ("broken",), ("three",)], "t string").coalesce(1)
+    got = {r.t: (r.vector, r.error) for r in embed.embed_texts(df, "t", lengths_encoder(), batch=1).collect()}
+    assert got["one"] == ([0.0, 3.0], None) and got["broken"] == (None, "ValueError: no")
