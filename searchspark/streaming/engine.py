@@ -40,7 +40,7 @@ def apply(events: DataFrame, applied: DataFrame, specs: list[CollectionSpec]) ->
     """Decide on valid, deduplicated events and work out the state after them. applied need only hold
     the documents that the events are about."""
     known, unknown = gate.split_known(events, [*by_name(specs)])
-    decisions = gate.decide(known, applied)
+    decisions = stage(gate.decide(known, applied), "decisions")
     conflicts = decisions.filter("decision = 'conflict'").withColumn("reason", F.lit(gate.CONFLICT))
     rejected = ingest.dead_letters(conflicts, attempts=5, stage="apply").unionByName(
         ingest.dead_letters(unknown, attempts=5, stage="apply")

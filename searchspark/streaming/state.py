@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, COMPACT = 64, 20
+#: More buckets let a batch read less of a large state; each is a directory that every batch writes.
+BUCKETS, COMPACT = 16, 20
 
 
 class ChangeLog:
