@@ -71,19 +71,27 @@ class PieceEncoder:
         return b"".join(found)
 
     def _new(self, pieces: set[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
-        """Ids of pieces not yet known; a word that ends in an ASCII letter before its closing marks
-        is put together from its parts."""
-        out, whole = {}, []
+        """Ids of pieces not yet known. Of a word that ends in an ASCII letter before its closing
+        marks, word and marks are encoded apart, so each word is encoded once for all its marks."""
+        cut: dict[str, str] = {}
+        whole: set[str] = set()
         for p in pieces:
             word = p.rstrip(_MARKS)
-            if len(word) < len(p) and word[-1:] in _LETTERS and word in known:
-                out[p] = known[word] + self._joined([p[len(word) :]], self.known, "")
+            if len(word) < len(p) and word[-1:] in _LETTERS:
+                cut[p] = word
+                if word not in known:
+                    whole.add(word)
             else:
-                whole.append(p)
-        for i in range(0, len(whole), 1024):
-            part = whole[i : i + 1024]
+                whole.add(p)
+        out: dict[str, bytes] = {}
+        listed = list(whole)
+        for i in range(0, len(listed), 1024):
+            part = listed[i : i + 1024]
             texts = [p if p[:1] == "\n" else before + p for p in part] if before else part
             out.update(zip(part, self._library(texts), strict=True))
+        for p, word in cut.items():
+            ids = known[word] if word in known else out[word]
+            out[p] = ids + self._joined([p[len(word) :]], self.known, "")
         if len(known) < CACHE_ENTRIES:
             known.update((p, b) for p, b in out.items() if len(p) <= CACHE_PIECE)
         return out
