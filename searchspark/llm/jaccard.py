@@ -43,6 +43,8 @@ BLOCK = 4096
 ROWS_PER_BUCKET, PAIRS_PER_BUCKET = 20_000, 500
 #: Members of one trie.
 TRIE = 256
+#: Nodes (16 bytes each) up to which their list is sent to the texts; beyond, texts are shuffled to it.
+BROADCAST_NODES = 500_000
 STEP = 64
 
 
@@ -266,8 +268,12 @@ def trie_links(probe: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[in
 
 
 def sets_of(texts: DataFrame, member: DataFrame, nodes: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
-    """Staged: node, tokens (frequent ones first, so that tries share more) of the given nodes."""
-    source = member.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_k").alias("_k"))
+    """Staged: node, tokens (frequent ones first, so that tries share more) of the given nodes.
+
+    Few texts are asked for out of many, so these stay where they are while the list of nodes is short."""
+    source = stage(member.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_k").alias("_k")), "jaccard-source")
+    if source.count() <= BROADCAST_NODES:
+        source = F.broadcast(source)
     chosen = texts.select("_k", "text").join(source, "_k").select("node", "text")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

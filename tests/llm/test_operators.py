@@ -447,6 +447,7 @@ def test_jaccard(spark, odd, empty, rule):
 def test_jaccard_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "TRIE", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_NODES", 0)
     df = spark.createDataFrame(chain(30, 2), "doc_id bigint, text string")
     rule = jaccard.Rule(4, 85, 100)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.cluster(df, rule).collect())
