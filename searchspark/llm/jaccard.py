@@ -5,8 +5,8 @@ The work runs on distinct sets of shingle hashes (nodes); equal sets are one nod
 1. Shingles that many documents share are counted, and give classes of frequency. Sets are ordered
    globally: rare classes first, then by hash.
 2. Sets that are alike share at least as many shingles among their first ones as their sizes
-   demand, so only the first shingles of each set are compared, and only nodes that repeat enough
-   of them go on.
+   demand, so only the first shingles of each set are compared, one of those that the same nodes
+   have, and only nodes that repeat enough of them go on.
 3. Within the nodes that share a shingle, sizes and parity bitmaps rule out pairs without error:
    bitmaps differ in no more bits than sets in shingles. Each node keeps its nearest neighbour.
 4. Neighbours are verified: the sets around one node form a trie, which is walked with that
@@ -45,6 +45,8 @@ ROWS_PER_BUCKET, PAIRS_PER_BUCKET = 20_000, 500
 TRIE = 256
 #: Nodes (16 bytes each) up to which their list is sent to the texts; beyond, texts are shuffled to it.
 BROADCAST_NODES = 500_000
+#: Part of a node that is summed over the rows of a token: 2**32 rows fit into the sum.
+LOW_BITS = (1 << 31) - 1
 STEP = 64
 
 
@@ -131,11 +133,20 @@ def members(rows_: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
 
 
 def _shared_tokens(member: DataFrame) -> DataFrame:
-    """token, node, together (rows with the token), for tokens that different nodes have. Tokens are
-    summed up before the shuffle; the join splits those with very many rows."""
+    """token, node, together (rows with the token), weight, for tokens that different nodes have.
+
+    Of tokens that the same nodes have (near copies share most of theirs) the smallest stands for
+    all, weight of them, since each would bring the same nodes together. Same nodes are told by the
+    count, the least, a sum and the exclusive or of the nodes. Tokens are summed up before the
+    shuffle; the join splits those with very many rows."""
     tokens = member.filter("tokens is not null").select("node", F.explode("tokens").alias("token"))
-    summed = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("together"))
-    return stage(tokens.join(summed.filter("lo <> hi").select("token", "together"), "token"), "jaccard-shared")
+    summed = tokens.groupBy("token").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("together"),
+        F.bit_xor("node").alias("mark"), F.sum(F.col("node").bitwiseAND(F.lit(LOW_BITS))).alias("total"),
+    )
+    alike = summed.filter("lo <> hi").groupBy("lo", "together", "mark", "total")
+    one_of_each = alike.agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
+    return stage(tokens.join(one_of_each.select("token", "together", "weight"), "token"), "jaccard-shared")
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -351,7 +362,7 @@ def clustered(rows: DataFrame, rule: Rule) -> DataFrame:
     shared = _shared_tokens(member)
     size = F.col("n")
     enough = 1 + F.floor(F.ceil(size * rule.num / rule.den) / EXTRA)
-    repeats = shared.groupBy("node").agg(F.count(F.lit(1)).alias("repeats"))
+    repeats = shared.groupBy("node").agg(F.sum("weight").alias("repeats"))
     nodes = member.filter("tokens is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     kept = stage(nodes.join(repeats, "node").filter(F.col("repeats") >= enough).select("node", "n", "bits"), "jaccard-kept")
     buckets = max(1, math.ceil(shared.count() / ROWS_PER_BUCKET))
