@@ -366,7 +366,8 @@ def clustered(rows: DataFrame, rule: Rule) -> DataFrame:
     nodes = member.filter("tokens is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     kept = stage(nodes.join(repeats, "node").filter(F.col("repeats") >= enough).select("node", "n", "bits"), "jaccard-kept")
     buckets = max(1, math.ceil(shared.count() / ROWS_PER_BUCKET))
-    near = stage(neighbours(shared.join(kept, "node"), rule, buckets), "jaccard-near")
+    # A merge join leaves the rows of a node together, so that its repeated bitmap is compressed in the next shuffle.
+    near = stage(neighbours(shared.join(kept.hint("merge"), "node"), rule, buckets), "jaccard-near")
     inside = near.select("node").unionByName(near.select(F.col("other").alias("node"))).distinct()
     sets = sets_of(rows, member, inside, rule, classes)
     tested, links = near, verified(near, sets, rule)
