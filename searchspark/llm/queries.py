@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from searchspark.llm import jaccard, merkle, mixing, ogg, packing, pii, quality, substrings, token_files, toxicity
+from searchspark.llm import (
+    jaccard, merkle, mixing, negatives, ogg, packing, periodic, pii, quality, substrings, token_counts, token_files, toxicity,
+)
 from searchspark.plans.staging import table
 
 
@@ -64,6 +66,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of which are made periodic first."""
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every hundredth vector and its positives."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
@@ -71,10 +88,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_merkle_fingerprints, op2_site_quality, op3_ogg_media, op4_cost_packing,
             op5_bucket_pointer_dedup, op6_source_mixing, op7_ngram_jaccard, op8_pu_toxicity, op9_token_files, op10_personal_data,
+            op11_periodic_runs, op12_token_counts, op13_hard_negatives,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"op1_merkle_fingerprints": merkle.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_merkle_fingerprints": merkle.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL,
+        "op13_hard_negatives": negatives.ORACLE_SQL,
+    }

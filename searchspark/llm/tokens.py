@@ -18,10 +18,10 @@ CACHE_ENTRIES = 1_000_000
 CACHE_PIECE = 48
 #: Texts with white space other than space and line feed, or with separators that the libraries
 #: class differently.
-_ODD_SPACE = re.compile(r"[^\S \n]")
+ODD_SPACE = re.compile(r"[^\S \n]")
 #: Runs of white space, for which the simple cut at each space would not do.
-_RUNS = ("  ", "\n\n", " \n", "\n ")
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+RUNS = ("  ", "\n\n", " \n", "\n ")
+PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: After an ASCII letter these always begin a new pre-token, whatever the normaliser does: such a
 #: letter stays one letter, and none of the marks combines with it.
 _MARKS = ".,;:!?"
@@ -53,12 +53,12 @@ class PieceEncoder:
         """Ids of one text as bytes, four per id."""
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if ODD_SPACE.search(text):
             return self._library([text])[0]
         if self.drops_space:
             return self._joined(text.replace("\n", " ").split(" "), self.known, "")
-        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
-            return self._joined(_PIECES.findall(text), self.known, "")
+        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in RUNS):
+            return self._joined(PIECES.findall(text), self.known, "")
         lines = text.replace("\n", " \n").split(" ")
         return self._joined(lines[:1], self.known, "") + self._joined(lines[1:], self.spaced, " ")
 
