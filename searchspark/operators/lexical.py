@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from searchspark.plans.staging import stage
 #: One typo from this length of a query word, two from the next.
 ONE_TYPO, TWO_TYPOS = 4, 8
 FARTHEST = 7
+#: Entries of lists from which the first candidates of a query come, about; matching tokens sent to all tasks.
+PROBE, SMALL = 200, 200_000
+#: Bits of a number in a packed place: no text has more words.
+_BITS = 28
 
 
 def token_table(index: DataFrame, fields: list[str]) -> DataFrame:
@@ -112,32 +117,51 @@ def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
     return words.select("qtoken").distinct().join(synonyms, F.col("qtoken") == F.col("word")).select("qtoken", F.col("synonym").alias("token"), F.lit(0).alias("typos"))
 
 
-def lexical(
-    queries: DataFrame, token_rows: DataFrame, n_fields: int, synonyms: DataFrame | None = None, variants: DataFrame | None = None,
-) -> DataFrame:
-    """query_id, collection, id and the figures of the rules: words, typos, proximity, attribute,
-    exact, asked, lexical_score. token_rows should be a stored table, as it is read twice.
+def _place(*names: str) -> Column:
+    """Small numbers as one that has their order; unlike a struct, its minimum is a hash aggregate."""
+    return reduce(lambda held, c: F.shiftleft(held, _BITS).bitwiseOR(F.col(c).cast("bigint")), names[1:], F.col(names[0]).cast("bigint"))
 
-    Of the places where a query word is found in a document, the one with the fewest typos, then
-    the best field, then the first counts. Proximity is the distance of neighbouring query words,
-    less one, at most FARTHEST each. With variants (query_id, variant, n; see query_variants()) each
-    is asked, and the best one by score, then by number, counts.
-    """
+
+def _unpacked(place: str, *names: str) -> list[Column]:
+    """The numbers of a place as columns."""
+    low = F.lit((1 << _BITS) - 1).cast("bigint")
+    shifts = range(_BITS * (len(names) - 1), -1, -_BITS)
+    return [F.shiftright(place, n).bitwiseAND(low).cast("int").alias(c) for c, n in zip(names, shifts, strict=True)]
+
+
+def postings(token_rows: DataFrame) -> DataFrame:
+    """The best place of each token in each document: collection, id, token, field_rank, pos. That is the
+    best field, then the first place, whatever is asked, as typos are the same for all places of a token."""
+    best = token_rows.groupBy("collection", "id", "token").agg(F.min(_place("field_rank", "pos")).alias("p"))
+    return best.select("collection", "id", "token", *_unpacked("p", "field_rank", "pos"))
+
+
+def query_words(queries: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """query_id, n, qpos, qtoken of queries (query_id, query), or of their variants (query_id, variant, n)."""
     forms = queries.select("query_id", "query", F.lit(0).alias("n")) if variants is None else variants.select("query_id", F.col("variant").alias("query"), "n")
-    asked = forms.select("query_id", "n", F.posexplode(tokens(normalize_native(F.col("query")))).alias("qpos", "qtoken"))
-    found = typo_candidates(asked, vocabulary(token_rows))
+    return forms.select("query_id", "n", F.posexplode(tokens(normalize_native(F.col("query")))).alias("qpos", "qtoken"))
+
+
+def matching_tokens(asked: DataFrame, vocab: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Staged: the words asked (query_words()) with the tokens of a vocabulary that match them, and typos."""
+    found = typo_candidates(asked, vocab)
     if synonyms is not None:
         found = found.unionByName(expand_synonyms(asked, synonyms)).groupBy("qtoken", "token").agg(F.min("typos").alias("typos"))
-    wanted = stage(asked.join(found, "qtoken"), "lexical-wanted")
-    hits = token_rows.join(wanted, "token")
-    place = F.struct("typos", "field_rank", "pos")
-    hit = ["query_id", "n", "collection", "id"]
-    best = hits.groupBy(*hit, "qpos").agg(F.min(place).alias("p")).select(*hit, "qpos", "p.*")
-    before = Window.partitionBy(*hit).orderBy("qpos")
+    return stage(asked.join(found, "qtoken"), "lexical-wanted")
+
+
+_HIT = ["query_id", "n", "collection", "id"]
+
+
+def _figures(hits: DataFrame, asked: DataFrame, n_fields: int) -> DataFrame:
+    """The figures of the rules for hits (places of tokens joined with matching_tokens()), by query and form."""
+    place = ("typos", "field_rank", "pos")
+    best = hits.groupBy(*_HIT, "qpos").agg(F.min(_place(*place)).alias("p")).select(*_HIT, "qpos", *_unpacked("p", *place))
+    before = Window.partitionBy(*_HIT).orderBy("qpos")
     same = F.lag("field_rank").over(before) == F.col("field_rank")
     far = F.when(same, F.least(F.abs(F.col("pos") - F.lag("pos").over(before)) - 1, F.lit(FARTHEST))).otherwise(FARTHEST)
     gap = F.when(F.lag("qpos").over(before).isNull(), 0).otherwise(F.greatest(far, F.lit(0)))
-    figures = best.withColumn("gap", gap).groupBy(*hit).agg(
+    figures = best.withColumn("gap", gap).groupBy(*_HIT).agg(
         F.count(F.lit(1)).alias("words"), F.sum("typos").alias("typos"), F.sum("gap").alias("proximity"),
         F.min("field_rank").alias("attribute"), F.sum((F.col("typos") == 0).cast("int")).alias("exact"),
     )
@@ -147,7 +171,26 @@ def lexical(
         1 - F.col("attribute") / n_fields, F.col("exact") / F.col("asked"),
     ]
     weights = (0.4, 0.2, 0.1, 0.1, 0.2)
-    scored = out.withColumn("lexical_score", sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)))
+    return out.withColumn("lexical_score", sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0)))
+
+
+def lexical(
+    queries: DataFrame, token_rows: DataFrame, n_fields: int, synonyms: DataFrame | None = None, variants: DataFrame | None = None,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, collection, id and the figures of the rules: words, typos, proximity, attribute,
+    exact, asked, lexical_score. token_rows is a stored token_table() or, better, its postings(); it
+    is read twice, or once where wanted (matching_tokens()) is given.
+
+    Of the places where a query word is found in a document, the one with the fewest typos, then
+    the best field, then the first counts. Proximity is the distance of neighbouring query words,
+    less one, at most FARTHEST each. With variants (query_id, variant, n; see query_variants()) each
+    is asked, and the best one by score, then by number, counts.
+    """
+    asked = query_words(queries, variants)
+    if wanted is None:
+        wanted = matching_tokens(asked, vocabulary(token_rows), synonyms)
+    scored = _figures(token_rows.join(wanted, "token"), asked, n_fields)
     if variants is None:
         return scored.drop("n")
     rest = F.struct("words", "typos", "proximity", "attribute", "exact", "asked", "lexical_score")
@@ -155,6 +198,53 @@ def lexical(
     return top.select("query_id", "collection", "id", "b.*")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows for a join: sent to all tasks where they are counted and few, else dealt by their keys."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def lexical_top(
+    queries: DataFrame, places: DataFrame, n_fields: int, k: int, wanted: DataFrame | None = None, sort: list[Column] | None = None,
+) -> DataFrame:
+    """As lexical(), the first k documents of each query by rules(), with rank; places are stored postings().
+
+    How many words match comes first in the rules, so lists of frequent words need not be walked. Lists are
+    taken by size, smallest first. A document outside of the first r of m lists has m - r words at most.
+    First the lists up to about PROBE entries bring candidates, whose figures are worked out in full; the
+    k-th of them has w words. Any document with w words or more lies in one of the first m - w + 1 lists,
+    and these bring the candidates of the second round, for queries for which r lists were not enough. Of
+    long lists only the entries of candidates leave the task that reads them.
+    """
+    asked = query_words(queries)
+    if wanted is None:
+        wanted = matching_tokens(asked, vocabulary(places))
+    wanted = _sent(wanted)
+    sizes = places.join(_sent(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    lists = wanted.join(sizes, "token").groupBy("query_id", "qpos").agg(F.sum("size").alias("size"))
+    by_size = Window.partitionBy("query_id").orderBy("size", "qpos")
+    lists = lists.withColumns({
+        "place": F.row_number().over(by_size), "so_far": F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, 0)),
+        "m": F.count(F.lit(1)).over(Window.partitionBy("query_id")),
+    })
+    lists = stage(lists, "lexical-lists")
+    probe = max(PROBE, 4 * k)
+    first = lists.groupBy("query_id").agg(F.greatest(F.lit(1), F.count(F.when(F.col("so_far") <= probe, 1))).alias("r"), F.first("m").alias("m"))
+    order = Window.partitionBy("query_id").orderBy(*rules(sort))
+
+    def best(turn: DataFrame) -> DataFrame:
+        """The first k among the candidates that the first r lists of each query in turn bring."""
+        bringing = wanted.join(lists.join(turn, "query_id").filter("place <= r").select("query_id", "qpos"), ["query_id", "qpos"])
+        candidates = stage(places.join(_sent(bringing.select("query_id", "token").distinct()), "token").select("query_id", "collection", "id").distinct(), "lexical-candidates")
+        hits = places.join(wanted, "token").join(_sent(candidates), ["query_id", "collection", "id"], "left_semi")
+        return _figures(hits, asked, n_fields).drop("n").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    one = stage(best(first.select("query_id", "r")), "lexical-first")
+    reached = first.join(one.filter(F.col("rank") == k).select("query_id", F.col("words").alias("w")), "query_id", "left")
+    needed = reached.select("query_id", "r", F.least("m", F.coalesce(F.col("m") - F.col("w") + 1, F.col("m"))).alias("needed"))
+    again = stage(needed.filter("needed > r").select("query_id", F.col("needed").alias("r")), "lexical-again")
+    return one.join(again, "query_id", "left_anti").unionByName(best(again))
+
+
 def rules(sort: list[Column] | None = None) -> list[Column]:
     """The ranking rules in order; a declared sort stands before exactness."""
     c = F.col

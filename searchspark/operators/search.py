@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from searchspark.functions import paging
 from searchspark.functions.text import semantic_text
 from searchspark.operators import lexical as lex
-from searchspark.operators.semantic import dot, nearest, scores
+from searchspark.operators.semantic import BLOCK, depths, dot, nearest, scores
 from searchspark.plans.spec import ALL, CollectionSpec
 from searchspark.plans.staging import stage
 
@@ -58,20 +59,29 @@ def headers(queries: DataFrame, has_vector: Column | None = None) -> DataFrame:
     })
 
 
-def fuse(lexical_hits: DataFrame, header: DataFrame, vectors: DataFrame, deepest: int) -> tuple[DataFrame, DataFrame]:
-    """Hits that can be on a page that ends at rank deepest, with score = (1 - weight) * lexical +
-    weight * semantic, and the two parts as columns; and query_id, total of all hits.
+def fuse(lexical_hits: DataFrame, header: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits that can be on a page of their query that ends at its depth, with score = (1 - weight) *
+    lexical + weight * semantic, and the two parts as columns; and query_id, total of all hits.
 
     Hits by words have their exact semantic part: their vectors are joined by id. Every other document
-    with a vector is a hit of a query with a weight, too, and stands behind all but the nearest deepest
-    of its kind, so no more of them go on; the total counts them all.
+    with a vector is a hit of a query with a weight, too, and stands behind all but the nearest of its
+    kind, as many as the page is deep, so no more of them go on; the total counts them all.
     """
     asked = header.select("query_id", "weight", "vector")
-    by_words = lexical_hits.join(asked, "query_id").filter("weight < 1").join(vectors, "id", "left")
-    dotted = F.when((F.col("weight") > 0) & F.col("embedding").isNotNull(), dot(F.col("embedding"), F.col("vector")))
-    by_words = stage(by_words.withColumn("semantic_score", dotted).drop("embedding", "vector"), "search-words")
     wanted = asked.filter("weight > 0")
-    near = scores(wanted, vectors, deepest, F.col("weight")).drop("rank")
+    counted_hits = lexical_hits.join(asked.select("query_id", "weight"), "query_id").filter("weight < 1")
+    # Vectors of documents go once to the hits that need them; those of queries, where there are few, to all tasks.
+    sides = wanted.select("query_id", "vector")
+    sides = F.broadcast(sides) if sides.count() <= BLOCK else sides
+    if not sides.limit(1).count():
+        hits = stage(counted_hits.withColumns({"semantic_score": F.lit(0.0), "score": F.round("lexical_score", 6)}), "search-words")
+        counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+        return hits, asked.join(counted, "query_id", "left").select("query_id", F.coalesce("_n", F.lit(0)).cast("long").alias("total"))
+    near_words = counted_hits.filter("weight > 0").join(vectors, "id", "left").join(sides, "query_id")
+    dotted = F.when(F.col("embedding").isNotNull(), dot(F.col("embedding"), F.col("vector")))
+    plain = counted_hits.filter("weight = 0").withColumn("semantic_score", F.lit(None).cast("double"))
+    by_words = stage(near_words.withColumn("semantic_score", dotted).drop("embedding", "vector").unionByName(plain), "search-words")
+    near = scores(wanted.join(header.select("query_id", "depth"), "query_id"), vectors, F.col("depth"), F.col("weight")).drop("rank")
     alone = near.join(by_words.select("query_id", "id"), ["query_id", "id"], "left_anti").join(header.select("query_id", "weight"), "query_id")
     both = by_words.unionByName(alone, allowMissingColumns=True)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -99,17 +109,20 @@ def respond(ranked: DataFrame, header: DataFrame, totals: DataFrame) -> DataFram
     return page.withColumn("next_page_token", token).drop("offset", "size")
 
 
-def _ranked(queries: DataFrame, rows: DataFrame, spec: CollectionSpec, found: DataFrame, sort: list[str] | None) -> DataFrame:
-    header = stage(headers(queries, F.col("vector").isNotNull()), "search-headers")
-    deepest = header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 1
-    hits, totals = fuse(found, header, rows.select("id", "embedding"), int(deepest))
+def ranked(queries: DataFrame, rows: DataFrame, spec: CollectionSpec, found: DataFrame, sort: list[str] | None) -> DataFrame:
+    """Answers as of search() from found, the hits by words; rows (id, embedding, sortable fields) are only read
+    where a query has a semantic part or a declared sort."""
+    header = stage(headers(queries, F.col("vector").isNotNull()).withColumn("depth", F.col("offset").cast("long") + F.col("size")), "search-headers")
+    hits, totals = fuse(found, header, rows.select("id", "embedding"))
     order = parse_sort(sort or [], spec)
     if order:
         fields = [f for f in spec.sortable if f not in ("id", *hits.columns)]
         hits = hits.join(rows.select("id", *fields), "id", "left") if fields else hits
     first = F.when(F.col("weight") > 0, F.col("score")).desc_nulls_last()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(first, *lex.rules(order)))
-    top = hits.withColumn("rank", rank).filter(F.col("rank") <= int(deepest))
+    asked = header.select("query_id", "depth")
+    parts = [hits.join(asked.filter(some), "query_id").withColumn("rank", rank).filter(F.col("rank") <= most).filter("rank <= depth") for some, most in depths(asked)]
+    top = reduce(DataFrame.unionByName, parts) if parts else hits.withColumn("rank", rank).limit(0)
     return respond(top.select("query_id", "rank", "id", "score", "lexical_score", "semantic_score"), header, totals)
 
 
@@ -138,12 +151,12 @@ def search(
     elif filters:
         token_rows = token_rows.join(rows.select("id"), "id", "left_semi")
     found = lex.lexical(queries, token_rows, len(fields), synonyms, variants)
-    return _ranked(queries, rows, spec, found, sort)
+    return ranked(queries, rows, spec, found, sort)
 
 
 def similar(
     requests: DataFrame, index: DataFrame, spec: CollectionSpec, embed: Callable[[DataFrame], DataFrame],
-    filters: dict[str, list] | None = None, arrays: tuple[str, ...] = (),
+    filters: dict[str, list] | None = None, arrays: tuple[str, ...] = (), named: DataFrame | None = None,
 ) -> DataFrame:
     """Documents like a text or a document: requests (query_id, text, document_id, page_size,
     page_token) to answers as of search(), and error, which is null but for requests that cannot be
@@ -151,11 +164,12 @@ def similar(
 
     A text that is not blank is asked for; else the semantic fields of the document with that id, each
     once. A document named in the request is no answer to it, even where a text is given. embed adds
-    vector to rows with the column text; it embeds texts as queries.
+    vector to rows with the column text; it embeds texts as queries. named holds the documents named in
+    requests, with their semantic fields, where index has only id and embedding.
     """
     rows = _rows(index, spec, filters, arrays)
     text = semantic_text({c: F.col(c) for c in spec.semantic})
-    own = index.select(F.col("id").cast("string").alias("_own"), text.alias("_document_text"))
+    own = (index if named is None else named).select(F.col("id").cast("string").alias("_own"), text.alias("_document_text"))
     given = F.trim(F.coalesce(F.col("text"), F.lit("")))
     named = F.coalesce(F.col("document_id").cast("string"), F.lit(""))
     asked = requests.withColumns({"_given": given, "_self": named}).join(own, F.col("_self") == F.col("_own"), "left")
@@ -165,8 +179,8 @@ def similar(
     full = asked.withColumn("error", error).withColumn("text", F.when(F.col("_given") != "", F.col("_given")).otherwise(F.col("_document_text")))
     vectors = stage(embed(full.filter("error is null").select("query_id", "text", "_self", "page_size", "page_token")), "similar-vectors")
     header = vectors.select("query_id", "_self", "vector", paging.decode_offset(F.col("page_token")).alias("offset"), paging.page_size(F.col("page_size")).alias("size"))
-    deepest = int(header.agg(F.max(F.col("offset") + F.col("size"))).first()[0] or 1)
-    found = scores(header.select("query_id", "vector"), rows.select("id", "embedding"), deepest + 1)
+    depth = (F.col("offset").cast("long") + F.col("size") + 1).alias("depth")
+    found = scores(header.select("query_id", "vector", depth), rows.select("id", "embedding"), F.col("depth"))
     named_too = found.join(header.select("query_id", "_self"), "query_id").filter(F.col("id").cast("string") != F.col("_self"))
     ranked = named_too.withColumn("rank", nearest()).select(
         "query_id", "rank", "id", F.col("semantic_score").alias("score"), F.lit(0.0).alias("lexical_score"), "semantic_score"

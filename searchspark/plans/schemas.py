@@ -19,3 +19,5 @@ BACKLOG = (
     "semantic_text string, attempts int, next_attempt_at timestamp, status string, last_error string"
 )
 INBOX = "source_service string, event_id string, payload string, arrival bigint"
+POSTINGS = "collection string, token string, id string, field_rank int, pos int"
+WORDS = "collection string, token string"

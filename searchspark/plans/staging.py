@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Folders of our own, by application; the setting itself can't be changed in a running session.
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,8 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-searchspark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-searchspark-", dir="/tmp")
+        folder = _own[app]
     return folder.rstrip("/")
 
 

@@ -13,7 +13,7 @@ from searchspark.operators import embed, gate, index, ingest, lexical, search, s
 from searchspark.plans.staging import new_path, stage, table
 from searchspark.sources import fixtures
 from searchspark.sources.fixtures import ENVELOPES_SQL
-from searchspark.plans.schemas import APPLIED, INBOX
+from searchspark.plans.schemas import APPLIED, ENVELOPE, INBOX
 from searchspark.streaming.engine import SearchEngine, apply, event_files, stream_dedup
 from searchspark.plans.spec import CollectionSpec
 
@@ -492,8 +492,8 @@ def _post_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.token_table(rows, ["title", "content"])
 
 
-def _stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(_post_tokens(spark, sf_dir), "tokens")
+def _stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(lexical.postings(_post_tokens(spark, sf_dir)), "postings")
 
 
 @query(f"with {_TOKENS} select token, count(*) as n, count(distinct id) as documents from tok group by token")
@@ -509,17 +509,27 @@ def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.typo_candidates(asked, lexical.vocabulary(_post_tokens(spark, sf_dir)))
 
 
-@query(f"""with {_TOKENS}, {_ASKED}, {_CANDIDATES}, {_FIGURES}, r as (select *, row_number() over (partition by query_id
+_BEST = f"""with {_TOKENS}, {_ASKED}, {_CANDIDATES}, {_FIGURES}, r as (select *, row_number() over (partition by query_id
   order by words desc, typos, proximity, attribute, exact desc, id) as rank from fig)
-select query_id, id, rank, words, typos, proximity, attribute, exact from r where rank <= 20""")
+select query_id, id, rank, words, typos, proximity, attribute, exact from r where rank <= 20"""
+
+
+@query(_BEST)
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents by the ranking rules."""
-    found = lexical.lexical(fixtures.text_queries(spark, sf_dir), _stored_tokens(spark, sf_dir), 2)
+    found = lexical.lexical(fixtures.text_queries(spark, sf_dir), _stored_postings(spark, sf_dir), 2)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*lexical.rules()))
     top = found.withColumn("rank", rank).filter("rank <= 20")
     return top.select("query_id", "id", "rank", "words", "typos", "proximity", "attribute", "exact")
 
 
+@query(_BEST)
+def lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of the rarest words of each query, without walking the lists of frequent ones."""
+    top = lexical.lexical_top(fixtures.text_queries(spark, sf_dir), _stored_postings(spark, sf_dir), 2, 20)
+    return top.select("query_id", "id", "rank", "words", "typos", "proximity", "attribute", "exact")
+
+
 _SYNONYMS = """voc as (select distinct token from tok), syn as (select a.token as word, b.token as synonym from voc a join voc b on b.token = a.token || 's'
   union all select b.token, a.token from voc a join voc b on b.token = a.token || 's')"""
 
@@ -531,7 +541,7 @@ select query_id, id, rank, words, typos, proximity, attribute, exact from r wher
 def synonym_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search in which plural forms in the vocabulary count as their singular and the other
     way round."""
-    tokens = _stored_tokens(spark, sf_dir)
+    tokens = _stored_postings(spark, sf_dir)
     words = lexical.vocabulary(tokens).select(F.col("token").alias("word"))
     plural = words.select(F.col("word").alias("synonym")).join(words, F.col("synonym") == F.concat("word", F.lit("s")))
     synonyms = plural.select("word", "synonym").unionByName(plural.select(F.col("synonym").alias("word"), F.col("word").alias("synonym")))
@@ -717,6 +727,85 @@ def stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inbox.select("source_service", known.alias("event_id"), "arrival")
 
 
+# The engine over documents with text
+
+#: What is left of the documents after the two batches of _posted(), as a table that stands for documents.
+_LIVE = """live as (select cast(doc_id as varchar) as doc_id, doc_id % 10 = 0 as again,
+  case when doc_id % 10 = 0 then 'Revised edition. ' || text else text end as text from documents where doc_id % 15 <> 1)"""
+
+
+def _over_live(sql: str) -> str:
+    return sql.replace("from documents", "from live").replace("with ", f"with {_LIVE}, ", 1)
+
+
+def _posted(spark: SparkSession, sf_dir: str, per_pass: int = 1000) -> SearchEngine:
+    """An engine with all documents: the first batch brings them, the second one changes every tenth and deletes
+    some."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    body = lambda t: F.to_json(F.struct(F.substring_index(t, "\n", 1).alias("title"), t.alias("content")))
+
+    def events(rows: DataFrame, revision: int, operation: str, document: Column) -> DataFrame:
+        return rows.select(
+            F.lit("docs").alias("source_service"), F.concat(F.lit(f"{operation}-{revision}-"), F.col("doc_id").cast("string")).alias("event_id"),
+            F.lit(operation).alias("operation"), F.lit("posts").alias("collection"), F.col("doc_id").cast("string").alias("document_id"),
+            F.lit(revision).cast("bigint").alias("revision"), document.alias("document_json"), F.lit("").alias("occurred_at"), F.col("doc_id").alias("arrival"),
+        )
+
+    engine = SearchEngine(spark, [fixtures.POSTS], new_path(spark, "engine"), encoder=fixtures.letters, model="letters", per_pass=per_pass)
+    engine.process(events(docs, 1, "upsert", body(F.col("text"))), 0)
+    changed = events(docs.filter("doc_id % 10 = 0 and doc_id % 15 <> 1"), 2, "upsert", body(F.concat(F.lit("Revised edition. "), F.col("text"))))
+    engine.process(changed.unionByName(events(docs.filter("doc_id % 15 = 1"), 2, "delete", F.lit(None).cast("string"))), 1)
+    return engine
+
+
+_ENGINE_BEST = _over_live(_BEST.replace("from fig)", ", count(*) over (partition by query_id) as total from fig)").replace("as rank ,", "as rank,"))
+
+
+@query(_ENGINE_BEST.replace("select query_id, id, rank, words, typos, proximity, attribute, exact from r", "select query_id, id as item_id, rank, total, string_split(text, chr(10))[1] as title from r join live on doc_id = id"))
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by words over the engine's stored inverted index after two batches."""
+    rest = [F.lit("LEXICAL").alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), F.lit(False).alias("explain")]
+    out = _posted(spark, sf_dir).search(fixtures.text_queries(spark, sf_dir).select("*", *rest), "posts", 1)
+    return out.filter("item_id is not null").select("query_id", "item_id", "rank", "total", "title")
+
+
+@query(_over_live(_similar_sql("select item_id as id, trim(text) as st from benchmark", "true")) + " select query_id, id as item_id, rank, score, total from r where rank <= 20")
+def engine_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents like a text, over the engine's vectors after two batches."""
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), "text", F.lit("").alias("document_id"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), F.lit(False).alias("explain")
+    )
+    return _posted(spark, sf_dir).similar(asked, "posts", 1).select("query_id", "item_id", "rank", "score", "total")
+
+
+@query(f"with {_LIVE} select doc_id as id, case when again then 2 else 1 end as _revision, string_split(text, chr(10))[1] as title from live")
+def repaired_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that lost every seventh document and holds old revisions of others, after its repair."""
+    engine = _posted(spark, sf_dir)
+    held = engine.index(1)
+    number = F.col("id").cast("bigint")
+    lost = held.filter(number % 7 == 0).withColumn("live", F.lit(False))
+    old = held.filter((number % 7 != 0) & (number % 10 == 0)).withColumns({"_revision": F.lit(1).cast("bigint"), "document": F.lit("{}"), "live": F.lit(True)})
+    engine._change_index(lost.unionByName(old), engine._maintenance())
+    engine.repair()
+    return engine.index(1).select("id", "_revision", F.get_json_object("document", "$.title").alias("title"))
+
+
+_PASS = 300
+
+
+@query(_over_live(f"""with {_PASSAGES}, n as (select doc_id as id, row_number() over (order by doc_id) as n from documents where text <> '')
+select d.doc_id as id, round(list_sum(list_transform(case when n.n <= {_PASS} then list_reverse(pe.v) else pe.v end, lambda x, i: cast(x as double) * i)), 4) as mark
+from documents d join pe on pe.id = d.doc_id join n on n.id = d.doc_id"""))
+def model_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors while a new model is being filled in, after one pass over the backlog; the others are still
+    those of the model before."""
+    engine = _posted(spark, sf_dir, per_pass=_PASS)
+    engine.use_model("backwards", lambda texts: [v[::-1] for v in fixtures.letters(texts)])
+    engine.process(spark.createDataFrame([], ENVELOPE), 2)
+    return engine.index(2).filter("embedding is not null").select("id", _mark("embedding").alias("mark"))
+
+
 def queries() -> dict[str, Query]:
     """Queries by name."""
     return dict(QUERIES)

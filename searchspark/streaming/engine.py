@@ -2,15 +2,24 @@
 
 State lies under a root folder, in tables that grow by the rows that each batch changes (state). A
 batch takes its events in, decides on them by what is applied to their documents, enriches and
-embeds the documents that change, and tries texts again whose embedding failed before. A batch that
-runs again writes the same.
+embeds the documents that change, writes the places of their words to the inverted index, and tries
+texts again whose embedding failed before. A batch that runs again writes the same.
+
+Batch b is version b * STRIDE of every table. Maintenance (retiring a collection, repairs, a new model)
+takes place between batches, in the versions after the newest batch, so it collides with no batch, and
+whatever is read as of that batch holds it.
+
+A search reads the vocabulary of a collection, the buckets of the inverted index in which the words
+asked lie, and, where a query has a semantic part, vectors; stored documents are only read for the
+hits of its pages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +29,13 @@ from searchspark.functions.stemmer import stem
 from searchspark.functions.text import content_hash, enrich, semantic_text, with_role
 from searchspark.operators import embed, gate, index, ingest, lexical
 from searchspark.operators import search as searching
-from searchspark.plans.schemas import APPLIED, BACKLOG, CACHE, INBOX, INDEX
+from searchspark.plans.schemas import APPLIED, BACKLOG, CACHE, INBOX, INDEX, POSTINGS, WORDS
 from searchspark.plans.spec import ALL, CollectionSpec, by_name
 from searchspark.plans.staging import stage
-from searchspark.streaming.state import ChangeLog
+from searchspark.streaming.state import KEPT, ChangeLog
+
+#: Versions of a table from one batch to the next.
+STRIDE = 1_000
 
 
 @dataclass
@@ -69,31 +81,54 @@ class SearchEngine:
 
     def __post_init__(self) -> None:
         self.root = self.root.rstrip("/")
-        log = lambda name, key, schema: ChangeLog(self.spark, self.root, name, key, schema)
+        self._turn = Lock()
+        log = lambda name, key, schema, **dealt: ChangeLog(self.spark, self.root, name, key, schema, **dealt)
         self._inbox = log("inbox", ingest.DELIVERY, INBOX)
         self._applied = log("applied", gate.DOCUMENT, APPLIED)
         self._index = log("index", index.KEY, INDEX)
         self._cache = log("cache", ["content_hash", "model_version"], CACHE)
         self._backlog = log("backlog", embed.BACKLOG_KEY, BACKLOG)
+        # A frequent word has an entry for most documents: its list is spread over some buckets.
+        self._postings = log("postings", ["collection", "token", "id"], POSTINGS, dealt_by=["collection", "token"], spread=4)
+        self._words = log("words", ["collection", "token"], WORDS)
+        self._logs = (self._inbox, self._applied, self._index, self._cache, self._backlog, self._postings, self._words)
 
     def inbox(self, batch: int) -> DataFrame:
         """Deliveries accepted up to a batch, with their payloads."""
-        return self._inbox.latest(batch)
+        return self._inbox.latest(_after(batch))
 
     def applied(self, batch: int) -> DataFrame:
         """The applied state after a batch, deletes included."""
-        return self._applied.latest(batch)
+        return self._applied.latest(_after(batch))
 
     def index(self, batch: int) -> DataFrame:
         """The index after a batch: live documents, enriched, with vectors."""
-        return self._index.latest(batch)
+        return self._index.latest(_after(batch))
 
     def backlog(self, batch: int) -> DataFrame:
         """Texts whose embedding failed, after a batch."""
-        return self._backlog.latest(batch)
+        return self._backlog.latest(_after(batch))
+
+    def postings(self, batch: int) -> DataFrame:
+        """The inverted index after a batch."""
+        return self._postings.latest(_after(batch))
+
+    def newest(self) -> int:
+        """The newest batch, -1 before the first."""
+        return max((v // STRIDE for v in self._applied.versions()), default=-1)
+
+    def _maintenance(self) -> int:
+        """The next version of maintenance after the newest batch."""
+        batch = self.newest()
+        if batch < 0:
+            raise ValueError("there is no batch yet")
+        taken = [v for log in self._logs for v in log.versions() if batch * STRIDE <= v < (batch + 1) * STRIDE]
+        if max(taken) == _after(batch):
+            raise ValueError(f"batch {batch} has no room for more maintenance")
+        return max(taken) + 1
 
     def _embedded(self, texts: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        cache = self._cache.of(batch - 1, texts.select("content_hash", F.lit(self.model).alias("model_version")))
+        cache = self._cache.of(batch * STRIDE - 1, texts.select("content_hash", F.lit(self.model).alias("model_version")))
         out, new = embed.embed_cached(texts, cache, self.encoder, self.model)
         return out, new
 
@@ -104,9 +139,7 @@ class SearchEngine:
         known = by_name(self.specs)
 
         def semantic(spec: CollectionSpec) -> F.Column:
-            string = lambda f: F.try_variant_get(F.try_parse_json("document"), f"$.{f}", "variant")
-            value = lambda f: F.when(F.schema_of_variant(string(f)) == "STRING", F.try_variant_get(F.try_parse_json("document"), f"$.{f}", "string"))
-            return semantic_text({f: value(f) for f in spec.semantic}, spec.semantic_weights)
+            return semantic_text({f: _string(f) for f in spec.semantic}, spec.semantic_weights)
 
         text = reduce(lambda c, s: c.when(F.col("collection") == s.name, semantic(s)), [s for s in known.values() if s.semantic and s.embedder], F.when(F.lit(False), ""))
         full = rich.withColumn("semantic_text", F.coalesce(text, F.lit(""))).withColumn("content_hash", content_hash(F.col("semantic_text")))
@@ -115,75 +148,151 @@ class SearchEngine:
 
     def process(self, events: DataFrame, batch: int) -> None:
         """One batch. Batches are numbered from 0."""
-        events = stage(events, "engine-events")
-        before = self._inbox.of(batch - 1, events)
+        with self._turn:
+            self._process(stage(events, "engine-events"), batch)
+
+    def _process(self, events: DataFrame, batch: int) -> None:
+        version = batch * STRIDE
+        before = self._inbox.of(version - 1, events)
         judged = stage(ingest.judged(events, before), "engine-judged")
         taken = ingest.outcome(judged)
         accepted = taken.accepted
-        self._inbox.write(accepted.select(*ingest.DELIVERY, canonical_payload().alias("payload"), "arrival"), batch)
-        held = self._applied.of(batch - 1, accepted)
+        self._inbox.write(accepted.select(*ingest.DELIVERY, canonical_payload().alias("payload"), "arrival"), version)
+        held = self._applied.of(version - 1, accepted)
         out = apply(accepted, held, self.specs)
         state = stage(gate.current_state(out.decisions).select(*(c.split()[0] for c in APPLIED.split(", "))), "engine-changed")
-        self._applied.write(state, batch)
         rejected = taken.rejected.unionByName(out.rejected)
         rejected.write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch}")
-        entries = self._entries(state)
+        entries = stage(self._entries(state), "engine-entries")
+        self._post(entries, version)
         if any(s.embedder and s.semantic for s in self.specs):
-            self._embed(stage(entries, "engine-entries"), batch)
+            self._embed(entries, state, batch)
         else:
-            self._index.write(entries.withColumn("embedding", F.lit(None).cast("array<float>")), batch)
-
-    def _embed(self, entries: DataFrame, batch: int) -> None:
+            self._index.write(entries.withColumn("embedding", F.lit(None).cast("array<float>")), version)
+        self._applied.write(state, version)
+
+    def _places(self, entries: DataFrame) -> DataFrame:
+        """Best places of the words in searchable fields of index rows."""
+        def of(spec: CollectionSpec) -> DataFrame:
+            rows = index.materialize(entries.filter(F.col("collection") == spec.name), spec)
+            return lexical.postings(lexical.token_table(rows, list(_searchable(spec))))
+
+        return reduce(DataFrame.unionByName, map(of, self.specs))
+
+    def _post(self, entries: DataFrame, version: int) -> None:
+        """Bring the inverted index up to changed rows of the index (those gone have live = false): words
+        that a document no longer has go, and words not met before join the vocabulary."""
+        keys = ["collection", "id"]
+        new = stage(self._places(entries.filter("live")), "engine-places")
+        old = self._places(self._index.of(version - 1, entries.select(*keys)))
+        gone = old.join(new, [*keys, "token"], "left_anti").withColumn("live", F.lit(False))
+        self._postings.write(new.withColumn("live", F.lit(True)).unionByName(gone), version)
+        self._words.write(new.select("collection", "token").distinct(), version)
+
+    def _embed(self, entries: DataFrame, state: DataFrame, batch: int) -> None:
         """The index rows of a batch with vectors from the cache or the encoder, and one pass over the
         backlog: due texts are tried again where their revision is still the applied one, late
         vectors are patched in, and what fails is queued or waits longer."""
         now = self.now()
-        waiting = stage(self._backlog.latest(batch - 1), "engine-backlog")
+        version = batch * STRIDE
+        waiting = stage(self._backlog.latest(version - 1), "engine-backlog")
         turn = stage(embed.due(waiting, now, self.per_pass), "engine-turn")
-        current = embed.still_current(turn, self._applied.of(batch, turn))
+        held = self._applied.of(version - 1, turn)
+        now_applied = held.join(state.select(*gate.DOCUMENT), gate.DOCUMENT, "left_anti").unionByName(state.select(*held.columns))
+        current = embed.still_current(turn, now_applied)
         wanted = entries.filter("live and semantic_text <> ''").select("collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text")
         again = current.select(*wanted.columns)
         vectors, cached = self._embedded(wanted.unionByName(again).distinct(), batch)
         vectors = stage(vectors, "engine-vectors")
         made = vectors.filter("vector is not null").select("content_hash", F.lit(self.model).alias("model_version"), F.size("vector").alias("dimensions"), "vector")
-        self._cache.write(made.dropDuplicates(["content_hash"]), batch)
+        self._cache.write(made.dropDuplicates(["content_hash"]), version)
         found = vectors.select("collection", F.col("document_id").alias("id"), F.col("revision").alias("_revision"), "vector")
         new = entries.join(found, ["collection", "id", "_revision"], "left").withColumn("embedding", F.col("vector")).drop("vector")
         late = found.filter("vector is not null").join(entries.select("collection", "id"), ["collection", "id"], "left_anti")
-        patched = embed.patch_vectors(self._index.of(batch - 1, late), late).withColumn("live", F.lit(True))
-        self._index.write(new.select(*patched.columns).unionByName(patched), batch)
+        patched = embed.patch_vectors(self._index.of(version - 1, late), late).withColumn("live", F.lit(True))
+        self._index.write(new.select(*patched.columns).unionByName(patched), version)
         failed = vectors.filter("vector is null").join(turn.select(*gate.DOCUMENT, "revision"), [*gate.DOCUMENT, "revision"], "left_anti")
         queued = embed.enqueue_missing(failed, waiting, now, self.model).withColumn("live", F.lit(True))
         retried = embed.retry_or_dead(current.join(late_keys(vectors), [*gate.DOCUMENT, "revision"], "left_anti"), now).withColumn("live", F.lit(True))
         closed = turn.join(retried.select(*embed.BACKLOG_KEY), embed.BACKLOG_KEY, "left_anti").withColumn("live", F.lit(False))
-        self._backlog.write(queued.unionByName(retried).unionByName(closed), batch)
+        self._backlog.write(queued.unionByName(retried).unionByName(closed), version)
 
-    def retire(self, names: list[str], batch: int) -> None:
-        """Take collections out of the index, as a batch of its own; those it does not hold are no
-        matter."""
-        gone = self._index.latest(batch - 1)
-        self._index.write(gone.join(index.retire(gone, names).select(*index.KEY), index.KEY, "left_anti").withColumn("live", F.lit(False)), batch)
+    def retire(self, names: list[str]) -> None:
+        """Take collections out of the index, after the newest batch; those it does not hold are no matter."""
+        with self._turn:
+            version = self._maintenance()
+            gone = self._index.latest(version).filter(F.col("collection").isin(names)).withColumn("live", F.lit(False))
+            self._change_index(gone, version)
+
+    def _change_index(self, rows: DataFrame, version: int) -> None:
+        """Write rows of the index (those gone have live = false) and the places of their words."""
+        rows = stage(rows, "engine-maintained")
+        self._post(rows, version)
+        self._index.write(rows, version)
+
+    def _with_vectors(self, entries: DataFrame, version: int) -> DataFrame:
+        cache = self._cache.latest(version).filter(F.col("model_version") == self.model).select("content_hash", F.col("vector").alias("embedding"))
+        return entries.join(cache, "content_hash", "left")
 
     def rebuild(self, batch: int) -> DataFrame:
         """The index of a batch from the applied state and the cached vectors alone."""
-        entries = self._entries(self.applied(batch)).filter("live")
-        cache = self._cache.latest(batch).filter(F.col("model_version") == self.model).select("content_hash", F.col("vector").alias("embedding"))
-        return entries.join(cache, "content_hash", "left").select(*self._index.columns)
+        return self._with_vectors(self._entries(self.applied(batch)).filter("live"), _after(batch)).select(*self._index.columns)
 
     def audit(self, batch: int) -> DataFrame:
         """Documents in which the index and the applied state of a batch differ."""
-        return index.audit(self.applied(batch), self.index(batch))
-
-    def documents(self, collection: str, batch: int) -> tuple[DataFrame, CollectionSpec]:
-        """The live documents of a collection with their declared fields as columns, and the collection;
-        an unknown one is an error."""
+        return index.audit(self.applied(batch), self._index.latest(_after(batch), ["_revision"]))
+
+    def repair(self) -> int:
+        """Write the documents that an audit finds anew, after the newest batch: those that the index lacks or
+        holds in another revision come from the applied state and the cached vectors, those that it should not
+        hold go. Returns how many there were. Retired collections are among them, as the applied state still
+        holds their documents."""
+        with self._turn:
+            version = self._maintenance()
+            wrong = stage(self.audit(self.newest()).select(F.col("collection"), F.col("id").alias("document_id")), "engine-wrong")
+            n = wrong.count()
+            if n:
+                entries = self._with_vectors(self._entries(self._applied.of(version, wrong)), version)
+                columns = [*self._index.columns, "live"]
+                extra = wrong.withColumnRenamed("document_id", "id").join(entries.select(*index.KEY), index.KEY, "left_anti").withColumn("live", F.lit(False))
+                self._change_index(entries.select(*columns).unionByName(extra, allowMissingColumns=True), version)
+            return n
+
+    def use_model(self, model: str, encoder: embed.Encoder | None) -> int:
+        """Embed with another model from now on, and queue the documents that have a text for it, after the newest
+        batch; returns how many. Each batch takes per_pass of them, and the vectors of before are searched until a
+        document's turn comes. A queue that is there already is not begun again."""
+        with self._turn:
+            self.model, self.encoder = model, encoder
+            version = self._maintenance()
+            rows = self._index.latest(version, ["_revision", "content_hash", "semantic_text"]).select(
+                "collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text", F.lit(None).alias("vector")
+            )
+            queued = stage(embed.enqueue_missing(rows, self._backlog.latest(version), self.now(), model), "engine-queued")
+            self._backlog.write(queued, version)
+            return queued.count()
+
+    def vacuum(self, kept: int = KEPT) -> None:
+        """Remove files that none of the newest kept versions of a table needs."""
+        with self._turn:
+            for log in self._logs:
+                log.vacuum(kept)
+
+    def _spec(self, collection: str) -> CollectionSpec:
         spec = by_name(self.specs).get(collection)
         if spec is None:
             raise KeyError("unknown collection")
-        if ALL in spec.searchable:
-            spec = replace(spec, searchable=("_search_text",))
-        rows = self.index(batch).filter(F.col("collection") == spec.name)
-        return index.materialize(rows, spec), spec
+        return spec
+
+    def documents(self, collection: str, batch: int, ids: DataFrame | None = None) -> DataFrame:
+        """The live documents of a collection, or those with ids (id), with their declared fields as columns; an
+        unknown collection is an error. Semantic fields that hold no string are null."""
+        spec = self._spec(collection)
+        if ids is None:
+            rows = self._index.latest(_after(batch)).filter(F.col("collection") == spec.name)
+        else:
+            rows = self._index.of(_after(batch), ids.select(F.lit(spec.name).alias("collection"), F.col("id").cast("string").alias("id")))
+        return index.materialize(rows.withColumns({f: _string(f) for f in spec.semantic if f not in rows.columns}), spec)
 
     def _as_queries(self, rows: DataFrame, col: str) -> DataFrame:
         """rows with the vector of a text as a query; null where it cannot be had."""
@@ -192,22 +301,42 @@ class SearchEngine:
         prefixed = rows.withColumn("_query", with_role(F.col(col), "query"))
         return embed.embed_texts(prefixed, "_query", self.encoder).drop("_query", "error")
 
-    def search(self, queries: DataFrame, collection: str, batch: int, variants: bool = False, **options) -> DataFrame:  # noqa: ANN003
+    def _vectors(self, spec: CollectionSpec, batch: int, filters: dict[str, list] | None) -> DataFrame:
+        """id, embedding of the documents of a collection that pass filters, and the fields that may be sorted by."""
+        columns = ["embedding", "document"] if filters or spec.sortable else ["embedding"]
+        rows = self._index.latest(_after(batch), columns).filter(F.col("collection") == spec.name)
+        return rows if len(columns) == 1 else index.materialize(rows, spec).filter(searching.build_filters(filters or {}, spec))
+
+    def search(
+        self, queries: DataFrame, collection: str, batch: int, variants: bool = False, filters: dict[str, list] | None = None,
+        sort: list[str] | None = None, synonyms: DataFrame | None = None,
+    ) -> DataFrame:
         """Answers to queries (query_id, query, mode, semantic_weight, page_size, page_token, explain)
         over the index after a batch. Queries are embedded here; where that fails they are asked by
         words alone."""
-        rows, spec = self.documents(collection, batch)
-        rows = stage(rows, "engine-documents")
+        spec = self._spec(collection)
         asked = stage(self._as_queries(queries, "query"), "engine-queries")
         forms = lexical.query_variants(asked, self.stemmer, self.transliteration) if variants else None
-        return searching.response(searching.search(asked, rows, spec, variants=forms, **options), asked, rows, spec)
-
-    def similar(self, requests: DataFrame, collection: str, batch: int, **options) -> DataFrame:  # noqa: ANN003
+        known = self._words.latest(_after(batch)).filter(F.col("collection") == spec.name).select("token")
+        wanted = lexical.matching_tokens(lexical.query_words(asked, forms), known, synonyms)
+        places = self._postings.of(_after(batch), wanted.select(F.lit(spec.name).alias("collection"), "token"))
+        rows = self._vectors(spec, batch, filters)
+        if filters:
+            places = places.join(rows.select("id"), "id", "left_semi")
+        found = lexical.lexical(asked, places, len(_searchable(spec)), variants=forms, wanted=wanted)
+        return self._answer(searching.ranked(asked, rows, spec, found, sort), asked, spec, batch)
+
+    def _answer(self, answers: DataFrame, asked: DataFrame, spec: CollectionSpec, batch: int) -> DataFrame:
+        """Pages with the fields of their documents."""
+        pages = stage(answers, "engine-pages")
+        return searching.response(pages, asked, self.documents(spec.name, batch, pages.filter("id is not null").select("id")), spec)
+
+    def similar(self, requests: DataFrame, collection: str, batch: int, filters: dict[str, list] | None = None) -> DataFrame:
         """Answers to requests (query_id, text, document_id, page_size, page_token, explain)."""
-        rows, spec = self.documents(collection, batch)
-        rows = stage(rows, "engine-documents")
-        answers = searching.similar(requests, rows, spec, lambda df: self._as_queries(df, "text"), **options)
-        return searching.response(answers, requests.withColumn("query", F.col("text")), rows, spec)
+        spec = self._spec(collection)
+        named = self.documents(spec.name, batch, requests.filter("document_id <> ''").select(F.col("document_id").alias("id")))
+        answers = searching.similar(requests, self._vectors(spec, batch, filters), spec, lambda df: self._as_queries(df, "text"), named=named)
+        return self._answer(answers, requests.withColumn("query", F.col("text")), spec, batch)
 
     def start(self, source: DataFrame, checkpoint: str, **trigger):  # noqa: ANN003, ANN201
         """The same over a stream of envelopes; default a micro-batch every 500 milliseconds."""
@@ -215,6 +344,22 @@ class SearchEngine:
         return writer.foreachBatch(lambda df, batch: self.process(df, batch)).start()
 
 
+def _after(batch: int) -> int:
+    """The last version that belongs to a batch."""
+    return (batch + 1) * STRIDE - 1
+
+
+def _searchable(spec: CollectionSpec) -> tuple[str, ...]:
+    """The searchable fields as columns of the index."""
+    return ("_search_text",) if ALL in spec.searchable else spec.searchable
+
+
+def _string(name: str) -> F.Column:
+    """A field of the JSON document that is a string; null for any other value."""
+    value = F.try_variant_get(F.try_parse_json("document"), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json("document"), f"$.{name}", "string"))
+
+
 def late_keys(vectors: DataFrame) -> DataFrame:
     """Documents and revisions that got a vector."""
     return vectors.filter("vector is not null").select(*gate.DOCUMENT, "revision")

@@ -1,73 +1,154 @@
 """Keyed tables that grow by changed rows only.
 
-A table under a root has one directory per batch with the rows that the batch changed, dealt into
-hashed buckets, and every COMPACT batches one with all its rows. The newest row of a key counts, a
-row with live = false says that the key is gone. A batch writes its own directory in overwrite
-mode and reads those before it, so a batch that runs again writes the same, and nothing is overwritten
-while it is read.
+A table under a root is a set of parts. A version (a batch, or maintenance between two) writes the
+rows that it changes as one part, dealt into hashed buckets, and then a manifest that lists the
+parts of the table as of that version. Readers take the newest manifest up to the version they ask
+for, so versions that wrote nothing need no file of their own. The newest row of a key counts, a row
+with live = false says that the key is gone.
+
+Once FAN parts of one level have come together they are merged into one part of the next level, so
+that a row is rewritten about once for each power of FAN, and a reader sees a few parts at most. A
+version that runs again writes the same parts and the same manifest; nothing is overwritten while it
+is read by others. vacuum() removes what no kept manifest names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: More buckets let a batch read less of a large state; each is a directory that every batch writes.
-BUCKETS, COMPACT = 16, 20
+#: More buckets let a version read less of a large state; each is a directory that every part has.
+BUCKETS, FAN = 16, 8
+#: Versions that vacuum() keeps.
+KEPT = 20
 
 
 class ChangeLog:
-    """Rows of a schema (Spark DDL) by key, under root/name."""
-
-    def __init__(self, spark: SparkSession, root: str, name: str, key: list[str], schema: str, buckets: int = BUCKETS, compact: int = COMPACT):
-        self.spark, self.key, self.buckets, self.compact = spark, key, buckets, compact
+    """Rows of a schema (Spark DDL) by key, under root/name.
+
+    Buckets are hashes of the columns dealt_by (default: the key). With spread over 1 the rows of one
+    value of dealt_by, which may be very many, lie in so many buckets.
+    """
+
+    def __init__(
+        self, spark: SparkSession, root: str, name: str, key: list[str], schema: str, buckets: int = BUCKETS, fan: int = FAN,
+        dealt_by: list[str] | None = None, spread: int = 1,
+    ):
+        self.spark, self.key, self.buckets, self.fan = spark, key, buckets, fan
+        self.dealt_by, self.spread = dealt_by or key, spread
         self.path = f"{root}/{name}"
         self.columns = spark.createDataFrame([], schema).columns
-        self.stored = f"{schema}, live boolean, at int, bucket int"
-
-    def _there(self, path: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-    def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-
-    def _rows(self, batch: int, buckets: list[int] | None) -> DataFrame:
-        base = (batch + 1) // self.compact * self.compact - 1
-        paths = [f"{self.path}/all/{base}"] + [f"{self.path}/changed/{b}" for b in range(base + 1, batch + 1)]
-        parts = [p for p in paths if self._there(p)]
-        rows = self.spark.createDataFrame([], self.stored)
-        for p in parts:
-            rows = rows.unionByName(self.spark.read.schema(self.stored).parquet(p))
-        return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        rest = F.struct(*(c for c in self.columns if c not in self.key), "live")
+        self.stored = f"{schema}, live boolean, at bigint, bucket int"
+
+    # Manifests
+
+    def _hadoop(self, path: str):  # noqa: ANN202
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def versions(self) -> list[int]:
+        """Versions with a manifest, ascending."""
+        fs, place = self._hadoop(f"{self.path}/manifest")
+        if not fs.exists(place):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(place)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def parts(self, version: int) -> list[dict]:
+        """The parts as of a version: path, level and rows' first and last version, oldest first."""
+        known = [v for v in self.versions() if v <= version]
+        if not known:
+            return []
+        fs, place = self._hadoop(f"{self.path}/manifest/{known[-1]}.json")
+        stream = fs.open(place)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, parts: list[dict]) -> None:
+        """Write a manifest whole under its name."""
+        fs, final = self._hadoop(f"{self.path}/manifest/{version}.json")
+        _, own = self._hadoop(f"{self.path}/manifest/.{uuid.uuid4().hex}")
+        out = fs.create(own, True)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if fs.exists(final):
+            fs.delete(final, False)
+        if not fs.rename(own, final):
+            raise OSError(f"manifest {version} of {self.path} could not be written")
+
+    # Rows
+
+    def _bucket(self) -> Column:
+        shift = F.pmod(F.xxhash64(*self.key), F.lit(self.spread)) if self.spread > 1 else F.lit(0)
+        return F.pmod(F.xxhash64(*self.dealt_by) + shift, F.lit(self.buckets)).cast("int")
+
+    def _read(self, parts: list[dict]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.stored)
+        source = self.spark.read.schema(self.stored).option("basePath", f"{self.path}/parts")
+        return source.parquet(*(f"{self.path}/{p['path']}" for p in parts)).drop("part")
+
+    def _newest(self, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        rest = F.struct(*(c for c in self.columns if c not in self.key and (columns is None or c in columns)), "live", "at")
         newest = rows.groupBy(*self.key).agg(F.max_by(rest, "at").alias("r"))
         return newest.select(*self.key, "r.*")
 
-    def latest(self, batch: int) -> DataFrame:
-        """All rows after a batch."""
-        return self._newest(self._rows(batch, None)).filter("live").select(*self.columns)
-
-    def of(self, batch: int, keys: DataFrame) -> DataFrame:
-        """Rows after a batch of the given keys only; other buckets are not read."""
-        wanted = keys.select(*self.key).distinct()
-        buckets = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
-        rows = self._rows(batch, buckets).join(wanted, self.key, "left_semi")
+    def latest(self, version: int, columns: list[str] | None = None) -> DataFrame:
+        """All rows after a version; with columns, only these are read beside the key."""
+        kept = [c for c in self.columns if columns is None or c in self.key or c in columns]
+        return self._newest(self._read(self.parts(version)), columns).filter("live").select(*kept)
+
+    def of(self, version: int, keys: DataFrame) -> DataFrame:
+        """Rows after a version whose columns dealt_by are among keys only; other buckets are not read."""
+        parts = self.parts(version)
+        if not parts:
+            return self.spark.createDataFrame([], self.stored).select(*self.columns)
+        on = [c for c in self.key if c in keys.columns]
+        wanted = keys.select(*on).distinct()
+        first = F.xxhash64(*self.dealt_by)
+        dealt = F.array(*(F.pmod(first + i, F.lit(self.buckets)).cast("int") for i in range(self.spread)))
+        buckets = [r[0] for r in wanted.select(F.explode(dealt)).distinct().collect()]
+        rows = self._read(parts).filter(F.col("bucket").isin(buckets)).join(wanted, on, "left_semi")
         return self._newest(rows).filter("live").select(*self.columns)
 
-    def write(self, changed: DataFrame, batch: int) -> None:
-        """The rows that a batch changed: columns, and live where some of them are gone."""
+    def write(self, changed: DataFrame, version: int) -> None:
+        """The rows that a version changed, one for each key: columns, and live where some of them are gone."""
         live = changed if "live" in changed.columns else changed.withColumn("live", F.lit(True))
-        self._write(live.select(*self.columns, "live", F.lit(batch).alias("at")), f"changed/{batch}")
-        if (batch + 1) % self.compact == 0:
-            self._write(self._newest(self._before_compaction(batch)).filter("live").withColumn("at", F.lit(batch)), f"all/{batch}")
-
-    def _before_compaction(self, batch: int) -> DataFrame:
-        own = self.spark.read.schema(self.stored).parquet(f"{self.path}/changed/{batch}")
-        return self._rows(batch - 1, None).unionByName(own)
+        path = f"parts/part={version}"
+        self._write(live.select(*self.columns, "live", F.lit(version).cast("bigint").alias("at")), path)
+        parts = [*self.parts(version - 1), {"path": path, "level": 0, "first": version, "last": version}]
+        while len(tail := parts[-self.fan :]) == self.fan and len({p["level"] for p in tail}) == 1:
+            parts = [*parts[: -self.fan], self._merged(tail, whole=len(parts) == self.fan)]
+        self._commit(version, parts)
+
+    def _merged(self, parts: list[dict], whole: bool) -> dict:
+        """Parts in a row as one; rows that are gone go only where nothing older can hold them."""
+        level, first, last = parts[0]["level"] + 1, parts[0]["first"], parts[-1]["last"]
+        rows = self._newest(self._read(parts))
+        path = f"parts/part={first}-{last}"
+        self._write(rows.filter("live") if whole else rows, path)
+        return {"path": path, "level": level, "first": first, "last": last}
 
     def _write(self, rows: DataFrame, where: str) -> None:
-        dealt = rows.withColumn("bucket", self._bucket())
-        dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{where}")
+        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.key)
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{where}")
+
+    def vacuum(self, kept: int = KEPT) -> list[str]:
+        """Remove all but the newest kept manifests, and the parts that none of these names; returns
+        the parts removed. Older versions can't be read after that."""
+        known = self.versions()
+        named = {p["path"] for v in known[-kept:] for p in self.parts(v)}
+        for v in known[:-kept]:
+            fs, place = self._hadoop(f"{self.path}/manifest/{v}.json")
+            fs.delete(place, False)
+        fs, place = self._hadoop(f"{self.path}/parts")
+        there = [f"parts/{s.getPath().getName()}" for s in fs.listStatus(place)] if fs.exists(place) else []
+        gone = [p for p in there if p not in named]
+        for p in gone:
+            fs.delete(self._hadoop(f"{self.path}/{p}")[1], True)
+        return gone

@@ -35,23 +35,72 @@ def encoder_from(path):
     return encode
 
 
+def changes(spark, log, state, batch, times=1):
+    rows = [(f"k{(batch * 3 + i) % 10}", batch * 10 + i, i != 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "k string, v int, live boolean")
+    for _ in range(times):
+        log.write(df, batch)
+    for k, v, live in rows:
+        state.pop(k, None)
+        if live:
+            state[k] = v
+
+
+def held(log, batch):
+    return {r.k: r.v for r in log.latest(batch).collect()}
+
+
 def test_change_log(spark, tmp_path):
-    log = ChangeLog(spark, str(tmp_path), "t", ["k"], "k string, v int", buckets=4, compact=3)
-    state = {}
-    for batch in range(8):
-        rows = [(f"k{(batch * 3 + i) % 10}", batch * 10 + i, i != 2) for i in range(4)]
-        df = spark.createDataFrame(rows, "k string, v int, live boolean")
-        for _ in range(2 if batch in (2, 4) else 1):
-            log.write(df, batch)
-        for k, v, live in rows:
-            state.pop(k, None)
-            if live:
-                state[k] = v
-        assert {r.k: r.v for r in log.latest(batch).collect()} == state
+    log = ChangeLog(spark, str(tmp_path), "t", ["k"], "k string, v int", buckets=4, fan=3)
+    state, seen = {}, {}
+    assert held(log, 5) == {}
+    # Versions 2, 5, 8 and 9 write nothing, 4 and 10 run twice; merges come at other versions than in a row.
+    for batch in range(14):
+        if batch not in (2, 5, 8, 9):
+            changes(spark, log, state, batch, 2 if batch in (4, 10) else 1)
+        seen[batch] = dict(state)
+        assert held(log, batch) == state
         keys = spark.createDataFrame([("k1",), ("k3",), ("none",)], "k string")
         assert {r.k: r.v for r in log.of(batch, keys).collect()} == {k: v for k, v in state.items() if k in ("k1", "k3")}
-    written = spark.read.parquet(f"{tmp_path}/t/changed/7")
-    assert written.count() == 4
+    assert all(held(log, b) == s for b, s in seen.items())
+    assert [p["level"] for p in log.parts(13)] == [2, 0] and len(log.parts(13)) <= 2 * 3
+    assert spark.read.parquet(f"{tmp_path}/t/parts/part=7").count() == 4
+
+
+def test_change_log_is_written_again_after_a_loss(spark, tmp_path):
+    """A part without a manifest, as a lost driver leaves it, is no part."""
+    log, state = ChangeLog(spark, str(tmp_path), "t", ["k"], "k string, v int", buckets=2, fan=2), {}
+    changes(spark, log, state, 0)
+    before = dict(state)
+    commit, log._commit = log._commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        changes(spark, log, dict(state), 1)
+    assert held(log, 1) == before
+    log._commit = commit
+    changes(spark, log, state, 1)
+    assert held(log, 1) == state and held(log, 0) == before
+
+
+def test_change_log_vacuum(spark, tmp_path):
+    log, state = ChangeLog(spark, str(tmp_path), "t", ["k"], "k string, v int", buckets=2, fan=3), {}
+    for batch in range(11):
+        changes(spark, log, state, batch)
+    files = lambda: len(list((tmp_path / "t" / "parts").iterdir()))
+    many = files()
+    gone = log.vacuum(kept=1)
+    assert gone and files() == many - len(gone) == len(log.parts(10)) <= 2 * 3
+    assert held(log, 10) == state and log.versions() == [10] and log.vacuum(kept=1) == []
+    changes(spark, log, state, 11)
+    assert held(log, 11) == state
+
+
+def test_change_log_spreads_a_hot_value(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path), "t", ["word", "id"], "word string, id int, v int", buckets=8, dealt_by=["word"], spread=4)
+    log.write(spark.range(400).selectExpr("if(id < 300, 'hot', cast(id as string)) as word", "cast(id as int) id", "1 as v"), 0)
+    buckets = spark.read.parquet(f"{tmp_path}/t/parts/part=0").filter("word = 'hot'").select("bucket").distinct().count()
+    assert buckets == 4
+    asked = spark.createDataFrame([("hot",), ("301",)], "word string")
+    assert sorted((r.word, r.id) for r in log.of(0, asked).collect()) == sorted([("hot", i) for i in range(300)] + [("301", 301)])
 
 
 def test_engine_enriches_embeds_and_searches(spark, tmp_path):
@@ -95,8 +144,52 @@ def test_engine_enriches_embeds_and_searches(spark, tmp_path):
     assert [(r.item_id, r.score) for r in engine.similar(like, "posts", 3).collect()] == [("2", 0.0)]
     with pytest.raises(KeyError):
         engine.search(asked, "nowhere", 3)
-    engine.retire(["posts", "absent"], 4)
-    assert engine.index(4).count() == 0 and engine.index(3).count() == 3
+    engine.retire(["posts", "absent"])
+    assert engine.index(3).count() == 0 and engine.index(2).count() == 3 and engine.postings(3).count() == 0
+    # Applied state outlives a collection's retirement; the next batch goes on from it.
+    assert engine.applied(3).count() == 4
+    engine.process(events(spark, ("upsert", "9", 1, '{"title":"ants"}'), ("upsert", "3", 2, "{}"), start=40), 4)
+    assert [r.id for r in engine.index(4).collect()] == ["9"] and engine.inbox(4).count() == 7
+
+
+def test_repair(spark, tmp_path):
+    engine = SearchEngine(spark, [POSTS], str(tmp_path / "state"))
+    engine.process(events(spark, *(("upsert", str(i), 1, f'{{"title":"word{i} common"}}') for i in range(12))), 0)
+    engine.process(events(spark, ("upsert", "3", 2, '{"title":"changed"}'), ("delete", "4", 2, None), start=20), 1)
+    whole = lambda: sorted((r.id, r._revision, r._search_text, tuple(r.embedding)) for r in engine.index(1).collect())
+    places = lambda: sorted(map(tuple, engine.postings(1).collect()))
+    before, lists = whole(), places()
+    assert engine.repair() == 0 and engine.audit(1).count() == 0
+    held = engine.index(1)
+    lost = held.filter("id in ('1', '2')").withColumn("live", F.lit(False))
+    old = held.filter("id = '3'").withColumns({"_revision": F.lit(1).cast("bigint"), "document": F.lit('{"title":"old"}'), "live": F.lit(True)})
+    extra = held.filter("id = '5'").withColumns({"id": F.lit("77"), "live": F.lit(True)})
+    engine._change_index(lost.unionByName(old).unionByName(extra), 1_001)
+    assert whole() != before and places() != lists
+    assert {r.id for r in engine.audit(1).collect()} == {"1", "2", "3", "77"}
+    assert engine.repair() == 4
+    assert whole() == before and places() == lists and engine.audit(1).count() == 0 and engine.repair() == 0
+
+
+def test_postings_follow_changed_documents(spark, tmp_path):
+    engine = SearchEngine(spark, [POSTS, CollectionSpec("plain")], str(tmp_path / "state"))
+    engine.process(events(spark, ("upsert", "1", 1, '{"title":"red red bicycle"}'), ("upsert", "2", 1, '{"title":"red car"}')), 0)
+    engine.process(events(spark, ("upsert", "1", 2, '{"title":"blue bicycle"}'), ("delete", "2", 2, None), start=9), 1)
+    listed = lambda b: sorted((r.token, r.id, r.pos) for r in engine.postings(b).collect())
+    assert listed(0) == [("bicycle", "1", 2), ("car", "2", 1), ("red", "1", 0), ("red", "2", 0)]
+    assert listed(1) == [("bicycle", "1", 1), ("blue", "1", 0)]
+
+
+def test_another_model_is_filled_in_by_passes(spark, tmp_path):
+    one, two = (lambda v: lambda texts: [v] * len(texts))([1.0, 0.0]), (lambda v: lambda texts: [v] * len(texts))([0.0, 1.0])
+    engine = SearchEngine(spark, [POSTS], str(tmp_path / "state"), encoder=one, model="one", per_pass=2)
+    engine.process(events(spark, *(("upsert", str(i), 1, f'{{"title":"t{i}"}}') for i in range(5))), 0)
+    assert engine.use_model("two", two) == 5 and engine.use_model("two", two) == 0
+    left = []
+    for batch in range(1, 5):
+        engine.process(events(spark, *([("upsert", "0", 2, '{"title":"new"}')] if batch == 1 else []), start=50 * batch), batch)
+        left.append((sum(r.embedding == [0.0, 1.0] for r in engine.index(batch).collect()), engine.backlog(batch).count()))
+    assert left[-1] == (5, 0) and [n for _, n in left] == sorted((n for _, n in left), reverse=True) and left[0][0] < 5
 
 
 def test_outdated_backlog_is_closed(spark, tmp_path):
