@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from searchspark.llm.components import components
@@ -112,7 +112,7 @@ def node_of(tokens: np.ndarray) -> int:
 
 def members(rows_: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
     """Staged, one row per document: _k, n, node, and for the first of its kind in a task the tokens
-    to compare and the bitmap. Documents without words have no node."""
+    to compare, the frequent ones apart, and the bitmap. Documents without words have no node."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -123,13 +123,19 @@ def members(rows_: DataFrame, rule: Rule, classes: Broadcast) -> DataFrame:
                 node = node_of(s) if len(s) else None
                 new = node is not None and node not in seen
                 seen.add(node)
-                out.append((len(s), node, s[: rule.compared(len(s))].view(np.int64) if new else None, bitmap(s) if new else None))
-            frame = pd.DataFrame(out, columns=["n", "node", "tokens", "bits"])
+                rare = often = None
+                if new:
+                    compared = s[: rule.compared(len(s))]
+                    hot = found_at(classes.value[0], compared)[0]
+                    rare, often = compared[~hot].view(np.int64), compared[hot].view(np.int64)
+                out.append((len(s), node, rare, often, bitmap(s) if new else None))
+            frame = pd.DataFrame(out, columns=["n", "node", "tokens", "often", "bits"])
             frame["node"] = pd.array([r[1] for r in out], dtype="Int64")
             frame.insert(0, "_k", b["_k"].to_numpy())
             yield frame
 
-    return stage(rows_.select("_k", "text").mapInPandas(rows, "_k long, n long, node long, tokens array<long>, bits binary"), "jaccard-members")
+    kind = "_k long, n long, node long, tokens array<long>, often array<long>, bits binary"
+    return stage(rows_.select("_k", "text").mapInPandas(rows, kind), "jaccard-members")
 
 
 def _shared_tokens(member: DataFrame) -> DataFrame:
@@ -137,16 +143,32 @@ def _shared_tokens(member: DataFrame) -> DataFrame:
 
     Of tokens that the same nodes have (near copies share most of theirs) the smallest stands for
     all, weight of them, since each would bring the same nodes together. Same nodes are told by the
-    count, the least, a sum and the exclusive or of the nodes. Tokens are summed up before the
-    shuffle; the join splits those with very many rows."""
-    tokens = member.filter("tokens is not null").select("node", F.explode("tokens").alias("token"))
-    summed = tokens.groupBy("token").agg(
-        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("together"),
-        F.bit_xor("node").alias("mark"), F.sum(F.col("node").bitwiseAND(F.lit(LOW_BITS))).alias("total"),
-    )
-    alike = summed.filter("lo <> hi").groupBy("lo", "together", "mark", "total")
-    one_of_each = alike.agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
-    return stage(tokens.join(one_of_each.select("token", "together", "weight"), "token"), "jaccard-shared")
+    count, the least, a sum and the exclusive or of the nodes.
+
+    Rows of a token that is not frequent are shuffled once, and its figures are put beside them there;
+    what stands for others is joined where the rows lie. Frequent tokens are summed up before the
+    shuffle and joined with their rows, which that join splits."""
+    low = F.col("node").bitwiseAND(F.lit(LOW_BITS))
+    figures = {"lo": F.min("node"), "hi": F.max("node"), "together": F.count(F.lit(1)), "mark": F.bit_xor("node"), "total": F.sum(low)}
+    of = lambda c: member.filter("bits is not null").select("node", F.explode(c).alias("token"))
+    same = ("lo", "together", "mark", "total")
+
+    def standing(summed: DataFrame) -> DataFrame:
+        one_of_each = summed.groupBy(*same).agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
+        return one_of_each.select("token", "weight")
+
+    here = Window.partitionBy("token")
+    placed = of("tokens").select("token", "node", *(f.over(here).alias(c) for c, f in figures.items()))
+    rare = placed.filter("lo <> hi").drop("hi")
+    # The row of its least node has a token's figures; a node has a token once in a task. Both sides of the
+    # join below come from the one shuffle.
+    once = rare.filter("node = lo").select("token", *same).distinct()
+    rare = rare.select("token", "node", "together").join(standing(once), "token")
+    often = of("often")
+    summed = often.groupBy("token").agg(*(f.alias(c) for c, f in figures.items())).filter("lo <> hi")
+    hot = often.join(standing(summed).join(summed.select("token", "together"), "token"), "token")
+    columns = ("token", "node", "together", "weight")
+    return stage(rare.select(*columns).unionByName(hot.select(*columns)), "jaccard-shared")
 
 
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -363,7 +385,7 @@ def clustered(rows: DataFrame, rule: Rule) -> DataFrame:
     size = F.col("n")
     enough = 1 + F.floor(F.ceil(size * rule.num / rule.den) / EXTRA)
     repeats = shared.groupBy("node").agg(F.sum("weight").alias("repeats"))
-    nodes = member.filter("tokens is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    nodes = member.filter("bits is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
     kept = stage(nodes.join(repeats, "node").filter(F.col("repeats") >= enough).select("node", "n", "bits"), "jaccard-kept")
     buckets = max(1, math.ceil(shared.count() / ROWS_PER_BUCKET))
     # A merge join leaves the rows of a node together, so that its repeated bitmap is compressed in the next shuffle.
