@@ -17,18 +17,20 @@ from pyspark.sql import functions as F
 from searchspark.plans.staging import stage
 
 # Kinds in the order of the digest, and their patterns. Inner repeats are possessive;
-# what follows each of them cannot begin with what it repeats, so matches are the same.
+# what follows each of them cannot begin with what it repeats, so matches are the same. A run of signs
+# that an e-mail or an ip may begin with is tried once, at its start or where the match before ended:
+# from any later place in it the same signs follow the run, so that fails where the first try fails.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: One or two words, each with up to four signs or spaces after it.
 CONTEXT = r"(?:\p{L}++[^\p{L}\p{N}]{1,4}+){1,2}"
-#: A token with a digit, and up to eight further groups of digits after single spaces. Signs at the
-#: end are cut off; LEAST characters must be left.
-VALUE = r"(?=[A-Za-z._%@(-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._%+@()-]*+(?: [0-9(][A-Za-z0-9._%+@()-]*+){0,8}"
+#: A token with a digit among its first 65 characters, so that none is searched for far ahead, and up to
+#: eight further groups of digits after single spaces. Signs at the end are cut off; LEAST characters must be left.
+VALUE = r"(?=[A-Za-z._%@(-]{0,64}+[0-9])[A-Za-z0-9][A-Za-z0-9._%+@()-]*+(?: [0-9(][A-Za-z0-9._%+@()-]*+){0,8}"
 LEAST = 5
 CANDIDATE = rf"(?<!\p{{L}}){CONTEXT}{VALUE}"
 #: So many characters before a span can be its context.
@@ -104,7 +106,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     valid = {
         "email": lambda v: F.lit(True),
         "ip": lambda v: v.rlike(rf"^(?:{part}\.){{3}}{part}$") ,
-        "card": lambda v: n(v).between(16, 19) & luhn(v),
+        "card": lambda v: F.when(n(v).between(16, 19), luhn(v)).otherwise(False),
         "phone": lambda v: n(v).between(8, 15),
     }
     kept = lambda k: F.filter(matches(text, PATTERNS[k]), lambda s: valid[k](s["value"]))
