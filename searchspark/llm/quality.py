@@ -4,9 +4,10 @@ A logistic model over counts of characters and words gives each document a proba
 evidence. Hosts (source) and paths below them (language within the source) are random effects on
 the rate of good documents: grouped sums give the variance within paths, between the paths of a
 host and between hosts (analysis of variance), and from these follow the posterior means, a host's
-shrunk to the rate of all and a path's to its host's, the more the less they hold. A path's
-posterior for a document leaves out that document, so nothing counts as evidence twice. The final
-odds are Bayes' rule: the document's odds times the path's odds over the odds of all.
+shrunk to the rate of all and a path's to its host's, the more the less they hold. What a path tells
+about its host is weighted by the variance of its mean, so a host whose documents all lie in one path is
+known no better than that path. The rates for a document leave it out, in its path and in its host, so
+nothing counts as evidence twice; the only document of a host has the rate of all. The final odds are Bayes' rule: the document's odds times the path's odds over the odds of all.
 """
 
 from __future__ import annotations
@@ -142,21 +143,49 @@ def spread(paths: DataFrame) -> Spread:
     return Spread(t["s"] / t["n"], within, between_paths, between_hosts)
 
 
-def posterior(n: Column, s: Column, above: Column, between: float, within: float) -> Column:
-    """Posterior mean of a site with n documents whose evidence sums up to s, whose parent has the
-    rate above; the parent's own where nothing tells the site from it."""
-    return F.coalesce(F.try_divide(between * s + within * above, between * n + F.lit(within)), above)
+#: Variance within paths that is assumed at least, so that documents without any still weigh something.
+LEAST_WITHIN = 1e-6
+
+
+def told(n: Column, v: Spread) -> Column:
+    """How much n documents of a path tell about its host: one over the variance of their mean around
+    the host's rate."""
+    return n / (n * v.paths + max(v.within, LEAST_WITHIN))
+
+
+def host_posterior(weight: Column, weighted: Column, v: Spread) -> Column:
+    """Posterior mean of a host's rate from the sums over its paths of what each tells, and of that
+    times the mean of its documents; the rate of all where nothing tells."""
+    return (v.hosts * weighted + v.mean) / (v.hosts * weight + 1)
+
+
+def path_posterior(n: Column, s: Column, host_rate: Column, v: Spread) -> Column:
+    """Posterior mean of a path with n documents whose evidence sums up to s, given its host's."""
+    within = max(v.within, LEAST_WITHIN)
+    return (v.paths * s + within * host_rate) / (v.paths * n + within)
 
 
 def site_rates(scored: DataFrame) -> tuple[DataFrame, Spread]:
-    """One row per path (host, path, n, s, host_rate, path_rate), and the variances used."""
+    """One row per path (host, path, n, s, weight, weighted, host_rate, path_rate), and the variances used.
+    weight and weighted are the sums over the paths of its host that host_posterior() takes."""
     e = F.col("evidence")
     paths = stage(scored.groupBy(HOST, PATH).agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")), "quality-sites")
     v = spread(paths)
-    totals = paths.groupBy(F.col(HOST).alias("_h")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    rated = totals.withColumn("host_rate", posterior(F.col("_n"), F.col("_s"), F.lit(v.mean), v.hosts, v.within))
-    below = paths.join(rated.select("_h", "host_rate"), F.col(HOST).eqNullSafe(F.col("_h"))).drop("_h", "q")
-    return below.withColumn("path_rate", posterior(F.col("n"), F.col("s"), F.col("host_rate"), v.paths, v.within)), v
+    tells = told(F.col("n"), v)
+    hosts = paths.groupBy(F.col(HOST).alias("_h")).agg(F.sum(tells).alias("weight"), F.sum(tells * F.col("s") / F.col("n")).alias("weighted"))
+    below = paths.join(hosts, F.col(HOST).eqNullSafe(F.col("_h"))).drop("_h", "q")
+    rated = below.withColumn("host_rate", host_posterior(F.col("weight"), F.col("weighted"), v))
+    return rated.withColumn("path_rate", path_posterior(F.col("n"), F.col("s"), F.col("host_rate"), v)), v
+
+
+def rate_of_others(n: Column, s: Column, weight: Column, weighted: Column, own: Column, v: Spread) -> Column:
+    """The rate of a document's path from all documents but itself (own: its evidence): the path's sums are
+    taken without it, and so is what the path tells about the host."""
+    left, rest = n - 1, s - own
+    mean = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    weight_left = weight - told(n, v) + told(left, v)
+    weighted_left = weighted - told(n, v) * mean(s, n) + told(left, v) * mean(rest, left)
+    return path_posterior(left, rest, host_posterior(weight_left, weighted_left, v), v)
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, leave_out: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -172,11 +201,11 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, leave_ou
     docs = docs.drop("evidence", "path_rate", "quality", "keep")
     scored = stage(evidence(docs, fit(docs, labels, fit_rows)).drop(*leave_out), "quality-evidence")
     rates, v = site_rates(scored.select(HOST, PATH, "evidence"))
-    rates = rates.select(F.col(HOST).alias("_h"), F.col(PATH).alias("_p"), "n", "s", "host_rate")
-    sites = F.struct("n", "s", "host_rate").alias("_site")
+    rates = rates.select(F.col(HOST).alias("_h"), F.col(PATH).alias("_p"), "n", "s", "weight", "weighted")
+    sites = F.struct("n", "s", "weight", "weighted").alias("_site")
     same = F.col(HOST).eqNullSafe(F.col("_h")) & F.col(PATH).eqNullSafe(F.col("_p"))
     own = F.col("evidence")
-    others = posterior(F.col("_site.n") - 1, F.col("_site.s") - own, F.col("_site.host_rate"), v.paths, v.within)
+    others = rate_of_others(*(F.col(f"_site.{c}") for c in ("n", "s", "weight", "weighted")), own, v)
     z = _logit(own) + _logit(F.col("path_rate")) - _logit(F.lit(v.mean))
     return (
         scored.join(rates.select("_h", "_p", sites), same, "left").drop("_h", "_p").withColumn("path_rate", others).drop("_site")

@@ -166,11 +166,42 @@ def test_site_posteriors_against_plain_sums(spark, seed):
     hosts = share(dev([[e for _, _, e in rows]]) - ssh - rest, n - sum(len(g) ** 2 for g in by_host.values()) / n)
     got, v = quality.site_rates(df)
     assert (v.mean, v.within, v.paths, v.hosts) == pytest.approx((mean, within, paths, hosts), abs=1e-9)
+    within = max(within, quality.LEAST_WITHIN)
     for r in got.collect():
-        g, all_ = by_path[r.source, r.lang], by_host[r.source]
-        host = (hosts * sum(all_) + within * mean) / (hosts * len(all_) + within)
-        assert r.host_rate == pytest.approx(host)
-        assert r.path_rate == pytest.approx((paths * sum(g) + within * host) / (paths * len(g) + within))
+        assert (r.host_rate, r.path_rate) == pytest.approx(gaussian_rates(rows, r.source, r.lang, mean, within, paths, hosts), abs=1e-9)
+
+
+def gaussian_rates(rows, host, path, mean, within, paths, hosts):
+    """Posterior means of a host's and a path's rate by the joint normal distribution of both with all evidence."""
+    if not rows:
+        return mean, mean
+    h, p, e = zip(*rows, strict=True)
+    same_h = np.array([[x == y for y in h] for x in h], float)
+    same_p = np.array([[(h[i], p[i]) == (h[j], p[j]) for j in range(len(e))] for i in range(len(e))], float)
+    around = np.linalg.solve(hosts * same_h + paths * same_p + within * np.eye(len(e)), np.array(e) - mean)
+    with_h = hosts * np.array([x == host for x in h])
+    with_p = with_h + paths * np.array([(x, y) == (host, path) for x, y in zip(h, p, strict=True)])
+    return mean + with_h @ around, mean + with_p @ around
+
+
+def test_rates_leave_the_document_out(spark):
+    """The rate that each document meets is that of all others, in its path and its host."""
+    random = np.random.default_rng(8)
+    rows = [(h, p, float(e)) for h, p, n in (("a", "x", 9), ("a", "y", 1), ("b", "x", 4), (None, "x", 3), ("c", None, 1)) for e in random.beta(3, 2, n)]
+    df = spark.createDataFrame(rows, "source string, lang string, evidence double")
+    sites, v = quality.site_rates(df)
+    on = F.col("source").eqNullSafe(F.col("_h")) & F.col("lang").eqNullSafe(F.col("_p"))
+    named = sites.select(F.col("source").alias("_h"), F.col("lang").alias("_p"), "n", "s", "weight", "weighted")
+    rate = quality.rate_of_others(*map(F.col, ("n", "s", "weight", "weighted", "evidence")), v)
+    got = df.join(named, on).withColumn("rate", rate).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        rest = rows[:]
+        rest.remove((r.source, r.lang, r.evidence))
+        want = gaussian_rates(rest, r.source, r.lang, v.mean, max(v.within, quality.LEAST_WITHIN), v.paths, v.hosts)[1]
+        assert r.rate == pytest.approx(want, abs=1e-6)
+        if r.source == "c":
+            assert r.rate == pytest.approx(v.mean)
 
 
 # 3: media
@@ -659,3 +690,29 @@ def test_redaction_keeps_columns(odd):
     assert out.columns == odd.columns and out.count() == odd.count()
     row = out.filter("doc_id = 9").first()
     assert "[email]" in row.text and "[phone]" in row.text and "[ip]" in row.text and row.n_chars == len(row.text) and row.key == "clash"
+
+
+@pytest.mark.parametrize("sign", ["7", "a", "%", "+", "é", "a.", "1.", "a@"])
+def test_personal_data_in_long_runs_of_equal_signs(spark, sign):
+    """A document of a million equal signs takes seconds, one of pairs of signs (up to 12,500 matches) as well."""
+    import time
+
+    df = spark.createDataFrame([(1, sign * (1_000_000 if len(sign) == 1 else 50_000))], "doc_id bigint, text string")
+    began = time.time()
+    assert pii.report(df).count() == 1
+    assert time.time() - began < 60
+
+
+def test_patterns_tried_once_a_run_match_the_same(spark):
+    """Against the plain patterns of the contract, in Python, over texts of the signs that matter."""
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b1", "@", "@", ".", "_", "%", "+", "-", " ", "1", "22", "é", "a@b.c"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["a@b.c_d@e.f", "a@b.c.@d.e", "1.2.3.4.5.6.7.8", "1.2.3.4@5.6", "a@b..c@d.e", "x@y.z%x@y.z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    for kind, pattern in plain.items():
+        got = df.select("doc_id", pii.matches(F.col("text"), pii.PATTERNS[kind]).alias("m")).collect()
+        for r in got:
+            assert [(m.start, m.end) for m in r.m] == [m.span() for m in re.finditer(pattern, texts[r.doc_id])], texts[r.doc_id]
