@@ -16,27 +16,32 @@ from searchspark.plans.staging import stage, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts have the evidence of an empty text;
+    repeated rows count each; without labels, all stay; an empty table stays empty."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of the smallest id, null last, ties by text. Texts without words
+    stay; of repeated rows one stays; an empty table stays empty."""
     return jaccard.deduplicate(docs, jaccard.Rule())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced. Null and empty texts stay as they are, and so do the other columns and the
+    number of rows; repeated rows are replaced alike."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Texts without words have nothing to take and go; a null source is
+    one of its own; repeated rows count each; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 ids."""
+    """Pieces of documents in sequences of at most 2048 ids. Null and empty texts are documents of one id, the end; rows of
+    equal ids are packed each; an empty table has no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
