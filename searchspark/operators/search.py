@@ -116,7 +116,7 @@ def ranked(queries: DataFrame, rows: DataFrame, spec: CollectionSpec, found: Dat
     hits, totals = fuse(found, header, rows.select("id", "embedding"))
     order = parse_sort(sort or [], spec)
     if order:
-        fields = [f for f in spec.sortable if f not in ("id", *hits.columns)]
+        fields = [f for f in spec.sortable if f in rows.columns and f not in ("id", *hits.columns)]
         hits = hits.join(rows.select("id", *fields), "id", "left") if fields else hits
     first = F.when(F.col("weight") > 0, F.col("score")).desc_nulls_last()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(first, *lex.rules(order)))

@@ -301,9 +301,10 @@ class SearchEngine:
         prefixed = rows.withColumn("_query", with_role(F.col(col), "query"))
         return embed.embed_texts(prefixed, "_query", self.encoder).drop("_query", "error")
 
-    def _vectors(self, spec: CollectionSpec, batch: int, filters: dict[str, list] | None) -> DataFrame:
-        """id, embedding of the documents of a collection that pass filters, and the fields that may be sorted by."""
-        columns = ["embedding", "document"] if filters or spec.sortable else ["embedding"]
+    def _vectors(self, spec: CollectionSpec, batch: int, filters: dict[str, list] | None, sort: list[str] | None = None) -> DataFrame:
+        """id, embedding of the documents of a collection that pass filters, and, with a sort, the declared fields.
+        Stored documents are only read for filters and sorts."""
+        columns = ["embedding", "document"] if filters or sort else ["embedding"]
         rows = self._index.latest(_after(batch), columns).filter(F.col("collection") == spec.name)
         return rows if len(columns) == 1 else index.materialize(rows, spec).filter(searching.build_filters(filters or {}, spec))
 
@@ -320,7 +321,7 @@ class SearchEngine:
         known = self._words.latest(_after(batch)).filter(F.col("collection") == spec.name).select("token")
         wanted = lexical.matching_tokens(lexical.query_words(asked, forms), known, synonyms)
         places = self._postings.of(_after(batch), wanted.select(F.lit(spec.name).alias("collection"), "token"))
-        rows = self._vectors(spec, batch, filters)
+        rows = self._vectors(spec, batch, filters, sort)
         if filters:
             places = places.join(rows.select("id"), "id", "left_semi")
         found = lexical.lexical(asked, places, len(_searchable(spec)), variants=forms, wanted=wanted)
