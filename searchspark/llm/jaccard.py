@@ -145,8 +145,8 @@ def _shared_tokens(member: DataFrame) -> DataFrame:
     all, weight of them, since each would bring the same nodes together. Same nodes are told by the
     count, the least, a sum and the exclusive or of the nodes.
 
-    Rows of a token that is not frequent are shuffled once, and its figures are put beside them there;
-    what stands for others is joined where the rows lie. Frequent tokens are summed up before the
+    Rows of a token that is not frequent are shuffled once, its figures are put beside them there, and
+    those of tokens with one node end; what stands for others is joined with the rest. Frequent tokens are summed up before the
     shuffle and joined with their rows, which that join splits."""
     low = F.col("node").bitwiseAND(F.lit(LOW_BITS))
     figures = {"lo": F.min("node"), "hi": F.max("node"), "together": F.count(F.lit(1)), "mark": F.bit_xor("node"), "total": F.sum(low)}
@@ -159,9 +159,9 @@ def _shared_tokens(member: DataFrame) -> DataFrame:
 
     here = Window.partitionBy("token")
     placed = of("tokens").select("token", "node", *(f.over(here).alias(c) for c, f in figures.items()))
-    rare = placed.filter("lo <> hi").drop("hi")
-    # The row of its least node has a token's figures; a node has a token once in a task. Both sides of the
-    # join below come from the one shuffle.
+    # Staged, as both sides of the join below would each shuffle all tokens; few have two nodes.
+    rare = stage(placed.filter("lo <> hi").drop("hi"), "jaccard-placed")
+    # The row of its least node has a token's figures; a node has a token once in a task.
     once = rare.filter("node = lo").select("token", *same).distinct()
     rare = rare.select("token", "node", "together").join(standing(once), "token")
     often = of("often")
