@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from searchspark.functions import envelope, paging, text
 from searchspark.functions.stemmer import stem
-from searchspark.operators import embed, gate, index, ingest, lexical, search, semantic
+from searchspark.operators import cells, embed, gate, index, ingest, lexical, search, semantic
 from searchspark.plans.staging import new_path, stage, table
 from searchspark.sources import fixtures
 from searchspark.sources.fixtures import ENVELOPES_SQL
@@ -465,6 +465,15 @@ def semantic_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.semantic_lsh(fixtures.vector_queries(spark, sf_dir), fixtures.vector_index(spark, sf_dir), 10)
 
 
+@query()
+def semantic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained cells, estimates from codes, exact scores of the hundred best estimates."""
+    rows = fixtures.vector_index(spark, sf_dir)
+    trained = cells.fit(rows)
+    codes = stage(cells.coded(rows, trained), "vector-codes")
+    return cells.semantic_cells(fixtures.vector_queries(spark, sf_dir), rows, codes, trained, 10)
+
+
 # Lexical search
 
 _TOKENS = f"""lists as (select doc_id as id, 0 as field_rank, regexp_extract_all({_NORMAL.format(_TITLE)}, '([\\p{{L}}\\p{{N}}]+)', 1) as w from documents
