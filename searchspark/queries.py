@@ -14,7 +14,7 @@ from searchspark.plans.staging import new_path, stage, table
 from searchspark.sources import fixtures
 from searchspark.sources.fixtures import ENVELOPES_SQL
 from searchspark.plans.schemas import APPLIED, ENVELOPE, INBOX
-from searchspark.streaming.engine import SearchEngine, apply, event_files, stream_dedup
+from searchspark.streaming.engine import SearchEngine, apply, event_files, land, stream_dedup
 from searchspark.plans.spec import CollectionSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,6 +705,43 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("source_service", "event_id")
 
 
+@query(f"with {ENVELOPES_SQL} select arrival, true as bounded from env")
+def stream_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event once, and whether the pass that took it in had at most 1,000 events."""
+    path, out = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    rows = fixtures.envelopes(spark, sf_dir)
+    land(rows, path, per_pass=1_000)
+
+    def take(df: DataFrame, batch: int) -> None:
+        df.select("arrival").write.mode("overwrite").parquet(f"{out}/pass={batch}")
+
+    flow = event_files(spark, path, rows.schema, files_per_pass=1).writeStream.option("checkpointLocation", new_path(spark, "stream-check"))
+    flow.trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    taken = spark.read.schema("arrival bigint, pass int").parquet(out)
+    sizes = taken.groupBy("pass").agg((F.count(F.lit(1)) <= 1_000).alias("bounded"))
+    return taken.join(sizes, "pass").select("arrival", "bounded")
+
+
+@query(f"""with {_VALID}, kept as (select source_service, event_id, case when arrival % 20 = 0 then 2 else 1 end as times from valid where arrival < 1000000000
+  union all select 'later', event_id, 1 from valid where arrival < 1000000000 and arrival % 10 = 1)
+select source_service, event_id, times from kept""")
+def stream_dedup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: how often a delivery passes where it is remembered for an hour: every tenth one comes again within it, every
+    twentieth also long after it, when events of another source have moved the watermark on."""
+    path, out, check = (new_path(spark, label) for label in ("stream-in", "stream-out", "stream-check"))
+    at = lambda minutes: F.timestamp_seconds(F.lit(1704067200 + 60 * minutes) + F.col("arrival") % 600).alias("seen")
+    rows = fixtures.envelopes(spark, sf_dir).filter("arrival < 1000000000")
+    first = rows.select("*", at(0))
+    again = rows.filter("arrival % 10 = 0").select("*", at(20))
+    others = rows.filter("arrival % 10 = 1").withColumn("source_service", F.lit("later")).select("*", at(300))
+    after = rows.filter("arrival % 20 = 0").select("*", at(360))
+    for part in (first, again.unionByName(others), after):
+        part.write.mode("append").parquet(path)
+        flow = stream_dedup(event_files(spark, path, first.schema, files_per_pass=1_000), "seen", "1 hour").writeStream.format("parquet")
+        flow.option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("source_service", "event_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> SearchEngine:
     """An engine that took the envelopes as a stream of two batches."""
     root, path = new_path(spark, "engine"), new_path(spark, "stream-in")

@@ -366,14 +366,30 @@ def late_keys(vectors: DataFrame) -> DataFrame:
     return vectors.filter("vector is not null").select(*gate.DOCUMENT, "revision")
 
 
+def land(events: DataFrame, path: str, per_pass: int = 1_000) -> None:
+    """Add envelopes to a folder in files of at most so many rows, each in the order of arrival. event_files() of one file a
+    pass then takes in no more events than that, whatever is waiting. Files that came in one call are taken in any order:
+    the newest revision wins whichever comes first."""
+    if per_pass < 1:
+        raise ValueError("a pass takes one event at least")
+    events.sortWithinPartitions("arrival").write.mode("append").option("maxRecordsPerFile", per_pass).parquet(path)
+
+
 def event_files(spark: SparkSession, path: str, schema: str, files_per_pass: int = 10, form: str = "parquet") -> DataFrame:
-    """A stream of envelope files, so many for each pass; that bounds what one batch takes in."""
+    """A stream of envelope files, so many for each pass; that bounds what one batch takes in, by events where land()
+    wrote the files."""
     return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files_per_pass).load(path)
 
 
-def stream_dedup(events: DataFrame) -> DataFrame:
-    """First valid deliveries of a stream, remembered for ever."""
-    return events.filter(reject_reason().isNull()).dropDuplicates(ingest.DELIVERY)
+def stream_dedup(events: DataFrame, time: str | None = None, within: str | None = None) -> DataFrame:
+    """First valid deliveries of a stream, remembered for ever; or, with a column of times and a duration, for so long after
+    their time. Then state stays as large as the deliveries of that duration: a delivery within it of the first one is
+    dropped, one after the watermark has passed it counts as new, and one that comes later than the watermark, or without
+    a time, may be lost. So that is asked for, not the default."""
+    valid = events.filter(reject_reason().isNull())
+    if (time is None) != (within is None):
+        raise ValueError("a bound needs a column of times and a duration")
+    return valid.dropDuplicates(ingest.DELIVERY) if time is None else valid.withWatermark(time, within).dropDuplicatesWithinWatermark(ingest.DELIVERY)
 
 
 def stored_payloads(df: DataFrame, col: str = "payload") -> tuple[DataFrame, DataFrame]:
