@@ -22,27 +22,33 @@ NOTHING_ASKED = "text or document_id is required"
 RESERVED = ("collection", "id", "_revision", "_search_text", "_stems", "_translit", "content_hash", "embedding", "document")
 
 
-def build_filters(filters: dict[str, list], spec: CollectionSpec, arrays: tuple[str, ...] = ()) -> Column:
+def build_filters(filters: dict[str, list], spec: CollectionSpec, arrays: tuple[str, ...] = (), columns: dict[str, str] | None = None) -> Column:
     """All of: field is one of the values. A field that may not be filtered is an error; a filter
-    without values asks nothing. Fields in arrays match by any of their entries."""
+    without values asks nothing. Fields in arrays match by any of their entries. With columns, fields are
+    stored under these names in their declared types, and values are read as of that type; those that are
+    none match nothing."""
     out = F.lit(True)
     for field, values in filters.items():
         if field not in spec.filterable:
             raise ValueError(f"filter {field} is not allowed")
         if values:
-            one = F.arrays_overlap(F.col(field), F.array(*map(F.lit, values))) if field in arrays else F.col(field).isin(values)
-            out = out & one
+            kind = spec.types.get(field, "string") if columns and field in columns else None
+            column = F.col(columns[field]) if kind else F.col(field)
+            entry = kind.removeprefix("array<").removesuffix(">") if kind else None
+            known = [F.lit(v).try_cast(entry) if entry else F.lit(v) for v in values]
+            many = kind.startswith("array") if kind else field in arrays
+            out = out & (F.arrays_overlap(column, F.array(*known)) if many else column.isin(known))
     return out
 
 
 def parse_sort(sort: list[str], spec: CollectionSpec) -> list[Column]:
-    """"field:asc" and "field:desc" of sortable fields."""
+    """"field:asc" and "field:desc" of sortable fields; documents without the field come last."""
     out = []
     for s in sort:
         field, _, way = s.partition(":")
         if field not in spec.sortable or way not in ("", "asc", "desc"):
             raise ValueError(f"sort {s} is not allowed")
-        out.append(F.col(field).desc() if way == "desc" else F.col(field).asc())
+        out.append(F.col(f"`{field}`").desc_nulls_last() if way == "desc" else F.col(f"`{field}`").asc_nulls_last())
     return out
 
 
@@ -117,7 +123,7 @@ def ranked(queries: DataFrame, rows: DataFrame, spec: CollectionSpec, found: Dat
     order = parse_sort(sort or [], spec)
     if order:
         fields = [f for f in spec.sortable if f in rows.columns and f not in ("id", *hits.columns)]
-        hits = hits.join(rows.select("id", *fields), "id", "left") if fields else hits
+        hits = hits.join(rows.select("id", *(f"`{f}`" for f in fields)), "id", "left") if fields else hits
     first = F.when(F.col("weight") > 0, F.col("score")).desc_nulls_last()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(first, *lex.rules(order)))
     asked = header.select("query_id", "depth")
@@ -203,11 +209,11 @@ def response(answers: DataFrame, queries: DataFrame, index: DataFrame, spec: Col
     texts = [f for f in shown if index.schema[f].dataType.typeName() == "string"]
     data = index.select(
         F.col("id"), given("provider_key", "_provider_key").alias("provider_key"), given("item_type", "_item_type").alias("item_type"),
-        (paging.as_long(F.col("_revision")) if "_revision" in index.columns else F.lit(0).cast("long")).alias("revision"), *(F.col(f).alias(f"_f_{f}") for f in shown),
+        (paging.as_long(F.col("_revision")) if "_revision" in index.columns else F.lit(0).cast("long")).alias("revision"), *(F.col(f"`{f}`").alias(f"_f_{f}") for f in shown),
     )
     asked = queries.select("query_id", F.col("query").alias("_query"), F.coalesce("explain", F.lit(False)).alias("_explain"))
     joined = answers.join(asked, "query_id", "left").join(data, "id", "left")
-    matched = paging.matched_fields(F.col("_query"), {f: F.col(f"_f_{f}") for f in texts})
+    matched = paging.matched_fields(F.col("_query"), {f: F.col(f"`_f_{f}`") for f in texts})
     explained = joined.withColumn("matched_fields", F.when(F.col("_explain"), matched).otherwise(F.array().cast("array<string>")))
     named = explained.withColumn("item_id", F.col("id").cast("string")).drop("id", "_query", "_explain")
     return named.withColumnsRenamed({f"_f_{f}": f for f in shown if f not in named.columns})

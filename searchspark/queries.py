@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -784,11 +785,11 @@ def _over_live(sql: str) -> str:
     return sql.replace("from documents", "from live").replace("with ", f"with {_LIVE}, ", 1)
 
 
-def _posted(spark: SparkSession, sf_dir: str, per_pass: int = 1000) -> SearchEngine:
+def _posted(spark: SparkSession, sf_dir: str, per_pass: int = 1000, spec: CollectionSpec = fixtures.POSTS, more: tuple[Column, ...] = ()) -> SearchEngine:
     """An engine with all documents: the first batch brings them, the second one changes every tenth and deletes
-    some."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    body = lambda t: F.to_json(F.struct(F.substring_index(t, "\n", 1).alias("title"), t.alias("content")))
+    some. more are further fields of theirs."""
+    docs = table(spark, sf_dir, "documents").withColumn("again", F.lit(False))
+    body = lambda t: F.to_json(F.struct(F.substring_index(t, "\n", 1).alias("title"), t.alias("content"), *more))
 
     def events(rows: DataFrame, revision: int, operation: str, document: Column) -> DataFrame:
         return rows.select(
@@ -797,9 +798,9 @@ def _posted(spark: SparkSession, sf_dir: str, per_pass: int = 1000) -> SearchEng
             F.lit(revision).cast("bigint").alias("revision"), document.alias("document_json"), F.lit("").alias("occurred_at"), F.col("doc_id").alias("arrival"),
         )
 
-    engine = SearchEngine(spark, [fixtures.POSTS], new_path(spark, "engine"), encoder=fixtures.letters, model="letters", per_pass=per_pass)
+    engine = SearchEngine(spark, [spec], new_path(spark, "engine"), encoder=fixtures.letters, model="letters", per_pass=per_pass)
     engine.process(events(docs, 1, "upsert", body(F.col("text"))), 0)
-    changed = events(docs.filter("doc_id % 10 = 0 and doc_id % 15 <> 1"), 2, "upsert", body(F.concat(F.lit("Revised edition. "), F.col("text"))))
+    changed = events(docs.filter("doc_id % 10 = 0 and doc_id % 15 <> 1").withColumn("again", F.lit(True)), 2, "upsert", body(F.concat(F.lit("Revised edition. "), F.col("text"))))
     engine.process(changed.unionByName(events(docs.filter("doc_id % 15 = 1"), 2, "delete", F.lit(None).cast("string"))), 1)
     return engine
 
@@ -815,6 +816,33 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("item_id is not null").select("query_id", "item_id", "rank", "total", "title")
 
 
+#: Posts with fields that are numbers and lists; the size of a changed document is its old one and a million.
+_SIZED = replace(fixtures.POSTS, filterable=("group", "tags"), sortable=("size",), types={"group": "bigint", "size": "double", "tags": "array<string>"})
+_SIZES = """sizes as (select cast(doc_id as varchar) as id, doc_id % 5 as grp, lang, n_chars + case when doc_id % 10 = 0 then 1000000 else 0 end as size
+  from documents where doc_id % 15 <> 1)"""
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    size = F.col("n_chars") + F.when(F.col("again"), 1000000).otherwise(0)
+    return _posted(spark, sf_dir, spec=_SIZED, more=((F.col("doc_id") % 5).alias("group"), size.alias("size"), F.array("lang", "source").alias("tags")))
+
+
+@query(f"with {_SIZES} select id, cast(size as double) as size from sizes where grp in (0, 3) and lang in ('de', 'fr')")
+def declared_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by stored fields of several types, after two batches."""
+    return _sized(spark, sf_dir).listed("posts", 1, {"group": ["0", "3"], "tags": ["de", "fr"]}, ("size",))
+
+
+@query(_ENGINE_BEST.replace("then 'Revised edition. ' || text else text end as text from documents where", "then 'Revised edition. ' || text else text end as text from documents where doc_id % 5 in (0, 3) and")
+  .replace("with live", f"with {_SIZES}, live", 1).replace("attribute, exact desc, id)", "attribute, size desc, exact desc, id)").replace("from fig)", "from fig join sizes using (id))")
+  .replace("select query_id, id, rank, words, typos, proximity, attribute, exact from r", "select query_id, id as item_id, rank, total from r"))
+def engine_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by words among documents of a filter, sorted by a number of theirs."""
+    rest = [F.lit("LEXICAL").alias("mode"), F.lit(0.0).alias("semantic_weight"), F.lit(20).alias("page_size"), F.lit("").alias("page_token"), F.lit(False).alias("explain")]
+    out = _sized(spark, sf_dir).search(fixtures.text_queries(spark, sf_dir).select("*", *rest), "posts", 1, filters={"group": [0, 3]}, sort=["size:desc"])
+    return out.filter("item_id is not null").select("query_id", "item_id", "rank", "total")
+
+
 @query(_over_live(_similar_sql("select item_id as id, trim(text) as st from benchmark", "true")) + " select query_id, id as item_id, rank, score, total from r where rank <= 20")
 def engine_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents like a text, over the engine's vectors after two batches."""

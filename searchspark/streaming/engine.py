@@ -11,15 +11,19 @@ whatever is read as of that batch holds it.
 
 A search reads the vocabulary of a collection, the buckets of the inverted index in which the words
 asked lie, and, where a query has a semantic part, vectors; stored documents are only read for the
-hits of its pages.
+hits of its pages. Fields that are declared for filters and sorts are stored by type, a table for each
+collection, so that a filter reaches its files.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from threading import Lock
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +95,12 @@ class SearchEngine:
         # A frequent word has an entry for most documents: its list is spread over some buckets.
         self._postings = log("postings", ["collection", "token", "id"], POSTINGS, dealt_by=["collection", "token"], spread=4)
         self._words = log("words", ["collection", "token"], WORDS)
-        self._logs = (self._inbox, self._applied, self._index, self._cache, self._backlog, self._postings, self._words)
+        # A collection whose declared fields change has another table of them.
+        declared = {s.name: s.declared() for s in self.specs if s.declared()}
+        mark = lambda fields: hashlib.sha256(json.dumps([*fields.items()]).encode()).hexdigest()[:12]
+        columns = lambda fields: "".join(f", {c} {fields[f]}" for f, c in index.stored_names(fields).items())
+        self._fields = {n: log(f"fields/{quote(n, safe='')}/{mark(f)}", ["id"], "id string" + columns(f)) for n, f in declared.items()}
+        self._logs = (self._inbox, self._applied, self._index, self._cache, self._backlog, self._postings, self._words, *self._fields.values())
 
     def inbox(self, batch: int) -> DataFrame:
         """Deliveries accepted up to a batch, with their payloads."""
@@ -188,6 +197,19 @@ class SearchEngine:
         gone = old.join(new, [*keys, "token"], "left_anti").withColumn("live", F.lit(False))
         self._postings.write(new.withColumn("live", F.lit(True)).unionByName(gone), version)
         self._words.write(new.select("collection", "token").distinct(), version)
+        for spec in self.specs:
+            if spec.name in self._fields:
+                self._shred(entries, spec, version)
+
+    def _shred(self, entries: DataFrame, spec: CollectionSpec, version: int) -> None:
+        """Store the declared fields of changed rows of the index by type; those of the whole collection, where they
+        were declared after documents came."""
+        log = self._fields[spec.name]
+        rows = entries.filter(F.col("collection") == spec.name).select("id", "document", "live")
+        if not any(v < version for v in log.versions()):
+            held = self._index.latest(version - 1, ["document"]).filter(F.col("collection") == spec.name).select("id", "document", F.lit(True).alias("live"))
+            rows = rows.unionByName(held.join(rows.select("id"), "id", "left_anti"))
+        log.write(index.shredded(rows, spec.declared()), version)
 
     def _embed(self, entries: DataFrame, state: DataFrame, batch: int) -> None:
         """The index rows of a batch with vectors from the cache or the encoder, and one pass over the
@@ -301,12 +323,29 @@ class SearchEngine:
         prefixed = rows.withColumn("_query", with_role(F.col(col), "query"))
         return embed.embed_texts(prefixed, "_query", self.encoder).drop("_query", "error")
 
+    def listed(self, collection: str, batch: int, filters: dict[str, list] | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+        """id and declared fields, in their types, of the documents that pass filters. Filters reach the stored fields;
+        documents are not read, but for collections whose fields were declared after the batch."""
+        spec = self._spec(collection)
+        declared = spec.declared()
+        unknown = [f for f in fields if f not in declared]
+        if unknown:
+            raise ValueError(f"fields {unknown} are not declared")
+        log = self._fields.get(collection)
+        names = index.stored_names(declared)
+        shown = lambda rows: rows.select("id", *(F.col(names[f]).alias(f) for f in fields))
+        if log is not None and any(v <= _after(batch) for v in log.versions()):
+            condition = searching.build_filters(filters or {}, spec, columns={**names, "id": "id"})
+            return shown(log.matching(_after(batch), condition, [names[f] for f in fields]))
+        rows = self._index.latest(_after(batch), ["document"]).filter(F.col("collection") == spec.name).withColumn("live", F.lit(True))
+        return shown(index.shredded(rows, declared).filter(searching.build_filters(filters or {}, spec, columns={**names, "id": "id"})))
+
     def _vectors(self, spec: CollectionSpec, batch: int, filters: dict[str, list] | None, sort: list[str] | None = None) -> DataFrame:
-        """id, embedding of the documents of a collection that pass filters, and, with a sort, the declared fields.
-        Stored documents are only read for filters and sorts."""
-        columns = ["embedding", "document"] if filters or sort else ["embedding"]
-        rows = self._index.latest(_after(batch), columns).filter(F.col("collection") == spec.name)
-        return rows if len(columns) == 1 else index.materialize(rows, spec).filter(searching.build_filters(filters or {}, spec))
+        """id, embedding of the documents of a collection that pass filters, and the fields of a sort."""
+        searching.parse_sort(sort or [], spec)
+        rows = self._index.latest(_after(batch), ["embedding"]).filter(F.col("collection") == spec.name).drop("collection")
+        fields = tuple(dict.fromkeys(f for f in (s.partition(":")[0] for s in sort or []) if f != "id"))
+        return rows.join(self.listed(spec.name, batch, filters, fields), "id") if filters or fields else rows
 
     def search(
         self, queries: DataFrame, collection: str, batch: int, variants: bool = False, filters: dict[str, list] | None = None,

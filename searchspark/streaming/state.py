@@ -116,6 +116,17 @@ class ChangeLog:
         rows = self._read(parts).filter(F.col("bucket").isin(buckets)).join(wanted, on, "left_semi")
         return self._newest(rows).filter("live").select(*self.columns)
 
+    def matching(self, version: int, condition: Column, columns: list[str]) -> DataFrame:
+        """key and columns of the rows after a version that meet a condition. The condition reaches the files; beside the
+        rows that meet it, only the keys of parts after the first, in which most rows lie, are read."""
+        parts = self.parts(version)
+        found = self._read(parts).filter(F.col("live") & condition).select(*self.key, *columns, "at")
+        if len(parts) < 2:
+            return found.select(*self.key, *columns)
+        later = self._read(parts[1:]).groupBy(*self.key).agg(F.max("at").alias("_newest"))
+        kept = F.col("_newest").isNull() | (F.col("_newest") <= F.col("at"))
+        return found.join(later, self.key, "left").filter(kept).select(*self.key, *columns)
+
     def write(self, changed: DataFrame, version: int) -> None:
         """The rows that a version changed, one for each key: columns, and live where some of them are gone."""
         live = changed if "live" in changed.columns else changed.withColumn("live", F.lit(True))

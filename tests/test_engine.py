@@ -209,3 +209,63 @@ def test_hashed_vectors_by_default(spark, tmp_path):
     like = spark.createDataFrame([(7, "bicycle", None, 0, "")], "query_id int, text string, document_id string, page_size int, page_token string")
     found = engine.similar(like.withColumn("explain", F.lit(False)), "posts", 0).orderBy("rank").collect()
     assert found[0].item_id == "1" and found[0].score > found[1].score
+
+
+def test_declared_fields_are_stored_by_type(spark, tmp_path):
+    kinds = {"n": "bigint", "price": "double", "at": "timestamp", "tags": "array<string>", "ok": "boolean", "a.b": "string"}
+    spec = CollectionSpec("posts", searchable=("title",), filterable=(*kinds, "lang", "id"), sortable=("n", "price"), types=kinds)
+    engine = SearchEngine(spark, [spec], str(tmp_path / "state"))
+    engine.process(events(
+        spark, ("upsert", "1", 1, '{"title":"red","n":9,"price":2,"at":"2024-05-01T10:00:00Z","tags":["x","y"],"ok":true,"a.b":"flat","lang":"de"}'),
+        ("upsert", "2", 1, '{"title":"red","n":"10","price":1.5,"tags":"x","ok":false,"a":{"b":"deep"},"lang":5}'),
+        ("upsert", "3", 1, '{"title":"red","n":2.5,"price":"dear","tags":[1,{"k":"x"},null],"lang":["de"]}'),
+        ("upsert", "4", 1, '{"title":"red","n":100,"tags":[]}'), ("upsert", "6", 1, '{"title":"red"}'),
+    ), 0)
+    ids = lambda batch, **f: sorted(r.id for r in engine.listed("posts", batch, {k.replace("__", "."): v for k, v in f.items()}).collect())
+    assert ids(0) == ["1", "2", "3", "4", "6"] and ids(0, id=["2", "9"]) == ["2"] and ids(0, n=[]) == ids(0)
+    assert ids(0, n=[9, 10]) == ["1", "2"] and ids(0, n=["x", "100"]) == ["4"] and ids(0, n=[2]) == []
+    assert ids(0, price=[2, "1.5"]) == ["1", "2"] and ids(0, ok=["true"]) == ["1"] and ids(0, at=["2024-05-01T12:00:00+02:00"]) == ["1"]
+    assert ids(0, tags=["x"]) == ["1", "2"] and ids(0, tags=["1"]) == ["3"] and ids(0, tags=["y", "z"], n=[9]) == ["1"]
+    assert ids(0, a__b=["flat"]) == ["1"] and ids(0, a__b=["deep"]) == ["2"] and ids(0, lang=["de"]) == ["1"] and ids(0, lang=["5"]) == ["2"]
+    with pytest.raises(ValueError):
+        ids(0, title=["red"])
+    with pytest.raises(ValueError):
+        engine.listed("posts", 0, fields=("title",))
+    # Rows of older versions that meet a filter do not count, nor do documents that went; numbers sort as numbers.
+    engine.process(events(spark, ("upsert", "1", 2, '{"title":"red","n":30}'), ("delete", "2", 2, None), start=20), 1)
+    assert ids(1, n=[9, 10, 30]) == ["1"] and ids(1, lang=["de"]) == [] and ids(0, n=[9]) == ["1"]
+    asked = spark.createDataFrame([(1, "red", "LEXICAL", 0.0, 0, "", False)], "query_id int, query string, mode string, semantic_weight double, page_size int, page_token string, explain boolean")
+    found = lambda *sort, **f: [r.item_id for r in engine.search(asked, "posts", 1, filters=f or None, sort=list(sort)).orderBy("rank").collect()]
+    assert found("n:asc") == ["1", "4", "3", "6"] and found("n:desc") == ["4", "1", "3", "6"] and found("n:asc", n=[30, 100]) == ["1", "4"]
+    engine.retire(["posts"])
+    assert ids(1) == []
+
+
+def test_filters_reach_the_files_of_stored_fields(spark, tmp_path):
+    spec = CollectionSpec("posts", searchable=("title",), filterable=("n",), types={"n": "bigint"})
+    engine = SearchEngine(spark, [spec], str(tmp_path / "state"))
+    engine.process(events(spark, *(("upsert", str(i), 1, f'{{"title":"t","n":{i}}}') for i in range(20))), 0)
+    engine.process(events(spark, ("upsert", "3", 2, '{"n":4}'), start=50), 1)
+    rows = engine.listed("posts", 1, {"n": ["4", "7"]})
+    assert sorted(r.id for r in rows.collect()) == ["3", "4", "7"]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "In(f0_n, [4,7])" in plan and "document" not in plan
+
+
+def test_fields_declared_after_documents_came(spark, tmp_path):
+    before = SearchEngine(spark, [CollectionSpec("posts", searchable=("title",))], str(tmp_path / "state"))
+    before.process(events(spark, *(("upsert", str(i), 1, f'{{"n":{i}}}') for i in range(4))), 0)
+    spec = CollectionSpec("posts", searchable=("title",), filterable=("n",), types={"n": "double"})
+    engine = SearchEngine(spark, [spec], str(tmp_path / "state"))
+    ids = lambda batch: sorted(r.id for r in engine.listed("posts", batch, {"n": ["2.0", 3]}).collect())
+    assert ids(0) == ["2", "3"]
+    for _ in range(2):
+        engine.process(events(spark, ("upsert", "0", 2, '{"n":3}'), ("delete", "3", 2, None), start=9), 1)
+        assert ids(1) == ["0", "2"] and ids(0) == ["2", "3"]
+    assert engine._fields["posts"].latest(1_000).count() == 3
+
+
+def test_types_of_fields():
+    for types in ({"n": "number"}, {"id": "bigint"}, {"*": "string"}):
+        with pytest.raises(ValueError):
+            CollectionSpec("posts", types=types)
