@@ -73,10 +73,14 @@ def lat_to_cyr(text: Column) -> Column:
     return _spelled(text, [(t, LATIN_TO_CYRILLIC[t]) for t in long], {k: v for k, v in LATIN_TO_CYRILLIC.items() if len(k) == 1})
 
 
+def spelled_otherwise(normal: Column) -> Column:
+    """A normal form spelled in the other alphabet."""
+    return F.when(has_cyrillic(normal), cyr_to_lat(normal)).otherwise(lat_to_cyr(normal))
+
+
 def transliterate(text: Column, normal: Callable[[Column], Column] = normalize) -> Column:
     """The normal form spelled in the other alphabet."""
-    n = normal(text)
-    return F.when(has_cyrillic(n), cyr_to_lat(n)).otherwise(lat_to_cyr(n))
+    return spelled_otherwise(normal(text))
 
 
 def unique_non_empty(values: Column, normal: Callable[[Column], Column] = normalize_native) -> Column:

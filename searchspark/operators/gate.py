@@ -17,9 +17,10 @@ def decide(events: DataFrame, applied: DataFrame | None = None) -> DataFrame:
 
     Each event is held against the highest revision applied before it, in this batch (by arrival)
     or earlier (applied, one row per document). Of events with the revision already applied, those
-    with the digest that came first are duplicates.
+    with the digest that came first are duplicates. A digest that is there already is taken as it is, so that
+    documents need not come along.
     """
-    keyed = events.withColumn("digest", digest())
+    keyed = events if "digest" in events.columns else events.withColumn("digest", digest())
     if applied is None:
         state = keyed.withColumns({"_applied": F.lit(None).cast("bigint"), "_known": F.lit(None).cast("string")})
     else:

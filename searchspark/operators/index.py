@@ -12,10 +12,10 @@ from searchspark.plans.spec import ALL, CollectionSpec
 KEY = ["collection", "id"]
 
 
-def entries(applied: DataFrame) -> DataFrame:
-    """Index rows of applied upserts: collection, id, _revision, document."""
+def entries(applied: DataFrame, *more: str) -> DataFrame:
+    """Index rows of applied upserts: collection, id, _revision, document, and more columns of theirs."""
     live = applied.filter("operation = 'upsert'")
-    return live.select("collection", F.col("document_id").alias("id"), F.col("revision").alias("_revision"), F.col("document_json").alias("document"))
+    return live.select("collection", F.col("document_id").alias("id"), F.col("revision").alias("_revision"), F.col("document_json").alias("document"), *more)
 
 
 def apply_to_index(index: DataFrame, changed: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,32 @@ def postings(token_rows: DataFrame) -> DataFrame:
     return best.select("collection", "id", "token", *_unpacked("p", "field_rank", "pos"))
 
 
+def best_places(index: DataFrame, fields: list[str]) -> DataFrame:
+    """postings() of the token_table() of an index with one row of a document, without a shuffle: a document's words lie in
+    its row, so tasks pick their first places."""
+    lists = [tokens(normalize_native(F.coalesce(F.col(f), F.lit("")))).alias(f"w{i}") for i, f in enumerate(fields)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [b.column(2 + i) for i in range(len(fields))]
+            counts = [np.diff(h.offsets.to_numpy()) for h in held]
+            words = pa.concat_arrays([h.flatten() for h in held]).dictionary_encode()
+            row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in counts])
+            field = np.repeat(np.arange(len(fields)), [n.sum() for n in counts])
+            pos = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in counts])
+            # The lists come field by field, so that the first place met is the best.
+            _, at = np.unique(row * max(1, len(words.dictionary)) + words.indices.to_numpy(), return_index=True)
+            own = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(own), b.column(1).take(own), words.dictionary.take(words.indices.take(pa.array(at))),
+                 pa.array(field[at].astype(np.int32)), pa.array(pos[at].astype(np.int32))],
+                names=["collection", "id", "token", "field_rank", "pos"],
+            )
+
+    kind = index.schema["id"].dataType.simpleString()
+    return index.select("collection", "id", *lists).mapInArrow(first, f"collection string, id {kind}, token string, field_rank int, pos int").select("collection", "id", "token", "field_rank", "pos")
+
+
 def query_words(queries: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """query_id, n, qpos, qtoken of queries (query_id, query), or of their variants (query_id, variant, n)."""
     forms = queries.select("query_id", "query", F.lit(0).alias("n")) if variants is None else variants.select("query_id", F.col("variant").alias("query"), "n")
@@ -190,7 +218,9 @@ def lexical(
     asked = query_words(queries, variants)
     if wanted is None:
         wanted = matching_tokens(asked, vocabulary(token_rows), synonyms)
-    scored = _figures(token_rows.join(wanted, "token"), asked, n_fields)
+    # Each entry is shuffled once, whichever queries ask for it; what follows is about one document at a time.
+    lists = token_rows.join(_sent(wanted.select("token").distinct()), "token", "left_semi").repartition("collection", "id")
+    scored = _figures(lists.join(_sent(wanted), "token"), asked, n_fields)
     if variants is None:
         return scored.drop("n")
     rest = F.struct("words", "typos", "proximity", "attribute", "exact", "asked", "lexical_score")

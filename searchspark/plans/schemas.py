@@ -9,6 +9,11 @@ INDEX = (
     "collection string, id string, _revision bigint, document string, _search_text string, _stems array<string>, "
     "_translit string, content_hash string, semantic_text string, embedding array<float>"
 )
+#: What of it is stored; the other columns follow from these (SearchEngine._whole()).
+STORED_INDEX = (
+    "collection string, id string, _revision bigint, document string, _search_text string, _stems array<string>, "
+    "content_hash string, embedding array<float>"
+)
 REJECTED = (
     "source_service string, event_id string, collection string, document_id string, revision bigint, "
     "payload string, attempts int, reason string, stage string"

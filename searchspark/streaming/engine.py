@@ -5,6 +5,10 @@ batch takes its events in, decides on them by what is applied to their documents
 embeds the documents that change, writes the places of their words to the inverted index, and tries
 texts again whose embedding failed before. A batch that runs again writes the same.
 
+Decisions are made on rows without their documents, which are told apart by a number (_row); documents are
+read again from the staged events where they are written, and are not shuffled but where very many rows
+of a batch count and very many do not.
+
 Batch b is version b * STRIDE of every table. Maintenance (retiring a collection, repairs, a new model)
 takes place between batches, in the versions after the newest batch, so it collides with no batch, and
 whatever is read as of that batch holds it.
@@ -28,14 +32,14 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchspark.functions.envelope import canonical_payload, decode_payload, reject_reason
+from searchspark.functions.envelope import canonical_payload, decode_payload, digest, reject_reason
 from searchspark.functions.stemmer import stem
-from searchspark.functions.text import content_hash, enrich, semantic_text, with_role
+from searchspark.functions.text import all_text, content_hash, enrich, normalize, semantic_text, spelled_otherwise, with_role
 from searchspark.operators import embed, gate, index, ingest, lexical
 from searchspark.operators import search as searching
-from searchspark.plans.schemas import APPLIED, BACKLOG, CACHE, INBOX, INDEX, POSTINGS, WORDS
+from searchspark.plans.schemas import APPLIED, BACKLOG, CACHE, INBOX, INDEX, POSTINGS, STORED_INDEX, WORDS
 from searchspark.plans.spec import ALL, CollectionSpec, by_name
-from searchspark.plans.staging import stage
+from searchspark.plans.staging import SMALL, few, passing, release, stage
 from searchspark.streaming.state import KEPT, ChangeLog
 
 #: Versions of a table from one batch to the next.
@@ -87,13 +91,13 @@ class SearchEngine:
         self.root = self.root.rstrip("/")
         self._turn = Lock()
         log = lambda name, key, schema, **dealt: ChangeLog(self.spark, self.root, name, key, schema, **dealt)
-        self._inbox = log("inbox", ingest.DELIVERY, INBOX)
-        self._applied = log("applied", gate.DOCUMENT, APPLIED)
-        self._index = log("index", index.KEY, INDEX)
+        self._inbox = log("inbox", ingest.DELIVERY, INBOX, wide=True)
+        self._applied = log("applied", gate.DOCUMENT, APPLIED, wide=True)
+        self._index = log("index", index.KEY, STORED_INDEX, wide=True)
         self._cache = log("cache", ["content_hash", "model_version"], CACHE)
         self._backlog = log("backlog", embed.BACKLOG_KEY, BACKLOG)
         # A frequent word has an entry for most documents: its list is spread over some buckets.
-        self._postings = log("postings", ["collection", "token", "id"], POSTINGS, dealt_by=["collection", "token"], spread=4)
+        self._postings = log("postings", ["collection", "token", "id"], POSTINGS, dealt_by=["collection", "token"], spread=4, wide=True)
         self._words = log("words", ["collection", "token"], WORDS)
         # A collection whose declared fields change has another table of them.
         declared = {s.name: s.declared() for s in self.specs if s.declared()}
@@ -112,7 +116,12 @@ class SearchEngine:
 
     def index(self, batch: int) -> DataFrame:
         """The index after a batch: live documents, enriched, with vectors."""
-        return self._index.latest(_after(batch))
+        return self._whole(self._index.latest(_after(batch)))
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """Stored rows of the index with the columns that follow from them."""
+        other = spelled_otherwise(F.col("_search_text")) if self.transliteration else F.lit(None).cast("string")
+        return rows.withColumns({"_translit": other, "semantic_text": self._semantic_text()}).select(*(c.split()[0] for c in INDEX.split(", ")))
 
     def backlog(self, batch: int) -> DataFrame:
         """Texts whose embedding failed, after a batch."""
@@ -136,55 +145,69 @@ class SearchEngine:
             raise ValueError(f"batch {batch} has no room for more maintenance")
         return max(taken) + 1
 
-    def _embedded(self, texts: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        cache = self._cache.of(batch * STRIDE - 1, texts.select("content_hash", F.lit(self.model).alias("model_version")))
-        out, new = embed.embed_cached(texts, cache, self.encoder, self.model)
-        return out, new
-
-    def _entries(self, changed: DataFrame) -> DataFrame:
-        """Index rows of changed documents, without vectors yet; deleted ones have live = false."""
-        live = index.entries(changed)
-        rich = enrich(live, F.col("document"), self.stemmer, self.transliteration)
-        known = by_name(self.specs)
-
-        def semantic(spec: CollectionSpec) -> F.Column:
+    def _semantic_text(self) -> F.Column:
+        """The text of a document that is embedded, by its collection; empty where there is none."""
+        def of(spec: CollectionSpec) -> F.Column:
             return semantic_text({f: _string(f) for f in spec.semantic}, spec.semantic_weights)
 
-        text = reduce(lambda c, s: c.when(F.col("collection") == s.name, semantic(s)), [s for s in known.values() if s.semantic and s.embedder], F.when(F.lit(False), ""))
-        full = rich.withColumn("semantic_text", F.coalesce(text, F.lit(""))).withColumn("content_hash", content_hash(F.col("semantic_text")))
-        gone = changed.filter("operation = 'delete'").select("collection", F.col("document_id").alias("id"))
-        return full.withColumn("live", F.lit(True)).unionByName(gone.withColumn("live", F.lit(False)), allowMissingColumns=True)
+        known = [s for s in by_name(self.specs).values() if s.semantic and s.embedder]
+        return F.coalesce(reduce(lambda c, s: c.when(F.col("collection") == s.name, of(s)), known, F.when(F.lit(False), "")), F.lit(""))
+
+    def _entries(self, live: DataFrame) -> DataFrame:
+        """Rows of the index (index.entries()) enriched, without vectors yet."""
+        rich = enrich(live, F.col("document"), self.stemmer, False).drop("_translit")
+        return rich if "content_hash" in live.columns else rich.withColumn("content_hash", content_hash(self._semantic_text()))
 
     def process(self, events: DataFrame, batch: int) -> None:
         """One batch. Batches are numbered from 0."""
-        with self._turn:
-            self._process(stage(events, "engine-events"), batch)
+        with self._turn, passing(self.spark, events.sparkSession):
+            marked = events.withColumns({"reason": reject_reason(), "digest": digest(), "_row": F.monotonically_increasing_id()})
+            self._process(stage(marked, "engine-events"), batch)
 
     def _process(self, events: DataFrame, batch: int) -> None:
         version = batch * STRIDE
-        before = self._inbox.of(version - 1, events)
-        judged = stage(ingest.judged(events, before), "engine-judged")
-        taken = ingest.outcome(judged)
-        accepted = taken.accepted
-        self._inbox.write(accepted.select(*ingest.DELIVERY, canonical_payload().alias("payload"), "arrival"), version)
-        held = self._applied.of(version - 1, accepted)
-        out = apply(accepted, held, self.specs)
-        state = stage(gate.current_state(out.decisions).select(*(c.split()[0] for c in APPLIED.split(", "))), "engine-changed")
-        rejected = taken.rejected.unionByName(out.rejected)
-        rejected.write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch}")
-        entries = stage(self._entries(state), "engine-entries")
-        self._post(entries, version)
+        bare = events.drop("document_json")
+        judged = stage(ingest.judged(bare, self._inbox.of(version - 1, bare, [])), "engine-judged")
+        n = judged.count()
+        accepted = judged.filter("status = 'accepted'").drop("reason", "status")
+        taken = _rows(events, accepted, n)
+        self._inbox.write(taken.select(*ingest.DELIVERY, canonical_payload().alias("payload"), "arrival"), version)
+        known, unknown = gate.split_known(accepted, [*by_name(self.specs)])
+        held = self._applied.of(version - 1, known, ["revision", "digest"])
+        decisions = stage(gate.decide(known, held), "engine-decisions")
+        refused = [
+            (judged.filter("status = 'rejected'"), 0, None),
+            (decisions.filter("decision = 'conflict'").withColumn("reason", F.lit(gate.CONFLICT)), 5, "apply"),
+            (unknown, 5, "apply"),
+        ]
+        letters = (ingest.dead_letters(events.drop("reason").join(few(rows.select("_row", "reason")), "_row"), tries, where) for rows, tries, where in refused)
+        reduce(DataFrame.unionByName, letters).write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch}")
+        newest = F.max_by("_row", F.struct("revision", -F.col("arrival"))).alias("_row")
+        won = stage(decisions.filter("decision = 'new'").groupBy(*gate.DOCUMENT).agg(newest).select("_row"), "engine-won")
+        state = _rows(events, won, n)
+        changed = stage(bare.join(few(won), "_row", "left_semi").select(*gate.DOCUMENT, "revision", "operation", "_row"), "engine-changed")
+        live = index.entries(state).withColumn("live", F.lit(True))
+        gone = changed.filter("operation = 'delete'").select("collection", F.col("document_id").alias("id"), F.lit(False).alias("live"))
+        self._post(live.unionByName(gone, allowMissingColumns=True), version)
+        numbered = index.entries(state, "_row")
         if any(s.embedder and s.semantic for s in self.specs):
-            self._embed(entries, state, batch)
+            vectors, late = self._embed(numbered, changed, batch)
+            kept = [c.split()[0] for c in STORED_INDEX.split(", ")]
+            full = self._entries(numbered.join(few(vectors.select("_row", "content_hash", F.col("vector").alias("embedding"))), "_row", "left"))
+            new = full.withColumn("live", F.lit(True)).unionByName(gone, allowMissingColumns=True).select(*kept, "live")
+            self._index.write(new.unionByName(late.select(*kept, "live")) if late is not None else new, version)
         else:
-            self._index.write(entries.withColumn("embedding", F.lit(None).cast("array<float>")), version)
-        self._applied.write(state, version)
+            full = self._entries(numbered).withColumns({"embedding": F.lit(None).cast("array<float>"), "live": F.lit(True)})
+            self._index.write(full.unionByName(gone, allowMissingColumns=True), version)
+        self._applied.write(state.select(*(c.split()[0] for c in APPLIED.split(", "))), version)
 
     def _places(self, entries: DataFrame) -> DataFrame:
         """Best places of the words in searchable fields of index rows."""
         def of(spec: CollectionSpec) -> DataFrame:
-            rows = index.materialize(entries.filter(F.col("collection") == spec.name), spec)
-            return lexical.postings(lexical.token_table(rows, list(_searchable(spec))))
+            rows = entries.filter(F.col("collection") == spec.name)
+            if ALL in spec.searchable and "_search_text" not in rows.columns:
+                rows = rows.withColumn("_search_text", normalize(all_text(F.col("document"))))
+            return lexical.best_places(index.materialize(rows, spec), list(_searchable(spec)))
 
         return reduce(DataFrame.unionByName, map(of, self.specs))
 
@@ -192,11 +215,16 @@ class SearchEngine:
         """Bring the inverted index up to changed rows of the index (those gone have live = false): words
         that a document no longer has go, and words not met before join the vocabulary."""
         keys = ["collection", "id"]
-        new = stage(self._places(entries.filter("live")), "engine-places")
-        old = self._places(self._index.of(version - 1, entries.select(*keys)))
-        gone = old.join(new, [*keys, "token"], "left_anti").withColumn("live", F.lit(False))
-        self._postings.write(new.withColumn("live", F.lit(True)).unionByName(gone), version)
-        self._words.write(new.select("collection", "token").distinct(), version)
+        new = self._places(entries.filter("live"))
+        if self._index.parts(version - 1):
+            new = stage(new, "engine-places")
+            old = self._places(self._index.of(version - 1, entries.select(*keys), ["document", "_search_text"]))
+            gone = old.join(new, [*keys, "token"], "left_anti").withColumn("live", F.lit(False))
+            self._postings.write(new.withColumn("live", F.lit(True)).unionByName(gone), version)
+            release(new)
+        else:
+            self._postings.write(new, version)
+        self._words.write(self._postings.part(version).filter("live").select("collection", "token").distinct(), version)
         for spec in self.specs:
             if spec.name in self._fields:
                 self._shred(entries, spec, version)
@@ -211,72 +239,99 @@ class SearchEngine:
             rows = rows.unionByName(held.join(rows.select("id"), "id", "left_anti"))
         log.write(index.shredded(rows, spec.declared()), version)
 
-    def _embed(self, entries: DataFrame, state: DataFrame, batch: int) -> None:
-        """The index rows of a batch with vectors from the cache or the encoder, and one pass over the
-        backlog: due texts are tried again where their revision is still the applied one, late
-        vectors are patched in, and what fails is queued or waits longer."""
+    def _embed(self, rows: DataFrame, changed: DataFrame, batch: int) -> tuple[DataFrame, DataFrame | None]:
+        """Vectors (_row, content_hash, vector) of changed documents from the cache or the encoder, and one pass over
+        the backlog: due texts are tried again where their revision is still the applied one, late vectors are patched
+        in, and what fails is queued or waits longer. Returns the rows of the index to be patched, too."""
         now = self.now()
         version = batch * STRIDE
-        waiting = stage(self._backlog.latest(version - 1), "engine-backlog")
-        turn = stage(embed.due(waiting, now, self.per_pass), "engine-turn")
-        held = self._applied.of(version - 1, turn)
-        now_applied = held.join(state.select(*gate.DOCUMENT), gate.DOCUMENT, "left_anti").unionByName(state.select(*held.columns))
-        current = embed.still_current(turn, now_applied)
-        wanted = entries.filter("live and semantic_text <> ''").select("collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text")
-        again = current.select(*wanted.columns)
-        vectors, cached = self._embedded(wanted.unionByName(again).distinct(), batch)
-        vectors = stage(vectors, "engine-vectors")
-        made = vectors.filter("vector is not null").select("content_hash", F.lit(self.model).alias("model_version"), F.size("vector").alias("dimensions"), "vector")
-        self._cache.write(made.dropDuplicates(["content_hash"]), version)
-        found = vectors.select("collection", F.col("document_id").alias("id"), F.col("revision").alias("_revision"), "vector")
-        new = entries.join(found, ["collection", "id", "_revision"], "left").withColumn("embedding", F.col("vector")).drop("vector")
-        late = found.filter("vector is not null").join(entries.select("collection", "id"), ["collection", "id"], "left_anti")
-        patched = embed.patch_vectors(self._index.of(version - 1, late), late).withColumn("live", F.lit(True))
-        self._index.write(new.select(*patched.columns).unionByName(patched), version)
-        failed = vectors.filter("vector is null").join(turn.select(*gate.DOCUMENT, "revision"), [*gate.DOCUMENT, "revision"], "left_anti")
+        waiting = self._backlog.latest(version - 1, ["next_attempt_at", "status"])
+        first = stage(embed.due(waiting, now, self.per_pass).select(*embed.BACKLOG_KEY), "engine-due")
+        turn = stage(self._backlog.of(version - 1, first), "engine-turn")
+        names = changed.select(*gate.DOCUMENT)
+        held = self._applied.of(version - 1, turn, ["revision", "operation"])
+        now_applied = held.join(few(names), gate.DOCUMENT, "left_anti").unionByName(changed.select(*held.columns))
+        current = stage(embed.still_current(turn, now_applied), "engine-current")
+        texts = rows.withColumn("semantic_text", self._semantic_text())
+        wanted = stage(texts.select(
+            "_row", "collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"),
+            content_hash(F.col("semantic_text")).alias("content_hash"), (F.col("semantic_text") != "").alias("some"),
+        ), "engine-texts")
+        # Of rows with the same text one is encoded; texts of the backlog come with it, as their documents did not change.
+        again = current.select("content_hash", "semantic_text")
+        asked = wanted.filter("some").select("content_hash", "_row").unionByName(again.select("content_hash", F.lit(None).cast("bigint").alias("_row")))
+        model = F.lit(self.model).alias("model_version")
+        cache = stage(self._cache.of(version - 1, asked.select("content_hash", model)).select("content_hash", "vector"), "engine-cached")
+        one = asked.groupBy("content_hash").agg(F.min("_row").alias("_row")).join(few(cache.select("content_hash")), "content_hash", "left_anti")
+        missing = stage(one, "engine-missing")
+        fresh = _rows(texts, missing.filter("_row is not null"), wanted.count()).select(content_hash(F.col("semantic_text")).alias("content_hash"), "semantic_text")
+        older = again.join(missing.filter("_row is null").select("content_hash"), "content_hash", "left_semi").groupBy("content_hash").agg(F.min("semantic_text").alias("semantic_text"))
+        made = stage(self._encoded(fresh.unionByName(older)), "engine-made")
+        self._cache.write(made.select("content_hash", model, F.size("vector").alias("dimensions"), "vector"), version)
+        known = few(cache.unionByName(made))
+        vectors = stage(wanted.join(known, "content_hash", "left"), "engine-vectors")
+        found = current.drop("semantic_text").join(known, "content_hash").withColumnRenamed("document_id", "id")
+        late = stage(found.select("collection", "id", "vector").dropDuplicates(["collection", "id"]), "engine-late")
+        late = late.join(few(names.withColumnRenamed("document_id", "id")), ["collection", "id"], "left_anti")
+        patched = embed.patch_vectors(self._index.of(version - 1, late), late).withColumn("live", F.lit(True)) if self._backlog.parts(version - 1) else None
+        new = vectors.filter("vector is null and some").join(few(turn.select(*gate.DOCUMENT, "revision")), [*gate.DOCUMENT, "revision"], "left_anti")
+        failed = texts.join(few(new.select("_row", "content_hash")), "_row").select("collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text", F.lit(None).alias("vector"))
         queued = embed.enqueue_missing(failed, waiting, now, self.model).withColumn("live", F.lit(True))
-        retried = embed.retry_or_dead(current.join(late_keys(vectors), [*gate.DOCUMENT, "revision"], "left_anti"), now).withColumn("live", F.lit(True))
+        retried = embed.retry_or_dead(current.join(known.select("content_hash"), "content_hash", "left_anti"), now).withColumn("live", F.lit(True))
         closed = turn.join(retried.select(*embed.BACKLOG_KEY), embed.BACKLOG_KEY, "left_anti").withColumn("live", F.lit(False))
-        self._backlog.write(queued.unionByName(retried).unionByName(closed), version)
+        self._backlog.write(queued.unionByName(retried.select(*queued.columns)).unionByName(closed), version)
+        return vectors, patched
+
+    def _encoded(self, texts: DataFrame) -> DataFrame:
+        """content_hash, vector of texts (content_hash, semantic_text) that can be embedded."""
+        if self.encoder is None:
+            made = embed.hashed_vectors(texts, F.col("semantic_text"))
+        else:
+            passages = texts.select("content_hash", with_role(F.col("semantic_text"), "passage").alias("_passage"))
+            made = embed.embed_texts(passages, "_passage", self.encoder)
+        return made.filter("vector is not null").select("content_hash", "vector")
 
     def retire(self, names: list[str]) -> None:
         """Take collections out of the index, after the newest batch; those it does not hold are no matter."""
-        with self._turn:
+        with self._turn, passing(self.spark):
             version = self._maintenance()
             gone = self._index.latest(version).filter(F.col("collection").isin(names)).withColumn("live", F.lit(False))
             self._change_index(gone, version)
 
     def _change_index(self, rows: DataFrame, version: int) -> None:
         """Write rows of the index (those gone have live = false) and the places of their words."""
-        rows = stage(rows, "engine-maintained")
-        self._post(rows, version)
-        self._index.write(rows, version)
+        with passing(self.spark):
+            rows = stage(rows.select(*self._index.columns, "live"), "engine-maintained")
+            self._post(rows, version)
+            self._index.write(rows, version)
 
     def _with_vectors(self, entries: DataFrame, version: int) -> DataFrame:
         cache = self._cache.latest(version).filter(F.col("model_version") == self.model).select("content_hash", F.col("vector").alias("embedding"))
-        return entries.join(cache, "content_hash", "left")
+        return entries.join(few(cache), "content_hash", "left")
 
     def rebuild(self, batch: int) -> DataFrame:
         """The index of a batch from the applied state and the cached vectors alone."""
-        return self._with_vectors(self._entries(self.applied(batch)).filter("live"), _after(batch)).select(*self._index.columns)
+        return self._whole(self._with_vectors(self._entries(index.entries(self.applied(batch))), _after(batch)))
 
     def audit(self, batch: int) -> DataFrame:
         """Documents in which the index and the applied state of a batch differ."""
-        return index.audit(self.applied(batch), self._index.latest(_after(batch), ["_revision"]))
+        applied = self._applied.latest(_after(batch), ["revision", "operation"]).withColumn("document_json", F.lit(None).cast("string"))
+        return index.audit(applied, self._index.latest(_after(batch), ["_revision"]))
 
     def repair(self) -> int:
         """Write the documents that an audit finds anew, after the newest batch: those that the index lacks or
         holds in another revision come from the applied state and the cached vectors, those that it should not
         hold go. Returns how many there were. Retired collections are among them, as the applied state still
         holds their documents."""
-        with self._turn:
+        with self._turn, passing(self.spark):
             version = self._maintenance()
             wrong = stage(self.audit(self.newest()).select(F.col("collection"), F.col("id").alias("document_id")), "engine-wrong")
             n = wrong.count()
             if n:
-                entries = self._with_vectors(self._entries(self._applied.of(version, wrong)), version)
+                held = index.entries(self._applied.of(version, wrong))
+                entries = self._with_vectors(self._entries(held), version).withColumn("live", F.lit(True))
                 columns = [*self._index.columns, "live"]
-                extra = wrong.withColumnRenamed("document_id", "id").join(entries.select(*index.KEY), index.KEY, "left_anti").withColumn("live", F.lit(False))
+                extra = wrong.withColumnRenamed("document_id", "id").join(held.select(*index.KEY), index.KEY, "left_anti").withColumn("live", F.lit(False))
                 self._change_index(entries.select(*columns).unionByName(extra, allowMissingColumns=True), version)
             return n
 
@@ -284,15 +339,14 @@ class SearchEngine:
         """Embed with another model from now on, and queue the documents that have a text for it, after the newest
         batch; returns how many. Each batch takes per_pass of them, and the vectors of before are searched until a
         document's turn comes. A queue that is there already is not begun again."""
-        with self._turn:
+        with self._turn, passing(self.spark):
             self.model, self.encoder = model, encoder
             version = self._maintenance()
-            rows = self._index.latest(version, ["_revision", "content_hash", "semantic_text"]).select(
-                "collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), "content_hash", "semantic_text", F.lit(None).alias("vector")
+            rows = self._index.latest(version, ["_revision", "document"]).withColumn("semantic_text", self._semantic_text()).select(
+                "collection", F.col("id").alias("document_id"), F.col("_revision").alias("revision"), content_hash(F.col("semantic_text")).alias("content_hash"), "semantic_text", F.lit(None).alias("vector")
             )
-            queued = stage(embed.enqueue_missing(rows, self._backlog.latest(version), self.now(), model), "engine-queued")
-            self._backlog.write(queued, version)
-            return queued.count()
+            self._backlog.write(embed.enqueue_missing(rows, few(self._backlog.latest(version, [])), self.now(), model, repeated=False), version)
+            return self._backlog.part(version).count()
 
     def vacuum(self, kept: int = KEPT) -> None:
         """Remove files that none of the newest kept versions of a table needs."""
@@ -314,6 +368,7 @@ class SearchEngine:
             rows = self._index.latest(_after(batch)).filter(F.col("collection") == spec.name)
         else:
             rows = self._index.of(_after(batch), ids.select(F.lit(spec.name).alias("collection"), F.col("id").cast("string").alias("id")))
+        rows = self._whole(rows)
         return index.materialize(rows.withColumns({f: _string(f) for f in spec.semantic if f not in rows.columns}), spec)
 
     def _as_queries(self, rows: DataFrame, col: str) -> DataFrame:
@@ -355,7 +410,15 @@ class SearchEngine:
         over the index after a batch. Queries are embedded here; where that fails they are asked by
         words alone."""
         spec = self._spec(collection)
-        asked = stage(self._as_queries(queries, "query"), "engine-queries")
+        asked = stage(self._as_queries(queries, "query"), "engine-queries", keep=True)
+        with passing(self.spark):
+            pages = self._found(asked, spec, batch, variants, filters, sort, synonyms)
+        return self._answer(pages, asked, spec, batch)
+
+    def _found(
+        self, asked: DataFrame, spec: CollectionSpec, batch: int, variants: bool, filters: dict[str, list] | None, sort: list[str] | None, synonyms: DataFrame | None
+    ) -> DataFrame:
+        """Staged: the pages of search(), without the fields of their documents."""
         forms = lexical.query_variants(asked, self.stemmer, self.transliteration) if variants else None
         known = self._words.latest(_after(batch)).filter(F.col("collection") == spec.name).select("token")
         wanted = lexical.matching_tokens(lexical.query_words(asked, forms), known, synonyms)
@@ -364,19 +427,20 @@ class SearchEngine:
         if filters:
             places = places.join(rows.select("id"), "id", "left_semi")
         found = lexical.lexical(asked, places, len(_searchable(spec)), variants=forms, wanted=wanted)
-        return self._answer(searching.ranked(asked, rows, spec, found, sort), asked, spec, batch)
+        return stage(searching.ranked(asked, rows, spec, found, sort), "engine-pages", keep=True)
 
-    def _answer(self, answers: DataFrame, asked: DataFrame, spec: CollectionSpec, batch: int) -> DataFrame:
-        """Pages with the fields of their documents."""
-        pages = stage(answers, "engine-pages")
+    def _answer(self, pages: DataFrame, asked: DataFrame, spec: CollectionSpec, batch: int) -> DataFrame:
+        """Staged pages with the fields of their documents."""
         return searching.response(pages, asked, self.documents(spec.name, batch, pages.filter("id is not null").select("id")), spec)
 
     def similar(self, requests: DataFrame, collection: str, batch: int, filters: dict[str, list] | None = None) -> DataFrame:
         """Answers to requests (query_id, text, document_id, page_size, page_token, explain)."""
         spec = self._spec(collection)
         named = self.documents(spec.name, batch, requests.filter("document_id <> ''").select(F.col("document_id").alias("id")))
-        answers = searching.similar(requests, self._vectors(spec, batch, filters), spec, lambda df: self._as_queries(df, "text"), named=named)
-        return self._answer(answers, requests.withColumn("query", F.col("text")), spec, batch)
+        with passing(self.spark):
+            answers = searching.similar(requests, self._vectors(spec, batch, filters), spec, lambda df: self._as_queries(df, "text"), named=named)
+            pages = stage(answers, "engine-pages", keep=True)
+        return self._answer(pages, requests.withColumn("query", F.col("text")), spec, batch)
 
     def start(self, source: DataFrame, checkpoint: str, **trigger):  # noqa: ANN003, ANN201
         """The same over a stream of envelopes; default a micro-batch every 500 milliseconds."""
@@ -400,9 +464,15 @@ def _string(name: str) -> F.Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json("document"), f"$.{name}", "string"))
 
 
-def late_keys(vectors: DataFrame) -> DataFrame:
-    """Documents and revisions that got a vector."""
-    return vectors.filter("vector is not null").select(*gate.DOCUMENT, "revision")
+def _rows(events: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """The events, n of them, whose _row is among chosen. Where few are chosen, or few are not, these numbers are sent to
+    all tasks, and no document is shuffled."""
+    numbers = chosen.select("_row")
+    kept = numbers.count()
+    if kept > SMALL and n - kept <= SMALL:
+        others = events.select("_row").join(numbers, "_row", "left_anti")
+        return events.join(F.broadcast(stage(others, "engine-others")), "_row", "left_anti")
+    return events.join(F.broadcast(numbers) if kept <= SMALL else numbers, "_row", "left_semi")
 
 
 def land(events: DataFrame, path: str, per_pass: int = 1_000) -> None:

@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from searchspark.plans.staging import SMALL, few
+
 #: More buckets let a version read less of a large state; each is a directory that every part has.
 BUCKETS, FAN = 16, 8
 #: Versions that vacuum() keeps.
@@ -30,15 +33,16 @@ class ChangeLog:
     """Rows of a schema (Spark DDL) by key, under root/name.
 
     Buckets are hashes of the columns dealt_by (default: the key). With spread over 1 the rows of one
-    value of dealt_by, which may be very many, lie in so many buckets.
+    value of dealt_by, which may be very many, lie in so many buckets. Rows of a wide table are not shuffled
+    when a version writes them: each task writes its own files into the buckets.
     """
 
     def __init__(
         self, spark: SparkSession, root: str, name: str, key: list[str], schema: str, buckets: int = BUCKETS, fan: int = FAN,
-        dealt_by: list[str] | None = None, spread: int = 1,
+        dealt_by: list[str] | None = None, spread: int = 1, wide: bool = False,
     ):
         self.spark, self.key, self.buckets, self.fan = spark, key, buckets, fan
-        self.dealt_by, self.spread = dealt_by or key, spread
+        self.dealt_by, self.spread, self.wide = dealt_by or key, spread, wide
         self.path = f"{root}/{name}"
         self.columns = spark.createDataFrame([], schema).columns
         self.stored = f"{schema}, live boolean, at bigint, bucket int"
@@ -93,28 +97,39 @@ class ChangeLog:
         source = self.spark.read.schema(self.stored).option("basePath", f"{self.path}/parts")
         return source.parquet(*(f"{self.path}/{p['path']}" for p in parts)).drop("part")
 
-    def _newest(self, rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-        rest = F.struct(*(c for c in self.columns if c not in self.key and (columns is None or c in columns)), "live", "at")
-        newest = rows.groupBy(*self.key).agg(F.max_by(rest, "at").alias("r"))
-        return newest.select(*self.key, "r.*")
+    def _newest(self, parts: list[dict], columns: list[str] | None = None, wanted: Column | None = None) -> DataFrame:
+        """key, columns (all by default), live and at of the newest row of each key in parts. A part has one row of a key,
+        so only the keys of parts after the first, in which most rows lie, are compared."""
+        kept = [c for c in self.columns if columns is None or c in self.key or c in columns]
+        rows, later = self._read(parts), self._read(parts[1:])
+        if wanted is not None:
+            rows, later = rows.filter(wanted), later.filter(wanted)
+        rows = rows.select(*kept, "live", "at")
+        if len(parts) < 2:
+            return rows
+        newest = later.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key))).agg(F.max("at").alias("_newest"))
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.key)))
+        held = rows.join(F.broadcast(newest) if later.limit(SMALL + 1).count() <= SMALL else newest, same, "left")
+        return held.filter(F.col("_newest").isNull() | (F.col("_newest") <= F.col("at"))).select(*kept, "live", "at")
 
     def latest(self, version: int, columns: list[str] | None = None) -> DataFrame:
         """All rows after a version; with columns, only these are read beside the key."""
-        kept = [c for c in self.columns if columns is None or c in self.key or c in columns]
-        return self._newest(self._read(self.parts(version)), columns).filter("live").select(*kept)
+        return self._newest(self.parts(version), columns).filter("live").drop("live", "at")
 
-    def of(self, version: int, keys: DataFrame) -> DataFrame:
-        """Rows after a version whose columns dealt_by are among keys only; other buckets are not read."""
+    def of(self, version: int, keys: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """Rows after a version whose columns dealt_by are among keys only; other buckets are not read, nor other columns,
+        where some are given."""
         parts = self.parts(version)
+        kept = [c for c in self.columns if columns is None or c in self.key or c in columns]
         if not parts:
-            return self.spark.createDataFrame([], self.stored).select(*self.columns)
+            return self.spark.createDataFrame([], self.stored).select(*kept)
         on = [c for c in self.key if c in keys.columns]
         wanted = keys.select(*on).distinct()
         first = F.xxhash64(*self.dealt_by)
         dealt = F.array(*(F.pmod(first + i, F.lit(self.buckets)).cast("int") for i in range(self.spread)))
-        buckets = [r[0] for r in wanted.select(F.explode(dealt)).distinct().collect()]
-        rows = self._read(parts).filter(F.col("bucket").isin(buckets)).join(wanted, on, "left_semi")
-        return self._newest(rows).filter("live").select(*self.columns)
+        buckets = {r[0]: r[1] for r in wanted.select(F.explode(dealt).alias("b")).groupBy("b").count().collect()}
+        asked = F.broadcast(wanted) if sum(buckets.values()) <= SMALL * self.spread else wanted
+        return self._newest(parts, columns, F.col("bucket").isin([*buckets])).filter("live").select(*kept).join(asked, on, "left_semi")
 
     def matching(self, version: int, condition: Column, columns: list[str]) -> DataFrame:
         """key and columns of the rows after a version that meet a condition. The condition reaches the files; beside the
@@ -123,7 +138,7 @@ class ChangeLog:
         found = self._read(parts).filter(F.col("live") & condition).select(*self.key, *columns, "at")
         if len(parts) < 2:
             return found.select(*self.key, *columns)
-        later = self._read(parts[1:]).groupBy(*self.key).agg(F.max("at").alias("_newest"))
+        later = few(self._read(parts[1:]).groupBy(*self.key).agg(F.max("at").alias("_newest")))
         kept = F.col("_newest").isNull() | (F.col("_newest") <= F.col("at"))
         return found.join(later, self.key, "left").filter(kept).select(*self.key, *columns)
 
@@ -131,7 +146,7 @@ class ChangeLog:
         """The rows that a version changed, one for each key: columns, and live where some of them are gone."""
         live = changed if "live" in changed.columns else changed.withColumn("live", F.lit(True))
         path = f"parts/part={version}"
-        self._write(live.select(*self.columns, "live", F.lit(version).cast("bigint").alias("at")), path)
+        self._write(live.select(*self.columns, "live", F.lit(version).cast("bigint").alias("at")), path, deal=not self.wide)
         parts = [*self.parts(version - 1), {"path": path, "level": 0, "first": version, "last": version}]
         while len(tail := parts[-self.fan :]) == self.fan and len({p["level"] for p in tail}) == 1:
             parts = [*parts[: -self.fan], self._merged(tail, whole=len(parts) == self.fan)]
@@ -140,14 +155,19 @@ class ChangeLog:
     def _merged(self, parts: list[dict], whole: bool) -> dict:
         """Parts in a row as one; rows that are gone go only where nothing older can hold them."""
         level, first, last = parts[0]["level"] + 1, parts[0]["first"], parts[-1]["last"]
-        rows = self._newest(self._read(parts))
+        rows = self._newest(parts)
         path = f"parts/part={first}-{last}"
-        self._write(rows.filter("live") if whole else rows, path)
+        self._write(rows.filter("live") if whole else rows, path, deal=True)
         return {"path": path, "level": level, "first": first, "last": last}
 
-    def _write(self, rows: DataFrame, where: str) -> None:
-        dealt = rows.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", *self.key)
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{where}")
+    def _write(self, rows: DataFrame, where: str, deal: bool) -> None:
+        dealt = rows.withColumn("bucket", self._bucket())
+        ready = (dealt.repartition("bucket") if deal else dealt).sortWithinPartitions("bucket", *self.key)
+        ready.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{where}")
+
+    def part(self, version: int) -> DataFrame:
+        """The rows that a version wrote."""
+        return self._read([{"path": f"parts/part={version}"}])
 
     def vacuum(self, kept: int = KEPT) -> list[str]:
         """Remove all but the newest kept manifests, and the parts that none of these names; returns
