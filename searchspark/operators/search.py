@@ -13,7 +13,7 @@ from searchspark.functions.text import semantic_text
 from searchspark.operators import lexical as lex
 from searchspark.operators.semantic import BLOCK, depths, dot, nearest, scores
 from searchspark.plans.spec import ALL, CollectionSpec
-from searchspark.plans.staging import stage
+from searchspark.plans.staging import few, stage
 
 # Why a request for similar documents cannot be answered.
 NOT_FOUND = "document not found"
@@ -173,9 +173,11 @@ def similar(
     vector to rows with the column text; it embeds texts as queries. named holds the documents named in
     requests, with their semantic fields, where index has only id and embedding.
     """
-    rows = _rows(index, spec, filters, arrays)
+    # Vectors may be long to make, and are read for each block of requests and to be counted.
+    rows = stage(_rows(index, spec, filters, arrays).select("id", "embedding"), "similar-index")
     text = semantic_text({c: F.col(c) for c in spec.semantic})
-    own = (index if named is None else named).select(F.col("id").cast("string").alias("_own"), text.alias("_document_text"))
+    asked_for = few(requests.select(F.col("document_id").cast("string").alias("_own")).distinct())
+    own = (index if named is None else named).select(F.col("id").cast("string").alias("_own"), text.alias("_document_text")).join(asked_for, "_own", "left_semi")
     given = F.trim(F.coalesce(F.col("text"), F.lit("")))
     named = F.coalesce(F.col("document_id").cast("string"), F.lit(""))
     asked = requests.withColumns({"_given": given, "_self": named}).join(own, F.col("_self") == F.col("_own"), "left")

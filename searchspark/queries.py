@@ -416,12 +416,16 @@ def similar_to_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _post_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with vectors of letters."""
-    rows = fixtures.posts(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
+    """Posts with vectors of letters: collection, id, embedding."""
+    rows = _numbered_posts(spark, sf_dir)
     semantic_text_ = text.semantic_text({c: F.col(c) for c in fixtures.POSTS.semantic}, fixtures.POSTS.semantic_weights)
     hashed = rows.withColumn("semantic_text", semantic_text_).withColumn("content_hash", text.content_hash(F.col("semantic_text")))
     cache = spark.createDataFrame([], "content_hash string, model_version string, dimensions int, vector array<float>")
-    return embed.embed_cached(hashed, cache, fixtures.letters)[0].withColumnRenamed("vector", "embedding")
+    return embed.embed_cached(hashed, cache, fixtures.letters)[0].select("collection", "id", F.col("vector").alias("embedding"))
+
+
+def _numbered_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.posts(spark, sf_dir).withColumn("id", F.col("id").cast("bigint"))
 
 
 def _as_query(rows: DataFrame) -> DataFrame:
@@ -441,7 +445,7 @@ def similar_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("document_id"), F.lit(30).alias("page_size"), paging.encode_offset(F.lit(20)).alias("page_token")
     )
-    return search.similar(asked, _post_index(spark, sf_dir), fixtures.POSTS, _as_query).select("query_id", "id", "rank", "score", "total")
+    return search.similar(asked, _post_index(spark, sf_dir), fixtures.POSTS, _as_query, named=_numbered_posts(spark, sf_dir)).select("query_id", "id", "rank", "score", "total")
 
 
 _OWN_TEXT = f"select doc_id as id, concat_ws(chr(10), nullif({_TITLE}, ''), nullif(text, '')) as st from documents where doc_id % 50 = 0"
@@ -456,7 +460,7 @@ def similar_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = [F.lit("").alias("text"), F.lit(0).alias("page_size"), F.lit("").alias("page_token")]
     known = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("document_id"), *rest)
     unknown = docs.filter("doc_id % 100 = 0").select((-F.col("doc_id") - 1).alias("query_id"), F.lit("no such document").alias("document_id"), *rest)
-    out = search.similar(known.unionByName(unknown), _post_index(spark, sf_dir), fixtures.POSTS, _as_query)
+    out = search.similar(known.unionByName(unknown), _post_index(spark, sf_dir), fixtures.POSTS, _as_query, named=_numbered_posts(spark, sf_dir))
     return out.select("query_id", "id", "rank", "score", "total", F.coalesce("error", F.lit("")).alias("error"))
 
 
